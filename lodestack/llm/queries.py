@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, packing, quality, secrets, simhash
+from . import imi, langid, mih, mixing, packing, quality, secrets, simhash
 from .workspace import Workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,18 @@ def op2_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(docs, secrets.fit(docs))
 
 
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("vector"))
+
+
+def op3_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mih.search(_vectors(spark, sf_dir), F.col("vec_id") % 50 == 0)
+
+
+def op4_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imi.near_duplicates(_vectors(spark, sf_dir))
+
+
 def op5_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = Workspace(spark)
     stats = work.save(quality.document_statistics(table(spark, sf_dir, "documents")))
@@ -61,7 +73,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = [op1_mix_sources, op2_secret_spans, op5_quality_scores, op8_simhash_near_duplicates, op9_pack_documents, op10_language_id]
+    own = [op1_mix_sources, op2_secret_spans, op3_multi_index_hashing, op4_embedding_near_duplicates, op5_quality_scores, op8_simhash_near_duplicates, op9_pack_documents, op10_language_id]
     return {f.__name__: f for f in own}
 
 
