@@ -32,7 +32,7 @@ _MIX = np.random.default_rng(13).integers(0, 1 << 63, 256, dtype=np.uint64) * np
 
 
 class WordHash(dict):
-    """64-bit hash of a word; emptied at a million entries to bound memory."""
+    """64-bit hash of a word; emptied at 600,000 entries to bound memory."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= 600_000:
@@ -116,7 +116,7 @@ def _own(docs: DataFrame, chunks: int) -> DataFrame:
     return docs.select(chunk.alias("chunk"), doc_id.alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
 
 
-def remove_repeats(docs: DataFrame, window: int = 13, chunk_bytes: int = 16 << 20, keys_a_part: int = 2_000_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 13, chunk_bytes: int = 6 << 20, keys_a_part: int = 2_000_000) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) after removing the words of windows that also start in a smaller document."""
     block = (window + 1) // 2
     size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string"))).alias("b")).first()["b"] or 0
