@@ -29,7 +29,7 @@ def widen(data: bytes) -> np.ndarray:
 
 
 def send(chunk: int, keys: np.ndarray, docs: np.ndarray | None, bits: int, parts: int) -> pa.Table:
-    """Rows of SENT: the sorted ``keys`` (below 2**bits), cut into ``parts`` ranges, with a document each if given."""
+    """Rows of SENT: the sorted ``keys`` (below 2**bits), cut into ``parts`` ranges, with values of each if given (rows of values, or one)."""
     cuts = np.searchsorted(keys, np.array([(i << bits) // parts for i in range(parts)], dtype=np.uint64))
     cuts = np.append(cuts, len(keys))
     rows = []
@@ -38,17 +38,18 @@ def send(chunk: int, keys: np.ndarray, docs: np.ndarray | None, bits: int, parts
         if a < b:
             step = keys[a:b].copy()
             step[1:] -= keys[a : b - 1]
-            rows.append((part, chunk, b - a, shrink(step), shrink(docs[a:b].astype(np.uint64)) if docs is not None else None))
+            rows.append((part, chunk, b - a, shrink(step), shrink(np.ascontiguousarray(docs[..., a:b]).reshape(-1).astype(np.int64).view(np.uint64)) if docs is not None else None))
     columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
     kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
     return pa.Table.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)], names=["part", "chunk", "n", "keys", "docs"])
 
 
-def received(table: pa.Table) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
-    """(keys, documents, sizes by row) of the rows that one range got."""
+def received(table: pa.Table, values: int = 1) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
+    """(keys, documents or ``values`` rows of values, sizes by row) of the rows that one range got."""
     keys = [np.cumsum(widen(x), dtype=np.uint64) for x in table.column("keys").to_pylist()]
-    docs = [widen(x).astype(np.int64) for x in table.column("docs").to_pylist() if x is not None]
-    return np.concatenate(keys), np.concatenate(docs) if docs else None, np.array([len(k) for k in keys])
+    docs = [widen(x).view(np.int64).reshape(values, -1) for x in table.column("docs").to_pylist() if x is not None]
+    more = np.concatenate(docs, axis=1) if docs else None
+    return np.concatenate(keys), more[0] if docs and values == 1 else more, np.array([len(k) for k in keys])
 
 
 def reply(kind: int, table: pa.Table, sizes: np.ndarray, marks: np.ndarray) -> pa.Table:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import anchors, imi, langid, mih, mixing, packing, quality, secrets, simhash
+from . import anchors, imi, langid, mih, mixing, packing, quality, secrets, simhash, suffixes
 from .workspace import Workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,6 +62,10 @@ def op6_repeated_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anchors.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op7_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -77,7 +81,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = [op1_mix_sources, op2_secret_spans, op3_multi_index_hashing, op4_embedding_near_duplicates, op5_quality_scores, op6_repeated_words, op8_simhash_near_duplicates, op9_pack_documents, op10_language_id]
+    own = [op1_mix_sources, op2_secret_spans, op3_multi_index_hashing, op4_embedding_near_duplicates, op5_quality_scores, op6_repeated_words, op7_repeated_bytes, op8_simhash_near_duplicates, op9_pack_documents, op10_language_id]
     return {f.__name__: f for f in own}
 
 
