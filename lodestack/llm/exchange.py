@@ -32,6 +32,7 @@ def send(chunk: int, keys: np.ndarray, docs: np.ndarray | None, bits: int, parts
     """Rows of SENT: the sorted ``keys`` (below 2**bits), cut into ``parts`` ranges, with values of each if given (rows of values, or one)."""
     cuts = np.searchsorted(keys, np.array([(i << bits) // parts for i in range(parts)], dtype=np.uint64))
     cuts = np.append(cuts, len(keys))
+    pa.default_memory_pool().release_unused()
     rows = []
     for part in range(parts):
         a, b = cuts[part], cuts[part + 1]

@@ -124,7 +124,7 @@ def windows_of(first: np.ndarray, last: np.ndarray) -> np.ndarray:
     return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first, size)
 
 
-def remove_repeats(docs: DataFrame, window: int = 100, chunk_bytes: int = 2 << 20, keys_a_part: int = 1_500_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 100, chunk_bytes: int = 1 << 20, keys_a_part: int = 1_000_000) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) after removing the bytes of windows that also start earlier."""
     from pyspark.sql import functions as F
 
