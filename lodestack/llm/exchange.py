@@ -45,6 +45,25 @@ def send(chunk: int, keys: np.ndarray, docs: np.ndarray | None, bits: int, parts
     return pa.Table.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)], names=["part", "chunk", "n", "keys", "docs"])
 
 
+def note(chunk: int, values: np.ndarray, parts: int) -> pa.Table:
+    """A row of SENT beyond the value ranges, by which a chunk keeps ``values`` for its next round."""
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+    row = (parts + chunk, chunk, len(values), shrink(values.astype(np.int64).view(np.uint64)), None)
+    return pa.Table.from_arrays([pa.array([x], type=k) for x, k in zip(row, kinds, strict=True)], names=["part", "chunk", "n", "keys", "docs"])
+
+
+def echo(kind: int, table: pa.Table) -> pa.Table:
+    """Rows of REPLY that hand notes back."""
+    columns = [pa.array([kind] * len(table), type=pa.int32()), *(table.column(c) for c in ("part", "chunk", "n", "keys"))]
+    return pa.Table.from_arrays(columns, names=["kind", "part", "chunk", "n", "bits"])
+
+
+def noted(table: pa.Table, kind: int) -> np.ndarray:
+    """The values of a chunk's note."""
+    found = [b for k, b in zip(table.column("kind").to_pylist(), table.column("bits").to_pylist(), strict=True) if k == kind]
+    return widen(found[0]).view(np.int64) if found else np.zeros(0, dtype=np.int64)
+
+
 def received(table: pa.Table, values: int = 1) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
     """(keys, documents or ``values`` rows of values, sizes by row) of the rows that one range got."""
     keys = [np.cumsum(widen(x), dtype=np.uint64) for x in table.column("keys").to_pylist()]

@@ -8,7 +8,9 @@ before left open: which anchors occur twice; which occurrences have an earlier
 one with the same surroundings (the whole run of windows with that anchor); and
 for the rest, which single windows occur earlier.
 
-:func:`suffix_array` orders the suffixes of one text by Lyndon groups; the query does not use it yet.
+Which of a chunk's open windows are equal is read off the suffix array of their
+stretches of text, built by linear grouping (:func:`suffix_array`); chunks compare
+one key for each class of equal windows.
 
 Defined results: a null text is empty; texts under 100 bytes stay whole; rows
 with one doc_id follow each other as parts of one document's place in the order,
@@ -28,6 +30,7 @@ from . import exchange
 from .anchors import _own
 
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+SLAB = 1 << 22
 _RNG = np.random.default_rng(100)
 _BYTE = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64)
 _BASE = int(_RNG.integers(0, 1 << 62)) * 2 + 1
@@ -64,6 +67,12 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[:n], x[width - step : width - step + n])
 
 
+def leftmost_least(hashes: np.ndarray, width: int) -> np.ndarray:
+    """Position of the least hash (of its upper 40 bits) in every run of ``width``, the first of equals; at most 2**24 hashes."""
+    packed = (hashes >> np.uint64(24) << np.uint64(24)) | np.arange(len(hashes), dtype=np.uint64)
+    return (sliding_min(packed, width) & np.uint64((1 << 24) - 1)).astype(np.int64)
+
+
 class Chunk:
     """Texts end to end in order of doc_id, and their occurrences of anchors: position, first and last window."""
 
@@ -76,7 +85,7 @@ class Chunk:
         self.lengths = np.array([len(t) for t in self.texts], dtype=np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.window = window
-        data = np.frombuffer(b"".join(self.texts), dtype=np.uint8)
+        data = self.data = np.frombuffer(b"".join(self.texts), dtype=np.uint8)
         gram = window // 2
         grams, self.keys = rolling(data, (gram, window))
         self.at = np.zeros(0, dtype=np.int64)
@@ -84,8 +93,7 @@ class Chunk:
         self.first = self.last = self.at
         if len(self.keys):
             spread = window - gram + 1
-            packed = (grams >> np.uint64(24) << np.uint64(24)) | np.arange(len(grams), dtype=np.uint64)
-            anchor = (sliding_min(packed, spread) & np.uint64((1 << 24) - 1)).astype(np.int64)
+            anchor = np.concatenate([leftmost_least(grams[a : a + SLAB + spread - 1], spread) + a for a in range(0, len(self.keys), SLAB)])
             room = np.maximum(0, self.lengths - window + 1)
             valid = np.zeros(len(anchor) + 1, dtype=np.int64)
             np.add.at(valid, np.minimum(self.starts, len(anchor)), room > 0)
@@ -118,6 +126,25 @@ class Chunk:
         return own, number, gram[first], around[first], own[first]
 
 
+    def equal_windows(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted keys of the distinct windows at rising positions, the first index of each, the key number of each window.
+
+        The stretches of text that the windows cover, end to end, get one suffix array.
+        """
+        if not len(at):
+            return self.keys[:0], at, at
+        apart = np.concatenate([[True], np.diff(at) > self.window])
+        begin, end = at[apart], at[np.append(np.flatnonzero(apart)[1:], len(at)) - 1] + self.window
+        before = np.cumsum(end - begin) - (end - begin)
+        run = np.cumsum(apart) - 1
+        text = b"".join(self.data[a:b].tobytes() for a, b in zip(begin.tolist(), end.tolist(), strict=True))
+        number = repeat_classes(text, at - begin[run] + before[run], self.window)
+        _, first = np.unique(number, return_index=True)
+        distinct, inverse = np.unique(self.keys[at[first]], return_inverse=True)
+        number = inverse[number]
+        return distinct, np.unique(number, return_index=True)[1], number
+
+
 def windows_of(first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """All windows of the occurrences."""
     size = last - first + 1
@@ -173,22 +200,25 @@ def remove_repeats(docs: DataFrame, window: int = 100, chunk_bytes: int = 1 << 2
         return pa.concat_tables([exchange.reply(2, table, sizes, earlier), exchange.reply(3, table, sizes, open_)])
 
     def resolve(chunk: Chunk, replies: pa.Table):
-        """Occurrences that go whole, and those whose windows are still open."""
+        """Occurrences that go whole, and the windows still open with their document ids."""
         _, inverse = chunk.probes(bits)
         own, number, _, _, first = chunk.segments(exchange.answers(replies, 1), inverse)
         whole = exchange.answers(replies, 2)[number] | (own != first[number]) if len(own) else np.zeros(0, dtype=bool)
         open_ = exchange.answers(replies, 3)[number] & ~whole if len(own) else whole
         at = windows_of(chunk.first[own[open_]], chunk.last[own[open_]])
-        distinct, first_at, window_number = np.unique(chunk.keys[at], return_index=True, return_inverse=True)
         doc = np.repeat(chunk.doc[own[open_]], (chunk.last - chunk.first + 1)[own[open_]])
-        return own[whole], at, distinct, first_at, window_number, chunk.ids[doc]
+        return own[whole], at, chunk.ids[doc]
 
     def single(table: pa.Table, replies: pa.Table) -> pa.Table:
         chunk = Chunk(table, window)
-        _, _, distinct, first_at, _, ids = resolve(chunk, replies)
-        return exchange.send(name(table), distinct, ids[first_at], 64, parts)
+        _, at, ids = resolve(chunk, replies)
+        distinct, first_at, number = chunk.equal_windows(at)
+        sent = exchange.send(name(table), distinct, ids[first_at], 64, parts)
+        return pa.concat_tables([sent, exchange.note(name(table), number, parts)])
 
     def earliest(table: pa.Table) -> pa.Table:
+        if table.column("part")[0].as_py() >= parts:
+            return exchange.echo(5, table)
         keys, docs, sizes = exchange.received(table)
         order = np.argsort(keys, kind="stable")
         starts = exchange.runs(keys[order])
@@ -198,7 +228,9 @@ def remove_repeats(docs: DataFrame, window: int = 100, chunk_bytes: int = 1 << 2
 
     def cut(table: pa.Table, replies: pa.Table) -> pa.Table:
         chunk = Chunk(table, window)
-        whole, at, _, first_at, number, _ = resolve(chunk, replies)
+        whole, at, _ = resolve(chunk, replies)
+        number = exchange.noted(replies, 5)
+        first_at = np.unique(number, return_index=True)[1]
         gone = exchange.answers(replies, 4)[number] | (np.arange(len(at)) != first_at[number]) if len(at) else np.zeros(0, dtype=bool)
         edge = np.zeros(int(chunk.lengths.sum()) + 1, dtype=np.int64)
         np.add.at(edge, chunk.first[whole], 1)
@@ -225,49 +257,113 @@ def remove_repeats(docs: DataFrame, window: int = 100, chunk_bytes: int = 1 << 2
 
 
 def suffix_array(text: bytes) -> list[int]:
-    """Starts of the suffixes of ``text`` in order, by groups of equal Lyndon prefixes.
+    """Starts of the suffixes of ``text`` in order, by linear grouping.
 
-    The Lyndon prefix of a suffix ends where the next smaller suffix begins. Groups
-    are ordered by their prefix, here with a plain sort. Then, in ascending order,
-    each placed suffix places those whose prefix ends where it starts, so equal
-    prefixes need no renaming and no second sort.
+    :func:`lyndon_groups` sorts the suffixes by their Lyndon prefixes. A Lyndon prefix ends where the
+    next smaller suffix starts, so within a group the order is that of those suffixes: going up the
+    order, each placed suffix places the ones that end at it, which are a chain of previous-smaller
+    pointers. Nothing is renamed and no group is sorted again.
     """
     n = len(text)
-    rank = _lyndon_ranks(text)
-    size = [rank[i][1] for i in range(n)]
-    heads = sorted(range(n), key=lambda i: text[i : i + size[i]])
-    slot: dict[bytes, int] = {}
-    group = [b""] * n
-    for place, i in enumerate(heads):
-        group[i] = text[i : i + size[i]]
-        slot.setdefault(group[i], place)
-    before: dict[int, list[int]] = {}
-    for i in range(n):
-        before.setdefault(i + size[i], []).append(i)
-    order: list[int] = [-1] * n
-    fill = dict(slot)
-
-    def put(end: int) -> None:
-        for i in before.get(end, ()):
-            order[fill[group[i]]] = i
-            fill[group[i]] += 1
-
-    put(n)
+    group, size, smaller = lyndon_groups(text)
+    free, order = list(range(n)), [0] * n
+    end = n
     for place in range(n):
-        put(order[place])
+        j = end - 1
+        while j >= 0 and j + size[j] == end:
+            g = group[j]
+            order[free[g]] = j
+            free[g] += 1
+            j = smaller[j]
+        end = order[place]
     return order
 
 
-def _lyndon_ranks(text: bytes) -> list[tuple[int, int]]:
-    """(start, length of the longest Lyndon prefix) of each suffix, right to left with a stack of factors."""
-    out: list[tuple[int, int]] = [(0, 0)] * len(text)
-    stack: list[int] = []
-    size = [0] * len(text)
-    for i in range(len(text) - 1, -1, -1):
-        length = 1
-        while stack and text[i : i + length] < text[stack[-1] : stack[-1] + size[stack[-1]]]:
-            length += size[stack.pop()]
-        size[i] = length
-        stack.append(i)
-        out[i] = (i, length)
+def lyndon_groups(text: bytes) -> tuple[list[int], list[int], list[int]]:
+    """For each suffix: first place of its group, length of its Lyndon prefix, the nearest earlier suffix of a lower group (-1: none).
+
+    Groups start as those of the first byte and are taken from the highest down. A member's pointer skips
+    earlier members and higher groups, whose own pointers are final. The suffix it finds is followed by the
+    group's prefix as often as members point at it, so it leaves its group upwards, the more copies the higher.
+    """
+    n = len(text)
+    order = np.argsort(np.frombuffer(text, dtype=np.uint8), kind="stable")
+    count = np.bincount(np.frombuffer(text, dtype=np.uint8), minlength=256)
+    begin = np.cumsum(count) - count
+    place = np.empty(n, dtype=np.int64)
+    place[order] = np.arange(n)
+    group = begin[np.frombuffer(text, dtype=np.uint8)].tolist() + [-1]
+    ends = [0] * (n + 1)
+    for g, c in zip(begin.tolist(), count.tolist(), strict=True):
+        if c:
+            ends[g] = g + c
+    members, at = order.tolist(), place.tolist()
+    size, smaller = [1] * n, [-1] * n
+    stop = n
+    while stop:
+        start = group[members[stop - 1]]
+        if stop - start == 1:
+            i = members[start]
+            p = i - 1
+            while group[p] >= start:
+                p = smaller[p]
+            smaller[i] = p
+            if p >= 0:
+                size[p] += size[i]
+                g = group[p]
+                last = ends[g] - 1
+                here, other = at[p], members[last]
+                members[here], members[last] = other, p
+                at[other], at[p] = here, last
+                group[p] = ends[g] = last
+                ends[last] = last + 1
+            stop = start
+            continue
+        copies: dict[int, int] = {}
+        for i in sorted(members[start:stop]):
+            p = i - 1
+            while group[p] >= start:
+                p = smaller[p]
+            smaller[i] = p
+            copies[p] = copies.get(p, 0) + 1
+        copies.pop(-1, None)
+        length = size[members[start]]
+        kinds = sorted(set(copies.values()), reverse=True)
+        for times in kinds:
+            found = copies if len(kinds) == 1 else [p for p, c in copies.items() if c == times]
+            old: dict[int, int] = {}
+            for p in found:
+                size[p] += length * times
+                g = group[p]
+                last = ends[g] - 1
+                if g not in old:
+                    old[g] = last + 1
+                ends[g] = last
+                here, other = at[p], members[last]
+                members[here], members[last] = other, p
+                at[other], at[p] = here, last
+            for p in found:
+                group[p] = ends[group[p]]
+            for g, end in old.items():
+                ends[ends[g]] = end
+        stop = start
+    group.pop()
+    return group, size, smaller
+
+
+def repeat_classes(text: bytes, starts: np.ndarray, width: int) -> np.ndarray:
+    """Class number of the ``width`` bytes at each of ``starts``, from neighbours in the suffix array that share them."""
+    if not len(starts):
+        return np.zeros(0, dtype=np.int64)
+    index = np.full(len(text), -1, dtype=np.int64)
+    index[starts] = np.arange(len(starts))
+    ordered = index[np.array(suffix_array(text), dtype=np.int64)]
+    ordered = ordered[ordered >= 0]
+    windows = np.lib.stride_tricks.sliding_window_view(np.frombuffer(text, dtype=np.uint8), width)
+    new = np.ones(len(ordered), dtype=bool)
+    for a in range(1, len(ordered), 1 << 15):
+        b = min(len(ordered), a + (1 << 15))
+        new[a:b] = (windows[starts[ordered[a:b]]] != windows[starts[ordered[a - 1 : b - 1]]]).any(axis=1)
+    out = np.empty(len(starts), dtype=np.int64)
+    out[ordered] = np.cumsum(new) - 1
     return out

@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -62,9 +63,35 @@ def test_repeated_bytes(docs):
 
 def test_suffix_order():
     rng = random.Random(1)
-    for _ in range(200):
-        t = bytes(rng.choice(b"ab\x00") for _ in range(rng.randint(0, 40)))
+    for k in range(600):
+        letters = rng.choice([b"ab\x00", b"a", b"abc", bytes(range(256))])
+        t = bytes(rng.choice(letters) for _ in range(rng.randint(0, 40))) * rng.choice([1, 1, 3])
         assert suffixes.suffix_array(t) == sorted(range(len(t)), key=lambda i: t[i:])
+        starts = np.flatnonzero(np.array([rng.random() < 0.7 for _ in range(max(0, len(t) - 4))]))
+        number, seen = suffixes.repeat_classes(t, starts, 5).tolist(), {}
+        assert all(seen.setdefault(t[i : i + 5], n) == n for i, n in zip(starts.tolist(), number, strict=True))
+        assert len(set(number)) == len(seen)
+
+
+def test_lyndon_groups():
+    rng = random.Random(2)
+    for _ in range(200):
+        t = bytes(rng.choice(b"abc") for _ in range(rng.randint(0, 30)))
+        group, size, smaller = suffixes.lyndon_groups(t)
+        for i in range(len(t)):
+            after = next((j for j in range(i + 1, len(t)) if t[j:] < t[i:]), len(t))
+            assert size[i] == after - i
+            word = t[i:after]
+            assert smaller[i] == max((j for j in range(i) if t[j : j + size[j]] < word), default=-1)
+            assert group[i] == sum(t[j : j + size[j]] < word for j in range(len(t)))
+
+
+def test_anchors_of_long_texts(monkeypatch):
+    data = np.frombuffer(b"ab" * 300 + bytes(random.Random(4).choices(range(256), k=3000)) + b"a" * 500, dtype=np.uint8)
+    table = pa.table({"doc_id": pa.array([1]), "text": pa.array([data.tobytes()], type=pa.binary())})
+    whole = suffixes.Chunk(table, 100)
+    monkeypatch.setattr(suffixes, "SLAB", 64)
+    assert all((getattr(whole, x) == getattr(suffixes.Chunk(table, 100), x)).all() for x in ("at", "first", "last"))
 
 
 def test_simhash_components(docs):
