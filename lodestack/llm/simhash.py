@@ -57,16 +57,29 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits((ones * 2 > len(hashes)).astype(np.uint8), bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fp) of every row; ``fp`` is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42, wide: bool = False) -> DataFrame:
+    """(doc_id, fp) of every row; ``fp`` is the fingerprint as a signed long. ``wide`` adds two more, w1 and w2, of remixed hashes."""
+    names = ["fp", "w1", "w2"] if wide else ["fp"]
 
     def run(batches):
         for batch in batches:
-            found = [fingerprint(shingle_hashes(x, width, seed)) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, type=pa.int64())], names=["doc_id", "fp"])
+            hashes = (shingle_hashes(x, width, seed) for x in batch.column(1).to_pylist())
+            rows = [[fingerprint(remixed(h, k)) for k in range(len(names))] for h in hashes]
+            columns = zip(*rows, strict=True) if rows else [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, type=pa.int64()) for c in columns)], names=["doc_id", *names])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
-    return own.mapInArrow(run, "doc_id long, fp long")
+    return own.mapInArrow(run, ", ".join(f"{x} long" for x in ["doc_id", *names]))
+
+
+def remixed(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Hashes independent of the given ones for each ``k``; the given ones for 0."""
+    if not k:
+        return hashes
+    x = hashes + np.uint64(k * 0x9E3779B97F4A7C15 & int(ONES))
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
 
 
 def block_masks(radius: int) -> list[int]:
@@ -242,28 +255,37 @@ def _with_component(fps: DataFrame, distinct: DataFrame, groups: DataFrame) -> D
     return fps.join(rooted.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def near_duplicates_checked(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 14, tables: int = 32, bits: int = 16) -> DataFrame:
+def near_duplicates_checked(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 16, tables: int = 64, bits: int = 16, wide_radius: int = 40) -> DataFrame:
     """(doc_id, fp, component_id), linking documents of which at least ``similarity`` of the distinct shingles agree.
 
-    SimHash buckets of sampled bits give candidates within ``radius`` bits; the
-    shingles of their texts decide. Equal fingerprints count as equal texts.
+    SimHash buckets of sampled bits give candidates within ``radius`` bits. Two
+    more fingerprints, ``wide_radius`` of 128 bits, part chance neighbours from
+    the rest without their texts (five deviations above what 0.8 similarity
+    gives); the shingles of the whole texts decide what remains. Equal
+    fingerprints count as equal texts.
     """
     work = Workspace(docs.sparkSession)
-    fps = work.save(fingerprints(docs, width))
-    distinct = work.save(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    pairs = work.save(links(distinct, radius, sampled_masks(tables, bits), star=False).distinct())
+    fps = work.save(fingerprints(docs, width, wide=True))
+    first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "w1", "w2"))).alias("first")
+    known = work.save(fps.groupBy("fp").agg(first).select("fp", F.col("first.doc_id").alias("first_id"), "first.w1", "first.w2"))
+    distinct = known.select("fp", "first_id")
+    pairs = links(distinct, radius, sampled_masks(tables, bits), star=False).distinct()
+    one, two = (known.where("first_id is not null").select(F.col("fp").alias(x), F.col("w1").alias(f"{x}1"), F.col("w2").alias(f"{x}2")) for x in "ab")
+    apart = F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) + F.bit_count(F.col("a2").bitwiseXOR(F.col("b2")))
+    pairs = work.save(pairs.join(one, "a").join(two, "b").where(apart <= wide_radius).select("a", "b"))
     ends = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
-    chosen = distinct.join(ends, "fp").where("first_id is not null").select(F.col("first_id").alias("doc_id"), F.col("fp").alias("of_fp"))
+    chosen = distinct.join(ends, "fp").select(F.col("first_id").alias("doc_id"))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
 
     def run(batches):
         for batch in batches:
-            sets = [np.unique(shingle_hashes(x, width)).view(np.int64) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, type=pa.list_(pa.int64()))], names=["fp", "shingles"])
+            hashes = [shingle_hashes(x, width) for x in batch.column(0).to_pylist()]
+            sets = pa.array([np.unique(h).view(np.int64) for h in hashes], type=pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([fingerprint(h) for h in hashes], type=pa.int64()), sets], names=["fp", "shingles"])
 
-    sets = own.join(chosen, "doc_id").select("of_fp", "text").mapInArrow(run, "fp long, shingles array<long>")
+    sets = own.join(chosen, "doc_id", "left_semi").select("text").mapInArrow(run, "fp long, shingles array<long>")
     sets = work.save(sets.dropDuplicates(["fp"]))
     both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     same = both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
-    return _with_component(fps, distinct, components(same, work))
+    return _with_component(fps.select("doc_id", "fp"), distinct, components(same, work))

@@ -1,5 +1,7 @@
 """Held-out accuracy of the trained operators, the SQL twin of mixing, and the pipeline."""
 
+import random
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -66,6 +68,42 @@ def test_near_copies_of_the_stage(spark):
     assert {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates_checked(docs).collect()} == {0: 0, 1: 0, 2: 2, 3: 3}
 
 
+def test_near_copies_against_brute_force(spark):
+    rng = random.Random(8)
+    texts = []
+    for _ in range(60):
+        words = [f"w{rng.randrange(900)}" for _ in range(rng.choice([60, 200, 500]))]
+        texts.append(words)
+        for _ in range(3):
+            changed = {rng.randrange(len(words)) for _ in range(rng.randrange(1, 1 + len(words) // 45))}
+            texts.append([f"c{rng.randrange(900)}" if i in changed else w for i, w in enumerate(words)])
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    likeness = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in range(len(texts)) for j in range(i)}
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)] + [(None, "a b"), (7, " ".join(texts[7]))], "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates_checked(docs).collect() if r["doc_id"] is not None}
+    root = list(range(len(texts)))
+    for _ in range(4):
+        for (i, j), like in likeness.items():
+            if like >= 0.8:
+                root[i] = root[j] = min(root[i], root[j])
+    near = [(i, j) for (i, j), like in likeness.items() if like >= 0.8]
+    assert all(root[i] == root[c] for i, c in found.items()) and len(near) > 60
+    assert sum(found[i] == found[j] for i, j in near) >= 0.93 * len(near)
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls in any column, blank and repeated rows, extra columns of clashing names, and no rows at all."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, fp long, first_id long, score double, key string"
+    good = "the people of the valley kept a long account of every winter that came over the hills. " * 3
+    rows = [(None, good, None, None, None), (1, None, "en", "s1", 0), (2, "", "en", None, None), (3, good + "a key", None, "s1", 9), (3, good + "a key", None, "s1", 9), (4, good * 900, "en", "s1", 5)]
+    for made in ([(*r, 1, 2, 0.5, "k") for r in rows], []):
+        work, now = Workspace(spark), spark.createDataFrame(made, schema)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            now = work.save(stage(spark, now, DIR))
+            assert now.columns == [x.split()[0] for x in schema.split(", ")] and bool(made) >= bool(now.count()), name
+        assert corpus_pipeline.packed(spark, now, DIR).count() >= now.count()
+
+
 def test_pipeline_stages(spark, docs):
     work, now = Workspace(spark), docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
