@@ -176,12 +176,12 @@ def roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 def _units(batches, columns: int) -> Iterator[np.ndarray]:
-    """Rows of the sorted batches in blocks that end between two units; the last column is the fingerprint."""
+    """Rows of the sorted batches in blocks that end between two units, which the first three columns name."""
     kept = []
     for batch in batches:
         kept.append(np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(columns)]))
         table = np.concatenate(kept)
-        changes = np.flatnonzero((table[1:, :-1] != table[:-1, :-1]).any(axis=1)) + 1
+        changes = np.flatnonzero((table[1:, :3] != table[:-1, :3]).any(axis=1)) + 1
         start = 0
         for at in changes:
             if at - start >= 256:
@@ -197,21 +197,27 @@ def links(distinct: DataFrame, radius: int, masks: list[int], star: bool = True)
 
     ``star=True``: stars over each task's link groups, the same components as all
     links. ``star=False``: each fingerprint's links to its nearest and to its
-    least partner of a block, for callers that check links further.
+    least partner of a block, for callers that check links further; partners
+    of the same ``group`` (a column of ``distinct`` then) are passed over.
     """
+    rest = ["fp"] if star else ["fp", "group"]
     keys = F.array(*[F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for t, m in enumerate(masks)])
-    keyed = distinct.select(F.explode(keys).alias("key"), "fp")
+    keyed = distinct.select(F.explode(keys).alias("key"), *rest)
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     split = keyed.join(sizes, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     split = split.withColumn("own", F.pmod(F.xxhash64("fp"), "blocks").cast("int"))
     split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    units = split.select("key", F.least("own", "other").cast("long").alias("low"), F.greatest("own", "other").cast("long").alias("high"), "fp")
+    units = split.select("key", F.least("own", "other").cast("long").alias("low"), F.greatest("own", "other").cast("long").alias("high"), *rest)
 
     def run(batches):
         seen: set[tuple[int, int]] = set()
-        for table in _units(batches, 4):
-            fps = np.unique(table[:, 3])
+        for table in _units(batches, 3 + len(rest)):
+            fps, at = np.unique(table[:, 3], return_index=True)
             i, j = close_pairs(fps.view(np.uint64), radius)
+            if not star:
+                group = table[at, 4]
+                apart = group[i] != group[j]
+                i, j = i[apart], j[apart]
             if not len(i):
                 continue
             if star:
@@ -255,24 +261,42 @@ def _with_component(fps: DataFrame, distinct: DataFrame, groups: DataFrame) -> D
     return fps.join(rooted.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def near_duplicates_checked(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 16, tables: int = 64, bits: int = 16, wide_radius: int = 40) -> DataFrame:
+def near_duplicates_checked(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 16, tables: int = 64, bits: int = 16, wide_radius: int = 40, first_tables: int = 8) -> DataFrame:
     """(doc_id, fp, component_id), linking documents of which at least ``similarity`` of the distinct shingles agree.
 
     SimHash buckets of sampled bits give candidates within ``radius`` bits. Two
     more fingerprints, ``wide_radius`` of 128 bits, part chance neighbours from
     the rest without their texts (five deviations above what 0.8 similarity
-    gives); the shingles of the whole texts decide what remains. Equal
-    fingerprints count as equal texts.
+    gives); the shingles of the whole texts decide what remains. The links of
+    the ``first_tables`` masks make groups, and the other masks look for
+    partners outside of a fingerprint's group only: a link inside adds nothing.
+    Equal fingerprints count as equal texts.
     """
     work = Workspace(docs.sparkSession)
     fps = work.save(fingerprints(docs, width, wide=True))
     first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "w1", "w2"))).alias("first")
     known = work.save(fps.groupBy("fp").agg(first).select("fp", F.col("first.doc_id").alias("first_id"), "first.w1", "first.w2"))
     distinct = known.select("fp", "first_id")
-    pairs = links(distinct, radius, sampled_masks(tables, bits), star=False).distinct()
-    one, two = (known.where("first_id is not null").select(F.col("fp").alias(x), F.col("w1").alias(f"{x}1"), F.col("w2").alias(f"{x}2")) for x in "ab")
+    masks = sampled_masks(tables, bits)
+    grouped, same, groups = known.where("first_id is not null").withColumn("group", F.col("fp")), None, None
+    for part in filter(None, (masks[:first_tables], masks[first_tables:])):
+        pairs = work.save(_close_by_wide(links(grouped.select("fp", "group"), radius, part, star=False).distinct(), known, wide_radius))
+        alike = work.save(_close_by_shingles(pairs, distinct, docs, width, similarity, work))
+        same = alike if same is None else same.unionByName(alike)
+        groups = components(same, work)
+        grouped = distinct.where("first_id is not null").join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("group"))
+    return _with_component(fps.select("doc_id", "fp"), distinct, groups)
+
+
+def _close_by_wide(pairs: DataFrame, known: DataFrame, wide_radius: int) -> DataFrame:
+    """The pairs whose two further fingerprints differ in at most ``wide_radius`` bits."""
+    one, two = (known.select(F.col("fp").alias(x), F.col("w1").alias(f"{x}1"), F.col("w2").alias(f"{x}2")) for x in "ab")
     apart = F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) + F.bit_count(F.col("a2").bitwiseXOR(F.col("b2")))
-    pairs = work.save(pairs.join(one, "a").join(two, "b").where(apart <= wide_radius).select("a", "b"))
+    return pairs.join(one, "a").join(two, "b").where(apart <= wide_radius).select("a", "b")
+
+
+def _close_by_shingles(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, width: int, similarity: float, work: Workspace) -> DataFrame:
+    """The pairs of which the whole texts share ``similarity`` of their distinct shingles."""
     ends = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
     chosen = distinct.join(ends, "fp").select(F.col("first_id").alias("doc_id"))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
@@ -287,5 +311,4 @@ def near_duplicates_checked(docs: DataFrame, width: int = 5, similarity: float =
     sets = work.save(sets.dropDuplicates(["fp"]))
     both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
-    same = both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
-    return _with_component(fps.select("doc_id", "fp"), distinct, components(same, work))
+    return both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
