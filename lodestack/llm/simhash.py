@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -128,15 +128,14 @@ class Counters:
         self.planes = [p[rows] for p in self.planes]
 
 
-def close_pairs(fps: np.ndarray, radius: int, rows_at_once: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (i < j) of fingerprints that differ in at most ``radius`` bits."""
+def close_parts(fps: np.ndarray, radius: int, rows_at_once: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (i < j) of fingerprints that differ in at most ``radius`` bits, in parts of bounded size."""
     n = len(fps)
     width = -(-n // 64)
     bits = np.unpackbits(fps.astype("<u8").view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
     slices = np.zeros((64, width * 64), dtype=np.uint8)
     slices[:, :n] = bits.T
     planes = np.packbits(slices, axis=1, bitorder="little").view(np.uint64).reshape(64, width)
-    left, right = [], []
     for start in range(0, n, rows_at_once):
         rows = np.arange(start, min(n, start + rows_at_once))
         done = np.arange(width * 64)[None, :] <= rows[:, None]  # each pair once
@@ -155,10 +154,13 @@ def close_pairs(fps: np.ndarray, radius: int, rows_at_once: int = 512) -> tuple[
         if len(rows):
             near = np.unpackbits((~count.exceeded()).view(np.uint8).reshape(len(rows), -1), axis=1, bitorder="little")
             i, j = np.nonzero(near)
-            left.append(rows[i])
-            right.append(j)
-    if not left:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+            yield rows[i], j
+
+
+def close_pairs(fps: np.ndarray, radius: int, rows_at_once: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs (i < j) of fingerprints that differ in at most ``radius`` bits."""
+    none = np.zeros(0, dtype=np.int64)
+    left, right = zip((none, none), *close_parts(fps, radius, rows_at_once), strict=True)
     return np.concatenate(left), np.concatenate(right)
 
 
@@ -192,58 +194,82 @@ def _units(batches, columns: int) -> Iterator[np.ndarray]:
         yield kept[0]
 
 
-def links(distinct: DataFrame, radius: int, masks: list[int], star: bool = True) -> DataFrame:
-    """Links (a, b) between the fingerprints of ``distinct`` (column fp).
-
-    ``star=True``: stars over each task's link groups, the same components as all
-    links. ``star=False``: each fingerprint's links to its nearest and to its
-    least partner of a block, for callers that check links further; partners
-    of the same ``group`` (a column of ``distinct`` then) are passed over.
-    """
-    rest = ["fp"] if star else ["fp", "group"]
-    keys = F.array(*[F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for t, m in enumerate(masks)])
-    keyed = distinct.select(F.explode(keys).alias("key"), *rest)
+def _dealt(keyed: DataFrame, by: str) -> DataFrame:
+    """Rows of keys that several rows share, with (key, low, high) in front; rows of a large key meet in pairs of sub-blocks."""
+    rest = [c for c in keyed.columns if c != "key"]
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     split = keyed.join(sizes, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    split = split.withColumn("own", F.pmod(F.xxhash64("fp"), "blocks").cast("int"))
+    split = split.withColumn("own", F.pmod(F.xxhash64(by), "blocks").cast("int"))
     split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     units = split.select("key", F.least("own", "other").cast("long").alias("low"), F.greatest("own", "other").cast("long").alias("high"), *rest)
+    return units.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+
+
+def _mask_keys(masks: list[int]) -> Column:
+    return F.array(*[F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for t, m in enumerate(masks)])
+
+
+def _batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, type=pa.int64()), pa.array(b, type=pa.int64())], names=["a", "b"])
+
+
+def links(distinct: DataFrame, radius: int, masks: list[int]) -> DataFrame:
+    """Links (a, b) between the fingerprints of ``distinct`` (column fp): stars over
+    each task's link groups, the same components as all links."""
+    keyed = distinct.select(F.explode(_mask_keys(masks)).alias("key"), "fp")
 
     def run(batches):
         seen: set[tuple[int, int]] = set()
-        for table in _units(batches, 3 + len(rest)):
-            fps, at = np.unique(table[:, 3], return_index=True)
+        for table in _units(batches, 4):
+            fps = np.unique(table[:, 3])
             i, j = close_pairs(fps.view(np.uint64), radius)
-            if not star:
-                group = table[at, 4]
-                apart = group[i] != group[j]
-                i, j = i[apart], j[apart]
             if not len(i):
                 continue
-            if star:
-                top = roots(len(fps), i, j)
-                member = np.flatnonzero(top != np.arange(len(fps)))
-                found = set(zip(fps[top[member]].tolist(), fps[member].tolist(), strict=True))
-            else:
-                found = _partners(fps, i, j)
+            top = roots(len(fps), i, j)
+            member = np.flatnonzero(top != np.arange(len(fps)))
+            found = set(zip(fps[top[member]].tolist(), fps[member].tolist(), strict=True))
             new = found - seen
             seen = seen | new if len(seen) < 500_000 else new
             if new:
-                a, b = zip(*new, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, type=pa.int64()), pa.array(b, type=pa.int64())], names=["a", "b"])
+                yield _batch(*zip(*new, strict=True))
+
+    return _dealt(keyed, "fp").mapInArrow(run, "a long, b long")
+
 
-    return units.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(run, "a long, b long")
+def candidates(keyed: DataFrame, radius: int, wide_radius: int, every: bool) -> DataFrame:
+    """Pairs (a, b) of nodes of different groups; ``keyed`` has key, node, fp, w1, w2, group.
 
+    Members of a key are a pair if ``fp`` differs in at most ``radius`` bits and
+    w1 and w2 together in at most ``wide_radius``. ``every=True``: all of these
+    pairs. ``every=False``: each node's nearest and least partner of a block only,
+    to make groups from before all pairs across them are asked for.
+    """
 
-def _partners(fps: np.ndarray, i: np.ndarray, j: np.ndarray) -> set[tuple[int, int]]:
-    apart = np.bitwise_count((fps[i] ^ fps[j]).view(np.uint64)).astype(np.int64)
-    one, two, apart = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([apart, apart])
-    out = set()
-    for order in (np.lexsort((two, apart, one)), np.lexsort((two, one))):
-        first = order[np.unique(one[order], return_index=True)[1]]
-        for a, b in zip(fps[one[first]].tolist(), fps[two[first]].tolist(), strict=True):
-            out.add((min(a, b), max(a, b)))
-    return out
+    def run(batches):
+        for table in _units(batches, 8):
+            node, at = np.unique(table[:, 3], return_index=True)
+            fp, w1, w2, group = (np.ascontiguousarray(table[at, c]) for c in range(4, 8))
+            if (group == group[0]).all():
+                continue
+            nearest, least = np.full(len(node), 1 << 62), np.full(len(node), len(node))
+            for i, j in close_parts(fp.view(np.uint64), radius):
+                apart = np.flatnonzero(group[i] != group[j])
+                i, j = i[apart], j[apart]
+                differ = sum(np.bitwise_count((w[i] ^ w[j]).view(np.uint64)).astype(np.int64) for w in (w1, w2))
+                close = differ <= wide_radius
+                i, j, differ = i[close], j[close], differ[close]
+                if every and len(i):
+                    yield _batch(node[i], node[j])
+                elif len(i):
+                    for one, two in ((i, j), (j, i)):
+                        np.minimum.at(nearest, one, differ << 32 | two)
+                        np.minimum.at(least, one, two)
+            met = np.flatnonzero(least < len(node))
+            if len(met):
+                one, two = np.tile(node[met], 2), node[np.concatenate([nearest[met] & 0xFFFFFFFF, least[met]])]
+                yield _batch(np.minimum(one, two), np.maximum(one, two))
+
+    return _dealt(keyed, "node").mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, seed: int = 42) -> DataFrame:
@@ -261,15 +287,15 @@ def _with_component(fps: DataFrame, distinct: DataFrame, groups: DataFrame) -> D
     return fps.join(rooted.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def near_duplicates_checked(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 16, tables: int = 64, bits: int = 16, wide_radius: int = 40, first_tables: int = 8) -> DataFrame:
+def near_duplicates_checked(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 16, tables: int = 64, bits: int = 16, wide_radius: int = 40) -> DataFrame:
     """(doc_id, fp, component_id), linking documents of which at least ``similarity`` of the distinct shingles agree.
 
     SimHash buckets of sampled bits give candidates within ``radius`` bits. Two
     more fingerprints, ``wide_radius`` of 128 bits, part chance neighbours from
     the rest without their texts (five deviations above what 0.8 similarity
-    gives); the shingles of the whole texts decide what remains. The links of
-    the ``first_tables`` masks make groups, and the other masks look for
-    partners outside of a fingerprint's group only: a link inside adds nothing.
+    gives); the shingles of the whole texts decide what remains. A first round
+    makes groups from a few partners of each fingerprint; the second takes every
+    pair across two groups: a link inside a group adds nothing.
     Equal fingerprints count as equal texts.
     """
     work = Workspace(docs.sparkSession)
@@ -279,22 +305,16 @@ def near_duplicates_checked(docs: DataFrame, width: int = 5, similarity: float =
     distinct = known.select("fp", "first_id")
     masks = sampled_masks(tables, bits)
     grouped, same, groups = known.where("first_id is not null").withColumn("group", F.col("fp")), None, None
-    for part in filter(None, (masks[:first_tables], masks[first_tables:])):
-        pairs = work.save(_close_by_wide(links(grouped.select("fp", "group"), radius, part, star=False).distinct(), known, wide_radius))
+    for every in (False, True):
+        keyed = grouped.select(F.explode(_mask_keys(masks)).alias("key"), F.col("fp").alias("node"), "fp", "w1", "w2", "group")
+        pairs = work.save(candidates(keyed, radius, wide_radius, every))
         alike = work.save(_close_by_shingles(pairs, distinct, docs, width, similarity, work))
         same = alike if same is None else same.unionByName(alike)
         groups = components(same, work)
-        grouped = distinct.where("first_id is not null").join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("group"))
+        grouped = known.where("first_id is not null").join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("group", F.coalesce("root", "fp"))
     return _with_component(fps.select("doc_id", "fp"), distinct, groups)
 
 
-def _close_by_wide(pairs: DataFrame, known: DataFrame, wide_radius: int) -> DataFrame:
-    """The pairs whose two further fingerprints differ in at most ``wide_radius`` bits."""
-    one, two = (known.select(F.col("fp").alias(x), F.col("w1").alias(f"{x}1"), F.col("w2").alias(f"{x}2")) for x in "ab")
-    apart = F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) + F.bit_count(F.col("a2").bitwiseXOR(F.col("b2")))
-    return pairs.join(one, "a").join(two, "b").where(apart <= wide_radius).select("a", "b")
-
-
 def _close_by_shingles(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, width: int, similarity: float, work: Workspace) -> DataFrame:
     """The pairs of which the whole texts share ``similarity`` of their distinct shingles."""
     ends = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()

@@ -119,6 +119,17 @@ def test_crowded_bucket_is_split(spark, monkeypatch):
     assert found and all((a ^ b).bit_count() <= 2 * 40 for a, b in found)
 
 
+def test_every_candidate_across_groups(spark):
+    """Six nodes of one bucket in three groups: no pair across groups is left out, none inside is asked for."""
+    rows = [(1, n, 7, 1 << n, 0, n // 2) for n in range(6)] + [(1, 6, 7, -1, 0, 9), (1, 7, -8, 0, 0, 8)]
+    keyed = spark.createDataFrame(rows, "key long, node long, fp long, w1 long, w2 long, group long")
+    found = [tuple(r) for r in simhash.candidates(keyed, 16, 40, True).collect()]
+    expected = {(a, b) for b in range(6) for a in range(b) if a // 2 != b // 2}
+    assert set(found) == expected and len(found) == len(expected)
+    some = {tuple(r) for r in simhash.candidates(keyed, 16, 40, False).collect()}
+    assert some <= expected and {x for pair in some for x in pair} == set(range(6))
+
+
 @pytest.mark.parametrize("radius", [0, 1, 2, 5, 12])
 def test_bit_sliced_counts(radius):
     rng = np.random.default_rng(radius)
