@@ -57,19 +57,16 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits((ones * 2 > len(hashes)).astype(np.uint8), bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42, wide: bool = False) -> DataFrame:
-    """(doc_id, fp) of every row; ``fp`` is the fingerprint as a signed long. ``wide`` adds two more, w1 and w2, of remixed hashes."""
-    names = ["fp", "w1", "w2"] if wide else ["fp"]
+def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
+    """(doc_id, fp) of every row; ``fp`` is the fingerprint as a signed long."""
 
     def run(batches):
         for batch in batches:
-            hashes = (shingle_hashes(x, width, seed) for x in batch.column(1).to_pylist())
-            rows = [[fingerprint(remixed(h, k)) for k in range(len(names))] for h in hashes]
-            columns = zip(*rows, strict=True) if rows else [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, type=pa.int64()) for c in columns)], names=["doc_id", *names])
+            fps = [fingerprint(shingle_hashes(x, width, seed)) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, type=pa.int64())], names=["doc_id", "fp"])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
-    return own.mapInArrow(run, ", ".join(f"{x} long" for x in ["doc_id", *names]))
+    return own.mapInArrow(run, "doc_id long, fp long")
 
 
 def remixed(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -278,13 +275,37 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, seed: int
     fps = work.save(fingerprints(docs, width, seed))
     distinct = work.save(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     groups = components(links(distinct, radius, block_masks(radius)), work)
-    return _with_component(fps, distinct, groups)
+    return _with_component(fps.withColumn("node", F.col("fp")), distinct.withColumnRenamed("fp", "node"), groups)
 
 
-def _with_component(fps: DataFrame, distinct: DataFrame, groups: DataFrame) -> DataFrame:
-    rooted = distinct.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first_id")
+def _with_component(rows: DataFrame, distinct: DataFrame, groups: DataFrame) -> DataFrame:
+    """Rows with the least first_id of their node's component."""
+    rooted = distinct.join(groups, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first_id")
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return fps.join(rooted.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return rows.join(rooted.join(least, "root").select("node", "component_id"), "node").select("doc_id", "fp", "component_id")
+
+
+def shingle_set(text: bytes | None, width: int) -> np.ndarray:
+    """The distinct shingles of a text, in order of their hashes."""
+    return np.unique(shingle_hashes(text, width))
+
+
+def set_id(shingles: np.ndarray) -> int:
+    """64 bits that name a set of shingles, as a signed long."""
+    return _signed(xxhash.xxh64_intdigest(shingles.tobytes()))
+
+
+def _set_fingerprints(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, node, fp, w1, w2) of every row: the set's name and three fingerprints, all of the distinct shingles."""
+
+    def run(batches):
+        for batch in batches:
+            sets = [shingle_set(x, width) for x in batch.column(1).to_pylist()]
+            columns = [[set_id(x) for x in sets], *([fingerprint(remixed(x, k)) for x in sets] for k in range(3))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, type=pa.int64()) for c in columns)], names=["doc_id", "node", "fp", "w1", "w2"])
+
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
+    return own.mapInArrow(run, "doc_id long, node long, fp long, w1 long, w2 long")
 
 
 def near_duplicates_checked(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 16, tables: int = 64, bits: int = 16, wide_radius: int = 40) -> DataFrame:
@@ -294,41 +315,41 @@ def near_duplicates_checked(docs: DataFrame, width: int = 5, similarity: float =
     more fingerprints, ``wide_radius`` of 128 bits, part chance neighbours from
     the rest without their texts (five deviations above what 0.8 similarity
     gives); the shingles of the whole texts decide what remains. A first round
-    makes groups from a few partners of each fingerprint; the second takes every
-    pair across two groups: a link inside a group adds nothing.
-    Equal fingerprints count as equal texts.
+    makes groups from a few partners of each text; the second takes every
+    pair across two groups: a link inside a group adds nothing. Texts of the
+    same distinct shingles are one node; texts of one fingerprint need not be.
     """
     work = Workspace(docs.sparkSession)
-    fps = work.save(fingerprints(docs, width, wide=True))
-    first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "w1", "w2"))).alias("first")
-    known = work.save(fps.groupBy("fp").agg(first).select("fp", F.col("first.doc_id").alias("first_id"), "first.w1", "first.w2"))
-    distinct = known.select("fp", "first_id")
+    rows = work.save(_set_fingerprints(docs, width))
+    first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "fp", "w1", "w2"))).alias("first")
+    known = work.save(rows.groupBy("node").agg(first).select("node", F.col("first.doc_id").alias("first_id"), "first.fp", "first.w1", "first.w2"))
+    distinct = known.select("node", "first_id")
     masks = sampled_masks(tables, bits)
-    grouped, same, groups = known.where("first_id is not null").withColumn("group", F.col("fp")), None, None
+    grouped, same, groups = known.where("first_id is not null").withColumn("group", F.col("node")), None, None
     for every in (False, True):
-        keyed = grouped.select(F.explode(_mask_keys(masks)).alias("key"), F.col("fp").alias("node"), "fp", "w1", "w2", "group")
+        keyed = grouped.select(F.explode(_mask_keys(masks)).alias("key"), "node", "fp", "w1", "w2", "group")
         pairs = work.save(candidates(keyed, radius, wide_radius, every))
         alike = work.save(_close_by_shingles(pairs, distinct, docs, width, similarity, work))
         same = alike if same is None else same.unionByName(alike)
         groups = components(same, work)
-        grouped = known.where("first_id is not null").join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("group", F.coalesce("root", "fp"))
-    return _with_component(fps.select("doc_id", "fp"), distinct, groups)
+        grouped = known.where("first_id is not null").join(groups, "node", "left").withColumn("group", F.coalesce("root", "node"))
+    return _with_component(rows, distinct, groups)
 
 
 def _close_by_shingles(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, width: int, similarity: float, work: Workspace) -> DataFrame:
     """The pairs of which the whole texts share ``similarity`` of their distinct shingles."""
-    ends = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
-    chosen = distinct.join(ends, "fp").select(F.col("first_id").alias("doc_id"))
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    chosen = distinct.join(ends, "node").select(F.col("first_id").alias("doc_id"))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
 
     def run(batches):
         for batch in batches:
-            hashes = [shingle_hashes(x, width) for x in batch.column(0).to_pylist()]
-            sets = pa.array([np.unique(h).view(np.int64) for h in hashes], type=pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array([fingerprint(h) for h in hashes], type=pa.int64()), sets], names=["fp", "shingles"])
+            own = [shingle_set(x, width) for x in batch.column(0).to_pylist()]
+            sets = pa.array([x.view(np.int64) for x in own], type=pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([set_id(x) for x in own], type=pa.int64()), sets], names=["node", "shingles"])
 
-    sets = own.join(chosen, "doc_id", "left_semi").select("text").mapInArrow(run, "fp long, shingles array<long>")
-    sets = work.save(sets.dropDuplicates(["fp"]))
-    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y")), "b")
+    sets = own.join(chosen, "doc_id", "left_semi").select("text").mapInArrow(run, "node long, shingles array<long>")
+    sets = work.save(sets.dropDuplicates(["node"]))
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")

@@ -68,6 +68,16 @@ def test_near_copies_of_the_stage(spark):
     assert {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates_checked(docs).collect()} == {0: 0, 1: 0, 2: 2, 3: 3}
 
 
+def test_one_fingerprint_is_not_one_text(spark):
+    """A line that is repeated outvotes all else in a fingerprint of repeats; the distinct shingles tell these texts apart and know the copy."""
+    line = " ".join(f"line{i}" for i in range(11))
+    own = [" ".join(f"{x}{i}" for i in range(300)) for x in "ab"]
+    texts = [f"{own[0]} " + f"{line} " * 400, f"{own[1]} " + f"{line} " * 400, f"{own[0]} " + f"{line} " * 2]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert len({simhash.fingerprint(simhash.shingle_hashes(t.encode(), 5)) for t in texts[:2]}) == 1
+    assert {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates_checked(docs).collect()} == {0: 0, 1: 1, 2: 0}
+
+
 def test_near_copies_against_brute_force(spark):
     rng = random.Random(8)
     texts = []
