@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -86,12 +86,6 @@ def block_masks(radius: int) -> list[int]:
     return [a | b for a, b in itertools.combinations(blocks, 2)]
 
 
-def sampled_masks(count: int, bits: int, seed: int = 1) -> list[int]:
-    """Masks of ``bits`` random positions each, for radii beyond the reach of blocks."""
-    rng = np.random.default_rng(seed)
-    return [sum(1 << int(i) for i in rng.choice(64, bits, replace=False)) for _ in range(count)]
-
-
 def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
@@ -202,10 +196,6 @@ def _dealt(keyed: DataFrame, by: str) -> DataFrame:
     return units.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
 
 
-def _mask_keys(masks: list[int]) -> Column:
-    return F.array(*[F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for t, m in enumerate(masks)])
-
-
 def _batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, type=pa.int64()), pa.array(b, type=pa.int64())], names=["a", "b"])
 
@@ -213,7 +203,8 @@ def _batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
 def links(distinct: DataFrame, radius: int, masks: list[int]) -> DataFrame:
     """Links (a, b) between the fingerprints of ``distinct`` (column fp): stars over
     each task's link groups, the same components as all links."""
-    keyed = distinct.select(F.explode(_mask_keys(masks)).alias("key"), "fp")
+    keys = F.array(*[F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for t, m in enumerate(masks)])
+    keyed = distinct.select(F.explode(keys).alias("key"), "fp")
 
     def run(batches):
         seen: set[tuple[int, int]] = set()
@@ -295,39 +286,53 @@ def set_id(shingles: np.ndarray) -> int:
     return _signed(xxhash.xxh64_intdigest(shingles.tobytes()))
 
 
-def _set_fingerprints(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, node, fp, w1, w2) of every row: the set's name and three fingerprints, all of the distinct shingles."""
+def band_keys(shingles: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """A key for each band: sets of similarity s share a given one with probability s ** rows."""
+    if not len(shingles):
+        return np.zeros(0, dtype=np.int64)
+    odd = np.random.default_rng(7).integers(0, 1 << 63, (2, bands * rows, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    least = np.full(bands * rows, ONES)
+    for start in range(0, len(shingles), 4096):
+        least = np.minimum(least, (remixed(shingles[start : start + 4096], 3)[None, :] * odd[0] + odd[1]).min(axis=1))
+    mixed = (remixed(least, 4) * odd[1, :, 0]).reshape(bands, rows).sum(axis=1, dtype=np.uint64)
+    return remixed(mixed + np.arange(bands, dtype=np.uint64), 5).view(np.int64)
+
+
+def _set_fingerprints(docs: DataFrame, width: int, bands: int, band_rows: int) -> DataFrame:
+    """(doc_id, node, fp, w1, w2, keys) of every row: the set's name, three fingerprints and the band keys, all of the distinct shingles."""
 
     def run(batches):
         for batch in batches:
             sets = [shingle_set(x, width) for x in batch.column(1).to_pylist()]
             columns = [[set_id(x) for x in sets], *([fingerprint(remixed(x, k)) for x in sets] for k in range(3))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, type=pa.int64()) for c in columns)], names=["doc_id", "node", "fp", "w1", "w2"])
+            keys = pa.array([band_keys(x, bands, band_rows) for x in sets], type=pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, type=pa.int64()) for c in columns), keys], names=["doc_id", "node", "fp", "w1", "w2", "keys"])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
-    return own.mapInArrow(run, "doc_id long, node long, fp long, w1 long, w2 long")
+    return own.mapInArrow(run, "doc_id long, node long, fp long, w1 long, w2 long, keys array<long>")
 
 
-def near_duplicates_checked(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 16, tables: int = 64, bits: int = 16, wide_radius: int = 40) -> DataFrame:
+def near_duplicates_checked(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 24, wide_radius: int = 46, bands: int = 24, band_rows: int = 4) -> DataFrame:
     """(doc_id, fp, component_id), linking documents of which at least ``similarity`` of the distinct shingles agree.
 
-    SimHash buckets of sampled bits give candidates within ``radius`` bits. Two
-    more fingerprints, ``wide_radius`` of 128 bits, part chance neighbours from
-    the rest without their texts (five deviations above what 0.8 similarity
-    gives); the shingles of the whole texts decide what remains. A first round
-    makes groups from a few partners of each text; the second takes every
-    pair across two groups: a link inside a group adds nothing. Texts of the
-    same distinct shingles are one node; texts of one fingerprint need not be.
+    Texts meet where one of ``bands`` keys agrees, each made of ``band_rows`` least
+    hashes of the set; at 0.8 similarity one does with probability 0.999997. The
+    SimHash fingerprints part chance neighbours from the rest without their
+    texts: ``radius`` of 64 bits and ``wide_radius`` of 128 more are at least five
+    deviations above what 0.8 similarity gives; the shingles of the whole
+    texts decide what remains. A first round makes groups from a few partners of
+    each text; the second takes every pair across two groups: a link inside a
+    group adds nothing. Texts of the same distinct shingles are one node; texts
+    of one fingerprint need not be.
     """
     work = Workspace(docs.sparkSession)
-    rows = work.save(_set_fingerprints(docs, width))
-    first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "fp", "w1", "w2"))).alias("first")
-    known = work.save(rows.groupBy("node").agg(first).select("node", F.col("first.doc_id").alias("first_id"), "first.fp", "first.w1", "first.w2"))
+    rows = work.save(_set_fingerprints(docs, width, bands, band_rows))
+    first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "fp", "w1", "w2", "keys"))).alias("first")
+    known = work.save(rows.groupBy("node").agg(first).select("node", F.col("first.doc_id").alias("first_id"), "first.fp", "first.w1", "first.w2", "first.keys"))
     distinct = known.select("node", "first_id")
-    masks = sampled_masks(tables, bits)
     grouped, same, groups = known.where("first_id is not null").withColumn("group", F.col("node")), None, None
     for every in (False, True):
-        keyed = grouped.select(F.explode(_mask_keys(masks)).alias("key"), "node", "fp", "w1", "w2", "group")
+        keyed = grouped.select(F.explode("keys").alias("key"), "node", "fp", "w1", "w2", "group")
         pairs = work.save(candidates(keyed, radius, wide_radius, every))
         alike = work.save(_close_by_shingles(pairs, distinct, docs, width, similarity, work))
         same = alike if same is None else same.unionByName(alike)

@@ -68,6 +68,23 @@ def test_near_copies_of_the_stage(spark):
     assert {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates_checked(docs).collect()} == {0: 0, 1: 0, 2: 2, 3: 3}
 
 
+def test_pairs_near_the_threshold(spark):
+    """Pairs of two texts, which no third one joins: all of 0.8 to 0.85 are found, and none below 0.8."""
+    rng = random.Random(5)
+    texts = []
+    for n in range(600):
+        words = [f"w{n}x{i}" for i in range(rng.choice([60, 150, 300]))]
+        changed = set(rng.sample(range(2, len(words) - 2), max(1, round(len(words) * rng.uniform(0.017, 0.03)))))
+        texts += [words, [f"c{n}x{i}" if i in changed else w for i, w in enumerate(words)]]
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    like = [len(a & b) / len(a | b) for a, b in zip(sets[::2], sets[1::2], strict=True)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates_checked(docs).collect()}
+    band = [n for n, x in enumerate(like) if 0.8 <= x < 0.85]
+    assert len(band) > 100 and [n for n in band if found[2 * n + 1] != 2 * n] == []
+    assert [n for n, x in enumerate(like) if x < 0.8 and found[2 * n + 1] == 2 * n] == []
+
+
 def test_one_fingerprint_is_not_one_text(spark):
     """A line that is repeated outvotes all else in a fingerprint of repeats; the distinct shingles tell these texts apart and know the copy."""
     line = " ".join(f"line{i}" for i in range(11))
