@@ -17,7 +17,7 @@ repeated rows fall into one component; an empty table gives an empty result.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import vectors
 from .components import components
 from .workspace import Workspace
 
@@ -224,34 +225,39 @@ def links(distinct: DataFrame, radius: int, masks: list[int]) -> DataFrame:
     return _dealt(keyed, "fp").mapInArrow(run, "a long, b long")
 
 
-def candidates(keyed: DataFrame, radius: int, wide_radius: int, every: bool) -> DataFrame:
-    """Pairs (a, b) of nodes of different groups; ``keyed`` has key, node, fp, w1, w2, group.
+def _across(fp: np.ndarray, w1: np.ndarray, w2: np.ndarray, group: np.ndarray, radius: int, wide_radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Index pairs of different groups, close by both tests, with the differing bits of w1 and w2."""
+    if (group == group[0]).all():
+        return
+    for i, j in close_parts(fp.view(np.uint64), radius):
+        apart = np.flatnonzero(group[i] != group[j])
+        i, j = i[apart], j[apart]
+        differ = sum(np.bitwise_count((w[i] ^ w[j]).view(np.uint64)).astype(np.int64) for w in (w1, w2))
+        close = differ <= wide_radius
+        if close.any():
+            yield i[close], j[close], differ[close]
 
-    Members of a key are a pair if ``fp`` differs in at most ``radius`` bits and
-    w1 and w2 together in at most ``wide_radius``. ``every=True``: all of these
-    pairs. ``every=False``: each node's nearest and least partner of a block only,
-    to make groups from before all pairs across them are asked for.
+
+def _members(table: np.ndarray) -> list[np.ndarray]:
+    """node, fp, w1, w2, group of a block, each node once."""
+    at = np.unique(table[:, 3], return_index=True)[1]
+    return [np.ascontiguousarray(table[at, c]) for c in range(3, 8)]
+
+
+def partners(keyed: DataFrame, radius: int, wide_radius: int) -> DataFrame:
+    """Pairs (a, b) of close nodes that share a key: each node's nearest and least partner of a block.
+
+    ``keyed`` has key, node, fp, w1, w2, group.
     """
 
     def run(batches):
         for table in _units(batches, 8):
-            node, at = np.unique(table[:, 3], return_index=True)
-            fp, w1, w2, group = (np.ascontiguousarray(table[at, c]) for c in range(4, 8))
-            if (group == group[0]).all():
-                continue
+            node, *rest = _members(table)
             nearest, least = np.full(len(node), 1 << 62), np.full(len(node), len(node))
-            for i, j in close_parts(fp.view(np.uint64), radius):
-                apart = np.flatnonzero(group[i] != group[j])
-                i, j = i[apart], j[apart]
-                differ = sum(np.bitwise_count((w[i] ^ w[j]).view(np.uint64)).astype(np.int64) for w in (w1, w2))
-                close = differ <= wide_radius
-                i, j, differ = i[close], j[close], differ[close]
-                if every and len(i):
-                    yield _batch(node[i], node[j])
-                elif len(i):
-                    for one, two in ((i, j), (j, i)):
-                        np.minimum.at(nearest, one, differ << 32 | two)
-                        np.minimum.at(least, one, two)
+            for i, j, differ in _across(*rest, radius, wide_radius):
+                for one, two in ((i, j), (j, i)):
+                    np.minimum.at(nearest, one, differ << 32 | two)
+                    np.minimum.at(least, one, two)
             met = np.flatnonzero(least < len(node))
             if len(met):
                 one, two = np.tile(node[met], 2), node[np.concatenate([nearest[met] & 0xFFFFFFFF, least[met]])]
@@ -260,6 +266,38 @@ def candidates(keyed: DataFrame, radius: int, wide_radius: int, every: bool) ->
     return _dealt(keyed, "node").mapInArrow(run, "a long, b long").distinct()
 
 
+def meetings(keyed: DataFrame, radius: int, wide_radius: int, dense: int = 4) -> DataFrame:
+    """Every pair of close nodes of different groups that share a key.
+
+    A block of at most ``dense`` pairs a node gives the pairs (a, b), its ``unit`` null;
+    any other gives its nodes, as rows (unit, a = node, b = group, fp, w1, w2) that
+    ``_close_in_units`` pairs again, so rows grow with the nodes and not with the pairs.
+    """
+    names = ["unit", "a", "b", "fp", "w1", "w2"]
+
+    def run(batches):
+        for table in _units(batches, 8):
+            node, fp, w1, w2, group = _members(table)
+            kept, pairs, met = [], 0, np.zeros(len(node), dtype=bool)
+            for i, j, _ in _across(fp, w1, w2, group, radius, wide_radius):
+                met[i] = met[j] = True
+                pairs += len(i)
+                if pairs <= dense * len(node):
+                    kept.append((i, j))
+            if not pairs:
+                continue
+            if pairs <= dense * met.sum():
+                i, j = map(np.concatenate, zip(*kept, strict=True))
+                none = pa.nulls(len(i), pa.int64())
+                columns = [none, pa.array(node[i]), pa.array(node[j]), none, none, none]
+            else:
+                unit = _signed(xxhash.xxh64_intdigest(np.ascontiguousarray(table[0, :3]).tobytes()))
+                columns = [pa.array(x) for x in (np.full(int(met.sum()), unit), node[met], group[met], fp[met], w1[met], w2[met])]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return _dealt(keyed, "node").mapInArrow(run, ", ".join(f"{x} long" for x in names))
+
+
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, seed: int = 42) -> DataFrame:
     """(doc_id, fp, component_id) of every row, linked within ``radius`` bits."""
     work = Workspace(docs.sparkSession)
@@ -330,19 +368,22 @@ def near_duplicates_checked(docs: DataFrame, width: int = 5, similarity: float =
     first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "fp", "w1", "w2", "keys"))).alias("first")
     known = work.save(rows.groupBy("node").agg(first).select("node", F.col("first.doc_id").alias("first_id"), "first.fp", "first.w1", "first.w2", "first.keys"))
     distinct = known.select("node", "first_id")
-    grouped, same, groups = known.where("first_id is not null").withColumn("group", F.col("node")), None, None
-    for every in (False, True):
-        keyed = grouped.select(F.explode("keys").alias("key"), "node", "fp", "w1", "w2", "group")
-        pairs = work.save(candidates(keyed, radius, wide_radius, every))
-        alike = work.save(_close_by_shingles(pairs, distinct, docs, width, similarity, work))
-        same = alike if same is None else same.unionByName(alike)
-        groups = components(same, work)
-        grouped = known.where("first_id is not null").join(groups, "node", "left").withColumn("group", F.coalesce("root", "node"))
+    nodes = known.where("first_id is not null")
+    keyed = nodes.select(F.explode("keys").alias("key"), "node", "fp", "w1", "w2", F.col("node").alias("group"))
+    pairs = work.save(partners(keyed, radius, wide_radius))
+    same = work.save(_close_by_shingles(pairs, _shingle_sets(pairs, distinct, docs, width, work), similarity))
+    groups = components(same, work)
+    grouped = nodes.join(groups, "node", "left").withColumn("group", F.coalesce("root", "node"))
+    met = work.save(meetings(grouped.select(F.explode("keys").alias("key"), "node", "fp", "w1", "w2", "group"), radius, wide_radius))
+    pairs, units = met.where("unit is null").select("a", "b").distinct(), met.where("unit is not null")
+    sets = _shingle_sets(met.select("a", F.when(F.col("unit").isNull(), F.col("b")).alias("b")), distinct, docs, width, work)
+    more = work.save(_close_by_shingles(pairs, sets, similarity).unionByName(_close_in_units(units, sets, radius, wide_radius, similarity)))
+    groups = components(same.unionByName(more), work)
     return _with_component(rows, distinct, groups)
 
 
-def _close_by_shingles(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, width: int, similarity: float, work: Workspace) -> DataFrame:
-    """The pairs of which the whole texts share ``similarity`` of their distinct shingles."""
+def _shingle_sets(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, width: int, work: Workspace) -> DataFrame:
+    """(node, shingles) of the nodes of ``pairs``, from the whole texts."""
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     chosen = distinct.join(ends, "node").select(F.col("first_id").alias("doc_id"))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
@@ -354,7 +395,52 @@ def _close_by_shingles(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, w
             yield pa.RecordBatch.from_arrays([pa.array([set_id(x) for x in own], type=pa.int64()), sets], names=["node", "shingles"])
 
     sets = own.join(chosen, "doc_id", "left_semi").select("text").mapInArrow(run, "node long, shingles array<long>")
-    sets = work.save(sets.dropDuplicates(["node"]))
+    return work.save(sets.dropDuplicates(["node"]))
+
+
+def _close_by_shingles(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs of which the whole texts share ``similarity`` of their distinct shingles."""
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
+
+
+def shared_counts(sets: list[np.ndarray], limit: int = 1 << 26) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A function of index pairs that counts the shingles both sets have, by bit rows of at most ``limit`` bytes in all."""
+    values, at, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    place = np.cumsum(often > 1) - 1  # what one set has alone is shared by none
+    width = int((often > 1).sum()) // 64 + 1
+    if width * 8 * len(sets) > limit:
+        return lambda i, j: np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(i.tolist(), j.tolist(), strict=True)], dtype=np.int64)
+    rows = np.zeros((len(sets), width), dtype=np.uint64)
+    own, end = at.reshape(-1), 0
+    for row, one in zip(rows, sets, strict=True):
+        mine = own[end : (end := end + len(one))]
+        mine = place[mine[often[mine] > 1]]
+        np.bitwise_or.at(row, mine >> 6, np.uint64(1) << (mine & 63).astype(np.uint64))
+    step = max(1, (1 << 20) // width)
+    count = lambda i, j: np.bitwise_count(rows[i] & rows[j]).sum(axis=1, dtype=np.int64)
+    return lambda i, j: np.concatenate([count(i[k : k + step], j[k : k + step]) for k in range(0, len(i), step)])
+
+
+def _close_in_units(units: DataFrame, sets: DataFrame, radius: int, wide_radius: int, similarity: float) -> DataFrame:
+    """Links of the pairs of crowded blocks by the test of ``_close_by_shingles``, as stars."""
+
+    def run(batches):
+        for _, table in vectors.groups(batches, 1):
+            node, group, fp, w1, w2 = (table.column(c).to_numpy() for c in range(1, 6))
+            held = [x.values.to_numpy().view(np.uint64) for x in table.column(6)]
+            size, shared = np.array([len(x) for x in held]), shared_counts(held)
+            left, right = [], []
+            for i, j, _ in _across(fp, w1, w2, group, radius, wide_radius):
+                both = shared(i, j)
+                close = both >= similarity * (size[i] + size[j] - both)
+                left.append(i[close])
+                right.append(j[close])
+            if left:
+                top = roots(len(node), np.concatenate(left), np.concatenate(right))
+                member = np.flatnonzero(top != np.arange(len(node)))
+                yield _batch(node[top[member]], node[member])
+
+    held = units.join(sets.withColumnRenamed("node", "a"), "a").select("unit", "a", "b", "fp", "w1", "w2", "shingles")
+    return held.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "a long, b long")

@@ -119,15 +119,18 @@ def test_crowded_bucket_is_split(spark, monkeypatch):
     assert found and all((a ^ b).bit_count() <= 2 * 40 for a, b in found)
 
 
-def test_every_candidate_across_groups(spark):
-    """Six nodes of one bucket in three groups: no pair across groups is left out, none inside is asked for."""
-    rows = [(1, n, 7, 1 << n, 0, n // 2) for n in range(6)] + [(1, 6, 7, -1, 0, 9), (1, 7, -8, 0, 0, 8)]
+@pytest.mark.parametrize("dense", [0, 4])
+def test_every_candidate_across_groups(spark, dense):
+    """Node 5 is like node 3 only, neither its nearest (0) nor its least partner: pairs and units both find the link."""
+    bits = [0b11, 0b111, 0b1111, 0b111111, 0b11111111, 0b1]
+    rows = [(1, n, 7, b, 0, n) for n, b in enumerate(bits)] + [(1, 6, 7, -1, 0, 9), (1, 7, -8, 0, 0, 8)]
     keyed = spark.createDataFrame(rows, "key long, node long, fp long, w1 long, w2 long, group long")
-    found = [tuple(r) for r in simhash.candidates(keyed, 16, 40, True).collect()]
-    expected = {(a, b) for b in range(6) for a in range(b) if a // 2 != b // 2}
-    assert set(found) == expected and len(found) == len(expected)
-    some = {tuple(r) for r in simhash.candidates(keyed, 16, 40, False).collect()}
-    assert some <= expected and {x for pair in some for x in pair} == set(range(6))
+    sets = spark.createDataFrame([(n, [*range(n * 100, n * 100 + 10)] if n != 5 else [*range(300, 309)]) for n in range(8)], "node long, shingles array<long>")
+    met = simhash.meetings(keyed, 16, 40, dense)
+    pairs, units = met.where("unit is null").select("a", "b"), met.where("unit is not null")
+    assert units.isEmpty() == bool(dense) and pairs.count() == (15 if dense else 0)
+    found = simhash._close_by_shingles(pairs, sets, 0.8).unionByName(simhash._close_in_units(units, sets, 16, 40, 0.8))
+    assert {tuple(r) for r in found.collect()} == {(3, 5)}
 
 
 @pytest.mark.parametrize("radius", [0, 1, 2, 5, 12])
