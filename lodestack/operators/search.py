@@ -61,33 +61,41 @@ def knn(chunks: DataFrame, vector: Sequence[float], k: int | None = None, filter
     return _limited(ranked, effective_k(k))
 
 
-def knn_batch(chunks: DataFrame, queries: DataFrame, k: int = DEFAULT_K) -> DataFrame:
-    """(query_id, rank, chunk_id, score) for each row of ``queries`` (query_id, query_vector), a small stated set.
+def knn_batch(chunks: DataFrame, queries: DataFrame, k: int = DEFAULT_K, query_block: int = 4_096, chunk_block: int = 16_384) -> DataFrame:
+    """(query_id, rank, chunk_id, score) for each row of ``queries`` (query_id, query_vector), among chunks of the same vector length.
 
-    Scores of a batch of chunks against all queries are one matrix product; only
-    the best ``k`` of each batch leave the task.
+    Blocks of queries meet blocks of chunks by a shuffle; the scores of two blocks
+    are one matrix product, and only the best ``k`` of each leave the task.
     """
     import numpy as np
     import pyarrow as pa
 
-    asked = [(r["query_id"], r["query_vector"]) for r in queries.select("query_id", "query_vector").collect()]  # the stated query set
-    ids = np.array([i for i, _ in asked], dtype=np.int64)
-    unit = np.array([v for _, v in asked], dtype=np.float64)
-    unit /= np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-300)
-
-    def run(batches):
-        for batch in batches:
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-            if not batch.num_rows:
-                continue
-            score = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)) @ unit.T
-            keep = score >= np.partition(score, max(0, len(x) - k), axis=0)[max(0, len(x) - k)]
-            row, query = np.nonzero(keep)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[query]), batch.column(0).take(pa.array(row)), pa.array(score[row, query])], names=["query_id", "chunk_id", "score"])
-
-    kind = dict(chunks.dtypes)["chunk_id"]
-    dims = unit.shape[1] if len(asked) else 0
-    near = chunks.where(F.size("vector") == dims).select("chunk_id", "vector").mapInArrow(run, f"query_id long, chunk_id {kind}, score double")
+    kinds = dict(chunks.dtypes)["chunk_id"], dict(queries.dtypes)["query_id"]
+    asks, blocks = max(1, -(-queries.count() // query_block)), max(1, -(-chunks.count() // chunk_block))
+    part = lambda name, n: F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = queries.select(F.size("query_vector").alias("dims"), part("query_id", asks).alias("ask"), every(blocks).alias("block"), "query_id", F.col("query_vector").alias("vector")).where("dims > 0")
+    held = chunks.select(F.size("vector").alias("dims"), every(asks).alias("ask"), part("chunk_id", blocks).alias("block"), "chunk_id", "vector").where("dims > 0")
+
+    def unit(table: pa.Table) -> np.ndarray:
+        x = table.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(table.num_rows, -1)
+        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+    def best(one: pa.Table, two: pa.Table) -> pa.Table:
+        rows, found, scores = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], [np.zeros(0)]
+        if one.num_rows and two.num_rows:
+            wanted, base, cut = unit(one), unit(two), max(0, two.num_rows - k)
+            for start in range(0, len(wanted), 256):
+                score = wanted[start : start + 256] @ base.T
+                row, at = np.nonzero(score >= np.partition(score, cut, axis=1)[:, cut, None])
+                rows.append(row + start)
+                found.append(at)
+                scores.append(score[row, at])
+        row, at = np.concatenate(rows), np.concatenate(found)
+        return pa.table({"query_id": one.column("query_id").take(pa.array(row)), "chunk_id": two.column("chunk_id").take(pa.array(at)), "score": np.concatenate(scores)})
+
+    keys = ["dims", "ask", "block"]
+    near = asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(best, f"query_id {kinds[1]}, chunk_id {kinds[0]}, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "score")
 

@@ -237,6 +237,20 @@ def test_pages_batch_and_stream(spark, lake):
     assert {r["document_id"].rpartition(":")[2] for r in lake.chunks().select("document_id").collect()} == {"readme", "1", "3", "4", "5"}
 
 
+def test_batch_search_in_blocks(spark, monkeypatch):
+    """Blocks of queries and chunks give what one block gives, and no vector reaches the driver."""
+    from lodestack.queries import vectors
+    from lodestack.operators import search
+
+    held = vectors(spark, "/root/testdata/sf0.001")
+    asked = held.where("chunk_id % 50 = 0").selectExpr("chunk_id as query_id", "vector as query_vector")
+    with monkeypatch.context() as m:
+        m.setattr(type(held), "collect", None)
+        blocks, whole = search.knn_batch(held, asked, 5, 3, 70), search.knn_batch(held, asked, 5)
+    rows = lambda df: {(r["query_id"], r["rank"], r["chunk_id"]) for r in df.collect()}
+    assert rows(blocks) == rows(whole) and len(rows(whole)) == 5 * asked.count()
+
+
 def test_cursors_and_watermarks(spark):
     from datetime import UTC, datetime
 
