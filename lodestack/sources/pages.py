@@ -45,11 +45,13 @@ def timestamp(text: Column) -> Column:
 
 
 def read_page(root: str, repo: str, kind: str, page: int) -> list[dict]:
-    """The items of a landed page; none where the page cannot be read."""
+    """The items of a landed page; none where there is no such file. A page that cannot be read or parsed raises."""
+    if "://" in root:
+        raise ValueError(f"pages are read from mounted folders only: {root}")
     try:
         with open(os.path.join(root, repo.replace("/", "__"), kind, f"{page}.json"), encoding="utf-8") as file:
             found = json.load(file)
-    except (OSError, ValueError):
+    except FileNotFoundError:
         return []
     return found if isinstance(found, list) else [found]
 

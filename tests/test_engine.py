@@ -2,6 +2,7 @@
 
 import base64
 import json
+import os
 import random
 import tempfile
 
@@ -237,10 +238,24 @@ def test_pages_batch_and_stream(spark, lake):
     assert {r["document_id"].rpartition(":")[2] for r in lake.chunks().select("document_id").collect()} == {"readme", "1", "3", "4", "5"}
 
 
+def test_broken_page_raises():
+    """A page that is there but cannot be read does not end its job as if it were empty."""
+    root = landed()
+    with open(f"{root}/o__r/issue/2.json", "w") as file:
+        file.write("[{")
+    os.mkdir(f"{root}/o__r/pr/3.json")
+    with pytest.raises(ValueError):
+        pages.fetch(root, "o/r", "issue", "2", 2)
+    with pytest.raises(OSError):
+        pages.fetch(root, "o/r", "pr", "3", 2)
+    with pytest.raises(ValueError):
+        pages.fetch("viewfs://in/pages", "o/r", "issue", "1", 2)
+    assert pages.fetch(root, "o/r", "issue", "9", 2) == ([], None)
+
+
 def test_batch_search_in_blocks(spark, monkeypatch):
     """Blocks of queries and chunks give what one block gives, and no vector reaches the driver."""
     from lodestack.queries import vectors
-    from lodestack.operators import search
 
     held = vectors(spark, "/root/testdata/sf0.001")
     asked = held.where("chunk_id % 50 = 0").selectExpr("chunk_id as query_id", "vector as query_vector")
