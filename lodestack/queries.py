@@ -233,10 +233,9 @@ def discover_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select source, ((n - 1) // 15 + 1)::int as page, count(*) as items, case when count(*) >= 15 then ((n - 1) // 15 + 2)::varchar end as next_cursor from (select source, row_number() over (partition by source order by doc_id) as n from documents) group by source, (n - 1) // 15")
 def page_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    n = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    rows = table(spark, sf_dir, "documents").select("source", (F.floor((n - 1) / 15) + 1).cast("int").alias("page")).groupBy("source", "page").agg(F.count("*").alias("items"))
+    sizes = table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"))
+    paged = sizes.select("source", "n", F.explode(F.sequence(F.lit(1), F.ceil(F.col("n") / 15).cast("int"))).alias("page"))
+    rows = paged.select("source", "page", F.least(F.lit(15), F.col("n") - 15 * (F.col("page") - 1)).cast("long").alias("items"))
     return rows.withColumn("next_cursor", F.when(F.col("items") >= 15, (F.col("page") + 1).cast("string")))
 
 
