@@ -8,22 +8,24 @@ before left open: which anchors occur twice; which occurrences have an earlier
 one with the same surroundings (the whole run of windows with that anchor); and
 for the rest, which single windows occur earlier.
 
-Which of a chunk's open windows are equal is read off the suffix array of their
+Which of a chunk's open windows are equal is read off the suffix arrays of their
 stretches of text, built by linear grouping (:func:`suffix_array`); chunks compare
-one key for each class of equal windows.
+a key of 128 bits for each class of equal windows.
 
 Defined results: a null text is empty; texts under 100 bytes stay whole; rows
-with one doc_id follow each other as parts of one document's place in the order,
+with one doc_id follow each other in order of their bytes at one document's place,
 without matches across them but with repeats between them; a null doc_id comes
-last; an empty table gives an empty result; extra columns play no part.
+last; a text of any length takes part whole, in one task, at some 80 bytes of memory a byte; an empty table gives an empty result; extra columns play no part.
 """
 
 from __future__ import annotations
 
 import hashlib
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 
 from . import exchange
@@ -31,6 +33,7 @@ from .anchors import _own
 
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 SLAB = 1 << 22
+SLICE = 1 << 16
 _RNG = np.random.default_rng(100)
 _BYTE = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64)
 _BASE = int(_RNG.integers(0, 1 << 62)) * 2 + 1
@@ -78,18 +81,17 @@ class Chunk:
 
     def __init__(self, table: pa.Table, window: int):
         ids = np.array([exchange.LAST if x is None else x for x in table.column("doc_id").to_pylist()], dtype=np.int64)
-        self.rows = np.argsort(ids, kind="stable")
+        texts = [x or b"" for x in table.column("text").to_pylist()]
+        self.rows = np.array(sorted(range(len(texts)), key=lambda i: (ids[i], texts[i])), dtype=np.int64)
         self.ids = ids[self.rows]
-        texts = table.column("text").to_pylist()
-        self.texts = [texts[i] or b"" for i in self.rows.tolist()]
+        self.texts = [texts[i] for i in self.rows.tolist()]
         self.lengths = np.array([len(t) for t in self.texts], dtype=np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.window = window
-        data = self.data = np.frombuffer(b"".join(self.texts), dtype=np.uint8)
+        self.bytes = b"".join(self.texts)
         gram = window // 2
-        grams, self.keys = rolling(data, (gram, window))
+        grams, self.keys = rolling(np.frombuffer(self.bytes, dtype=np.uint8), (gram, window))
         self.at = np.zeros(0, dtype=np.int64)
-        self.grams = grams
         self.first = self.last = self.at
         if len(self.keys):
             spread = window - gram + 1
@@ -103,19 +105,20 @@ class Chunk:
             ends = np.append(change[1:], len(anchor)) - 1
             real = anchor[change] >= 0
             self.at, self.first, self.last = anchor[change][real], change[real], ends[real]
+        self.gram = _mix(grams[self.at] + np.uint64(1))  # anchors are minima: mixed again, their keys spread over all values
         self.doc = np.searchsorted(self.starts, self.at, side="right") - 1 if len(self.starts) else self.at
         while len(self.doc) and (zero := self.lengths[self.doc] == 0).any():
             self.doc[zero] -= 1
 
     def probes(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
         """Sorted keys of anchors with a flag for two occurrences here, and the key number of each occurrence."""
-        distinct, inverse, count = np.unique(self.grams[self.at] >> np.uint64(64 - bits), return_inverse=True, return_counts=True)
+        distinct, inverse, count = np.unique(self.gram >> np.uint64(64 - bits), return_inverse=True, return_counts=True)
         return distinct << np.uint64(1) | (count > 1).astype(np.uint64), inverse
 
     def segments(self, hit: np.ndarray, inverse: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Occurrences with a hit, their number among the distinct (anchor, surroundings), and for each of those anchor, surroundings, first occurrence."""
         own = np.flatnonzero(hit[inverse])
-        gram = self.grams[self.at[own]]
+        gram = self.gram[own]
         shape = ((self.at[own] - self.first[own]) << 8 | (self.last[own] - self.first[own])).astype(np.uint64)
         around = _mix(self.keys[self.first[own]] * np.uint64(3) + _mix(self.keys[self.last[own]] + shape))
         order = np.lexsort((own, around, gram))
@@ -125,24 +128,39 @@ class Chunk:
         first = order[new]
         return own, number, gram[first], around[first], own[first]
 
+    def equal_windows(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the windows at rising positions: keys and second hashes of the distinct ones in order of key, the first index of each, each window's number.
 
-    def equal_windows(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sorted keys of the distinct windows at rising positions, the first index of each, the key number of each window.
-
-        The stretches of text that the windows cover, end to end, get one suffix array.
+        The stretches of text that the windows cover get a suffix array for every ``SLICE`` bytes, so memory
+        does not follow the length of a text; classes of different slices are one where both hashes agree.
         """
         if not len(at):
-            return self.keys[:0], at, at
+            return self.keys[:0], self.keys[:0], at, at
+        covered = np.cumsum(np.minimum(np.diff(at, prepend=at[0] - self.window), self.window))
+        cuts = [0, *(np.flatnonzero(np.diff(covered // SLICE)) + 1).tolist(), len(at)]
+        number, classes = np.empty(len(at), dtype=np.int64), 0
+        for a, b in pairwise(cuts):
+            number[a:b] = self._classes(at[a:b]) + classes
+            classes = int(number[a:b].max()) + 1
+        place = at[np.unique(number, return_index=True)[1]]
+        key, view = self.keys[place], memoryview(self.bytes)
+        second = np.fromiter((xxhash.xxh3_64_intdigest(view[p : p + self.window], 9) for p in place.tolist()), dtype=np.uint64, count=len(place))
+        order = np.lexsort((second, key))
+        key, second = key[order], second[order]
+        new = np.concatenate([[True], (key[1:] != key[:-1]) | (second[1:] != second[:-1])])
+        merged = np.empty(len(order), dtype=np.int64)
+        merged[order] = np.cumsum(new) - 1
+        number = merged[number]
+        return key[new], second[new], np.unique(number, return_index=True)[1], number
+
+    def _classes(self, at: np.ndarray) -> np.ndarray:
+        """Class number of each window, by the suffix array of their stretches end to end."""
         apart = np.concatenate([[True], np.diff(at) > self.window])
         begin, end = at[apart], at[np.append(np.flatnonzero(apart)[1:], len(at)) - 1] + self.window
         before = np.cumsum(end - begin) - (end - begin)
         run = np.cumsum(apart) - 1
-        text = b"".join(self.data[a:b].tobytes() for a, b in zip(begin.tolist(), end.tolist(), strict=True))
-        number = repeat_classes(text, at - begin[run] + before[run], self.window)
-        _, first = np.unique(number, return_index=True)
-        distinct, inverse = np.unique(self.keys[at[first]], return_inverse=True)
-        number = inverse[number]
-        return distinct, np.unique(number, return_index=True)[1], number
+        text = b"".join(self.bytes[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True))
+        return repeat_classes(text, at - begin[run] + before[run], self.window)
 
 
 def windows_of(first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -212,16 +230,16 @@ def remove_repeats(docs: DataFrame, window: int = 100, chunk_bytes: int = 1 << 2
     def single(table: pa.Table, replies: pa.Table) -> pa.Table:
         chunk = Chunk(table, window)
         _, at, ids = resolve(chunk, replies)
-        distinct, first_at, number = chunk.equal_windows(at)
-        sent = exchange.send(name(table), distinct, ids[first_at], 64, parts)
+        distinct, second, first_at, number = chunk.equal_windows(at)
+        sent = exchange.send(name(table), distinct, np.stack([ids[first_at], second.view(np.int64)]), 64, parts)
         return pa.concat_tables([sent, exchange.note(name(table), number, parts)])
 
     def earliest(table: pa.Table) -> pa.Table:
         if table.column("part")[0].as_py() >= parts:
             return exchange.echo(5, table)
-        keys, docs, sizes = exchange.received(table)
-        order = np.argsort(keys, kind="stable")
-        starts = exchange.runs(keys[order])
+        keys, (docs, second), sizes = exchange.received(table, 2)
+        order = np.lexsort((second, keys))
+        starts = np.union1d(exchange.runs(keys[order]), exchange.runs(second[order]))
         first = np.empty(len(keys), dtype=np.int64)
         first[order] = np.repeat(np.minimum.reduceat(docs[order], starts), np.diff(np.append(starts, len(keys))))
         return exchange.reply(4, table, sizes, first < docs)

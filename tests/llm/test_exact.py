@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lodestack.llm import anchors, imi, mih, packing, secrets, simhash, suffixes
+from lodestack.llm import anchors, exchange, imi, mih, packing, secrets, simhash, suffixes
 from lodestack.llm.queries import tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, chunk int, part int, fp long, key string, n long"
@@ -48,17 +48,53 @@ def test_repeated_words(docs):
         assert found[i] == (len(w), len(gone), hashlib.sha256(b" ".join(x for z, x in enumerate(w) if z not in gone)).hexdigest())
 
 
-def test_repeated_bytes(docs):
-    found = as_dict(suffixes.remove_repeats(docs, chunk_bytes=4000, keys_a_part=100))
-    data, seen = {r["doc_id"]: (r["text"] or "").encode() for r in docs.collect()}, set()
-    for i in sorted(data):
-        b, gone = data[i], np.zeros(len(data[i]) + 1, dtype=bool)
+def bytes_left(rows):
+    """(doc_id, n_bytes, n_removed, n_spans, hash) of each row by a walk over all windows in order."""
+    out, seen = [], set()
+    for i, b in sorted(((exchange.LAST if r[0] is None else r[0]), (r[1] or "").encode()) for r in rows):
+        gone = np.zeros(len(b) + 1, dtype=bool)
         for k in range(len(b) - 99):
             if b[k : k + 100] in seen:
                 gone[k : k + 100] = True
             seen.add(b[k : k + 100])
         runs = int((gone[1:] > gone[:-1]).sum() + gone[0])
-        assert found[i] == (len(b), int(gone.sum()), runs, hashlib.sha256(bytes(x for x, g in zip(b, gone, strict=False) if not g)).hexdigest())
+        out.append((None if i == exchange.LAST else i, len(b), int(gone.sum()), runs, hashlib.sha256(bytes(x for x, g in zip(b, gone, strict=False) if not g)).hexdigest()))
+    return sorted(out, key=str)
+
+
+def test_repeated_bytes(docs, spark, monkeypatch):
+    found = suffixes.remove_repeats(docs, chunk_bytes=4000, keys_a_part=100)
+    assert sorted(map(tuple, found.collect()), key=str) == bytes_left(docs.select("doc_id", "text").collect())
+    monkeypatch.setattr(suffixes, "SLICE", 300)
+    rows = [(i % 40 if i % 9 else None, t) for i, t in enumerate(texts() * 2)]
+    found = suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), chunk_bytes=4000, keys_a_part=100)
+    assert sorted(map(tuple, found.collect()), key=str) == bytes_left(rows)
+
+
+def test_windows_of_slices_and_of_one_array_are_the_same(monkeypatch):
+    data = bytes(random.Random(6).choices(b"ab", k=400)) * 3 + b"c" * 900 + bytes(random.Random(7).choices(range(256), k=400)) * 2
+    chunk = suffixes.Chunk(pa.table({"doc_id": pa.array([1]), "text": pa.array([data], type=pa.binary())}), 100)
+    at = np.flatnonzero(np.random.default_rng(1).random(len(data) - 99) < 0.8)
+    whole = chunk.equal_windows(at)
+    monkeypatch.setattr(suffixes, "SLICE", 150)
+    assert all((a == b).all() for a, b in zip(whole, chunk.equal_windows(at), strict=True))
+    assert len(whole[0]) == len({data[i : i + 100] for i in at.tolist()})
+
+
+def test_ranges_of_keys_are_even():
+    rng = np.random.default_rng(3)
+    text = b" ".join(rng.choice([b"w%d" % i for i in range(3000)], 60_000).tolist())
+    keys = suffixes.Chunk(pa.table({"doc_id": pa.array([1]), "text": pa.array([text], type=pa.binary())}), 100).probes(40)[0]
+    sizes = exchange.send(0, keys, None, 41, 16).column("n").to_numpy()
+    assert len(sizes) == 16 and sizes.max() <= 1.5 * sizes.mean()
+
+
+def test_a_text_of_several_megabytes(spark):
+    rng = np.random.default_rng(5)
+    long, passage = bytes(rng.integers(97, 123, 3_000_000, dtype=np.uint8)).decode(), "".join(map(chr, rng.integers(65, 91, 150)))
+    rows = [(1, long), (2, passage), (3, long[1000:1200] + passage), (0, long[:2_000_000] + passage)]
+    found = as_dict(suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert [found[i][:3] for i in range(4)] == [(2_000_150, 0, 0), (3_000_000, 2_000_000, 1), (150, 150, 1), (350, 350, 1)]
 
 
 def test_suffix_order():
