@@ -5,7 +5,7 @@ window of 13 words holds a whole block wherever it begins, so if it also starts
 in another document, a block of that document occurs in it. Rolling seven-word
 windows of every document probe the blocks of all; hits that occur in two
 documents or more are extended: only windows that hold a hit are compared, by
-their full 13 words, and runs of repeated windows are maximal exact repeats.
+their full 13 words (two hashes, 128 bits), and runs of repeated windows are maximal exact repeats.
 
 Keys travel as in :mod:`exchange`; texts are dealt out once, by document id.
 
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from . import exchange
 
 OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
-_MIX = np.random.default_rng(13).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MIX, _OTHER = np.random.default_rng(13).integers(0, 1 << 63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 class WordHash(dict):
@@ -44,14 +44,14 @@ class WordHash(dict):
 _WORDS = WordHash()
 
 
-def rolling(hashes: np.ndarray, width: int) -> np.ndarray:
-    """Hash of each run of ``width`` words."""
+def rolling(hashes: np.ndarray, width: int, odd: np.ndarray = _MIX) -> np.ndarray:
+    """Hash of each run of ``width`` words; other multipliers give other hashes."""
     n = len(hashes) - width + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
-    out = hashes[:n] * _MIX[0]
+    out = hashes[:n] * odd[0]
     for k in range(1, width):
-        out += hashes[k : k + n] * _MIX[k]
+        out += hashes[k : k + n] * odd[k]
     out ^= out >> np.uint64(29)
     out *= np.uint64(0xBF58476D1CE4E5B9)
     return out ^ (out >> np.uint64(32))
@@ -97,17 +97,18 @@ class Chunk:
         flags = aligned.astype(np.uint64) | (low != high).astype(np.uint64) << np.uint64(1)
         return distinct << np.uint64(2) | flags, inverse, at
 
-    def candidates(self, hit: np.ndarray, inverse: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Windows that hold a hit: distinct keys, least document of each, and each window's key number, position and document."""
+    def candidates(self, hit: np.ndarray, inverse: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Windows that hold a hit: distinct keys and second hashes, least document of each, and each window's key number, position and document."""
         met = np.zeros(len(self.hashes) + 1, dtype=np.int64)
         met[at[hit[inverse]] + 1] = 1
         upto = np.cumsum(met)
         key, at, doc = self.fitting(self.window)
         keep = upto[at + self.window - self.block + 1] > upto[at]
-        distinct, inverse = np.unique(key[keep], return_inverse=True)
+        key, at, doc = key[keep], at[keep], doc[keep]
+        distinct, second, inverse = exchange.distinct_pairs(key, rolling(self.hashes, self.window, _OTHER)[at])
         least = np.full(len(distinct), exchange.LAST)
-        np.minimum.at(least, inverse, self.ids[doc[keep]])
-        return distinct, least, inverse, at[keep], doc[keep]
+        np.minimum.at(least, inverse, self.ids[doc])
+        return distinct, second, least, inverse, at, doc
 
 
 def _own(docs: DataFrame, chunks: int) -> DataFrame:
@@ -146,13 +147,13 @@ def remove_repeats(docs: DataFrame, window: int = 13, chunk_bytes: int = 6 << 20
             return exchange.send(0, np.zeros(0, dtype=np.uint64), None, 64, 1)
         chunk = Chunk(table, window, block)
         _, inverse, at = chunk.probes(bits)
-        keys, least, *_ = chunk.candidates(exchange.answers(replies, 1), inverse, at)
-        return exchange.send(table.column("chunk")[0].as_py(), keys, least, 64, parts)
+        keys, second, least, *_ = chunk.candidates(exchange.answers(replies, 1), inverse, at)
+        return exchange.send(table.column("chunk")[0].as_py(), keys, np.stack([least, second.view(np.int64)]), 64, parts)
 
     def earliest(table: pa.Table) -> pa.Table:
-        keys, docs, sizes = exchange.received(table)
-        order = np.argsort(keys, kind="stable")
-        starts = exchange.runs(keys[order])
+        keys, (docs, second), sizes = exchange.received(table, 2)
+        order = np.lexsort((second, keys))
+        starts = exchange.pair_runs(keys[order], second[order])
         least = np.minimum.reduceat(docs[order], starts)
         first = np.empty(len(keys), dtype=np.int64)
         first[order] = np.repeat(least, np.diff(np.append(starts, len(keys))))
@@ -161,7 +162,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, chunk_bytes: int = 6 << 20
     def cut(table: pa.Table, replies: pa.Table) -> pa.Table:
         chunk = Chunk(table, window, block)
         _, inverse, at = chunk.probes(bits)
-        _, least, inverse, at, doc = chunk.candidates(exchange.answers(replies, 1), inverse, at)
+        _, _, least, inverse, at, doc = chunk.candidates(exchange.answers(replies, 1), inverse, at)
         earlier = exchange.answers(replies, 2)
         gone = at[earlier[inverse] | (chunk.ids[doc] > least[inverse])] if len(at) else at
         edge = np.zeros(len(chunk.hashes) + 1, dtype=np.int64)

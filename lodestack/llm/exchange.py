@@ -88,3 +88,17 @@ def answers(table: pa.Table, kind: int) -> np.ndarray:
 def runs(sorted_keys: np.ndarray) -> np.ndarray:
     """Starts of the runs of equal keys."""
     return np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]])) if len(sorted_keys) else np.zeros(0, dtype=np.int64)
+
+
+def pair_runs(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Starts of the runs of equal pairs, sorted by ``first`` and then ``second``."""
+    return np.union1d(runs(first), runs(second))
+
+
+def distinct_pairs(key: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs in order, and the number of each row's pair: two hashes of 64 bits are one of 128."""
+    order = np.lexsort((second, key))
+    starts = pair_runs(key[order], second[order])
+    number = np.empty(len(order), dtype=np.int64)
+    number[order] = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(order))))
+    return key[order][starts], second[order][starts], number

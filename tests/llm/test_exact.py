@@ -36,16 +36,31 @@ def as_dict(df):
     return {r[0]: tuple(r)[1:] for r in df.collect()}
 
 
-def test_repeated_words(docs):
-    found = as_dict(anchors.remove_repeats(docs, chunk_bytes=3000, keys_a_part=200))
-    words = {r["doc_id"]: (r["text"] or "").encode().split() for r in docs.collect()}
+def words_left(rows):
+    """(doc_id, n_words, n_removed, hash) of each row by a walk over all windows."""
+    own = [(exchange.LAST if r[0] is None else r[0], (r[1] or "").encode().split()) for r in rows]
     first: dict = {}
-    for i in sorted(words):
-        for k in range(len(words[i]) - 12):
-            first.setdefault(tuple(words[i][k : k + 13]), i)
-    for i, w in words.items():
+    for i, w in own:
+        for k in range(len(w) - 12):
+            first[tuple(w[k : k + 13])] = min(i, first.get(tuple(w[k : k + 13]), i))
+    out = []
+    for i, w in own:
         gone = {z for k in range(len(w) - 12) if first[tuple(w[k : k + 13])] < i for z in range(k, k + 13)}
-        assert found[i] == (len(w), len(gone), hashlib.sha256(b" ".join(x for z, x in enumerate(w) if z not in gone)).hexdigest())
+        out.append((None if i == exchange.LAST else i, len(w), len(gone), hashlib.sha256(b" ".join(x for z, x in enumerate(w) if z not in gone)).hexdigest()))
+    return sorted(out, key=str)
+
+
+def odd_ids():
+    """Texts under null ids and under ids of several rows, with equal and with different texts."""
+    return [(i % 40 if i % 9 else None, t) for i, t in enumerate(texts() * 2)]
+
+
+def test_repeated_words(docs, spark):
+    found = anchors.remove_repeats(docs, chunk_bytes=3000, keys_a_part=200)
+    assert sorted(map(tuple, found.collect()), key=str) == words_left(docs.select("doc_id", "text").collect())
+    rows = odd_ids()
+    found = anchors.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), chunk_bytes=3000, keys_a_part=200)
+    assert sorted(map(tuple, found.collect()), key=str) == words_left(rows)
 
 
 def bytes_left(rows):
@@ -66,7 +81,7 @@ def test_repeated_bytes(docs, spark, monkeypatch):
     found = suffixes.remove_repeats(docs, chunk_bytes=4000, keys_a_part=100)
     assert sorted(map(tuple, found.collect()), key=str) == bytes_left(docs.select("doc_id", "text").collect())
     monkeypatch.setattr(suffixes, "SLICE", 300)
-    rows = [(i % 40 if i % 9 else None, t) for i, t in enumerate(texts() * 2)]
+    rows = odd_ids()
     found = suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), chunk_bytes=4000, keys_a_part=100)
     assert sorted(map(tuple, found.collect()), key=str) == bytes_left(rows)
 
