@@ -15,7 +15,7 @@ a key of 128 bits for each class of equal windows.
 Defined results: a null text is empty; texts under 100 bytes stay whole; rows
 with one doc_id follow each other in order of their bytes at one document's place,
 without matches across them but with repeats between them; a null doc_id comes
-last; a text of any length takes part whole, in one task, at some 80 bytes of memory a byte; an empty table gives an empty result; extra columns play no part.
+last; a text of any length takes part whole, in one task, at some 50 bytes of memory a byte; an empty table gives an empty result; extra columns play no part.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from . import exchange
 from .anchors import _own
 
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-SLAB = 1 << 22
+SLAB = 1 << 15
 SLICE = 1 << 16
 _RNG = np.random.default_rng(100)
 _BYTE = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64)
@@ -40,13 +40,16 @@ _BASE = int(_RNG.integers(0, 1 << 62)) * 2 + 1
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(32))
+    x = x ^ (x >> np.uint64(31))
+    x *= np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(32)
+    return x
 
 
 def rolling(data: np.ndarray, widths: tuple[int, ...]) -> list[np.ndarray]:
-    """Hashes of every run of each width, from runs of powers of two."""
+    """Sums that tell every run of each width, from runs of powers of two; ``_mix`` makes hashes of them."""
     power, width, built, start = _BYTE[data], 1, [None] * len(widths), [0] * len(widths)
     while width <= max(widths):
         for i, w in enumerate(widths):
@@ -58,7 +61,7 @@ def rolling(data: np.ndarray, widths: tuple[int, ...]) -> list[np.ndarray]:
         if len(power) > width:
             power = power[:-width] * np.uint64(pow(_BASE, width, 1 << 64)) + power[width:]
         width *= 2
-    return [_mix(b) if b is not None else np.zeros(0, dtype=np.uint64) for b in built]
+    return [b if b is not None else np.zeros(0, dtype=np.uint64) for b in built]
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -90,12 +93,16 @@ class Chunk:
         self.window = window
         self.bytes = b"".join(self.texts)
         gram = window // 2
-        grams, self.keys = rolling(np.frombuffer(self.bytes, dtype=np.uint8), (gram, window))
-        self.at = np.zeros(0, dtype=np.int64)
+        data, windows = np.frombuffer(self.bytes, dtype=np.uint8), max(0, len(self.bytes) - window + 1)
+        self.keys, self.at, self.gram = np.empty(windows, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
         self.first = self.last = self.at
-        if len(self.keys):
-            spread = window - gram + 1
-            anchor = np.concatenate([leftmost_least(grams[a : a + SLAB + spread - 1], spread) + a for a in range(0, len(self.keys), SLAB)])
+        if windows:
+            anchor, value = np.empty(windows, dtype=np.int64), np.empty(windows, dtype=np.uint64)
+            for a in range(0, windows, SLAB):  # in parts that stay in the cache
+                grams, keys = rolling(data[a : a + SLAB + window - 1], (gram, window))
+                grams, b = _mix(grams), a + len(keys)
+                near = leftmost_least(grams, window - gram + 1)
+                self.keys[a:b], anchor[a:b], value[a:b] = keys, near + a, grams[near]
             room = np.maximum(0, self.lengths - window + 1)
             valid = np.zeros(len(anchor) + 1, dtype=np.int64)
             np.add.at(valid, np.minimum(self.starts, len(anchor)), room > 0)
@@ -105,7 +112,7 @@ class Chunk:
             ends = np.append(change[1:], len(anchor)) - 1
             real = anchor[change] >= 0
             self.at, self.first, self.last = anchor[change][real], change[real], ends[real]
-        self.gram = _mix(grams[self.at] + np.uint64(1))  # anchors are minima: mixed again, their keys spread over all values
+            self.gram = _mix(value[self.first] + np.uint64(1))  # anchors are minima: mixed again, their keys spread over all values
         self.doc = np.searchsorted(self.starts, self.at, side="right") - 1 if len(self.starts) else self.at
         while len(self.doc) and (zero := self.lengths[self.doc] == 0).any():
             self.doc[zero] -= 1
@@ -120,7 +127,7 @@ class Chunk:
         own = np.flatnonzero(hit[inverse])
         gram = self.gram[own]
         shape = ((self.at[own] - self.first[own]) << 8 | (self.last[own] - self.first[own])).astype(np.uint64)
-        around = _mix(self.keys[self.first[own]] * np.uint64(3) + _mix(self.keys[self.last[own]] + shape))
+        around = _mix(_mix(self.keys[self.first[own]]) * np.uint64(3) + _mix(_mix(self.keys[self.last[own]]) + shape))
         order = np.lexsort((own, around, gram))
         new = np.concatenate([[True], (gram[order][1:] != gram[order][:-1]) | (around[order][1:] != around[order][:-1])]) if len(own) else np.zeros(0, dtype=bool)
         number = np.empty(len(own), dtype=np.int64)
@@ -142,16 +149,12 @@ class Chunk:
         for a, b in pairwise(cuts):
             number[a:b] = self._classes(at[a:b]) + classes
             classes = int(number[a:b].max()) + 1
-        place = at[np.unique(number, return_index=True)[1]]
-        key, view = self.keys[place], memoryview(self.bytes)
+        place = at[_first_index(number, classes)]
+        key, view = _mix(self.keys[place]), memoryview(self.bytes)
         second = np.fromiter((xxhash.xxh3_64_intdigest(view[p : p + self.window], 9) for p in place.tolist()), dtype=np.uint64, count=len(place))
-        order = np.lexsort((second, key))
-        key, second = key[order], second[order]
-        new = np.concatenate([[True], (key[1:] != key[:-1]) | (second[1:] != second[:-1])])
-        merged = np.empty(len(order), dtype=np.int64)
-        merged[order] = np.cumsum(new) - 1
+        key, second, merged = exchange.distinct_pairs(key, second)
         number = merged[number]
-        return key[new], second[new], np.unique(number, return_index=True)[1], number
+        return key, second, _first_index(number, len(key)), number
 
     def _classes(self, at: np.ndarray) -> np.ndarray:
         """Class number of each window, by the suffix array of their stretches end to end."""
@@ -163,6 +166,13 @@ class Chunk:
         return repeat_classes(text, at - begin[run] + before[run], self.window)
 
 
+def _first_index(number: np.ndarray, size: int) -> np.ndarray:
+    """Where each of the numbers 0 to ``size - 1`` stands first."""
+    first = np.empty(size, dtype=np.int64)
+    first[number[::-1]] = np.arange(len(number) - 1, -1, -1)
+    return first
+
+
 def windows_of(first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """All windows of the occurrences."""
     size = last - first + 1
@@ -239,7 +249,7 @@ def remove_repeats(docs: DataFrame, window: int = 100, chunk_bytes: int = 1 << 2
             return exchange.echo(5, table)
         keys, (docs, second), sizes = exchange.received(table, 2)
         order = np.lexsort((second, keys))
-        starts = np.union1d(exchange.runs(keys[order]), exchange.runs(second[order]))
+        starts = exchange.pair_runs(keys[order], second[order])
         first = np.empty(len(keys), dtype=np.int64)
         first[order] = np.repeat(np.minimum.reduceat(docs[order], starts), np.diff(np.append(starts, len(keys))))
         return exchange.reply(4, table, sizes, first < docs)
@@ -248,7 +258,7 @@ def remove_repeats(docs: DataFrame, window: int = 100, chunk_bytes: int = 1 << 2
         chunk = Chunk(table, window)
         whole, at, _ = resolve(chunk, replies)
         number = exchange.noted(replies, 5)
-        first_at = np.unique(number, return_index=True)[1]
+        first_at = _first_index(number, int(number.max()) + 1) if len(at) else at
         gone = exchange.answers(replies, 4)[number] | (np.arange(len(at)) != first_at[number]) if len(at) else np.zeros(0, dtype=bool)
         edge = np.zeros(int(chunk.lengths.sum()) + 1, dtype=np.int64)
         np.add.at(edge, chunk.first[whole], 1)
