@@ -83,15 +83,17 @@ def count_tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long")
 
 
-def mix(docs: DataFrame, recipe: Recipe, domain: Column, tokens: Column | None = None) -> DataFrame:
+def mix(docs: DataFrame, recipe: Recipe, domain: Column, tokens: Column | None = None, row: Column | None = None) -> DataFrame:
     """(doc_id, domain, lang, source, epoch, n_tokens, tokens_taken): a row for each epoch that takes from a document.
 
     ``tokens_taken`` is below ``n_tokens`` only for the document at which a
-    leaf's budget ends.
+    leaf's budget ends. ``row``, where given, comes first as ``row_key``: it tells rows of one doc_id apart.
     """
     work = Workspace(docs.sparkSession)
     text = F.col("text").cast("string")
+    keys = ["doc_id"] if row is None else ["row_key", "doc_id"]
     own = docs.select(
+        *([] if row is None else [row.alias("row_key")]),
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(domain.cast("string"), F.lit("")).alias("domain"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"),
         F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), (count_tokens(text) if tokens is None else tokens.cast("long")).alias("n_tokens"),
     )
@@ -108,12 +110,12 @@ def mix(docs: DataFrame, recipe: Recipe, domain: Column, tokens: Column | None =
     placed = last.join(sums.withColumn("before", before), [*LEVELS, "range"]).where("before < rest")
     inside = placed.where("before + held <= rest").withColumn("taken", F.col("n_tokens"))
     at_end = placed.where("before + held > rest")
-    run = Window.partitionBy(*LEVELS).orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    run = Window.partitionBy(*LEVELS).orderBy("key", *reversed(keys)).rowsBetween(Window.unboundedPreceding, -1)
     at_end = at_end.withColumn("upto", F.col("before") + F.coalesce(F.sum("n_tokens").over(run), F.lit(0)))
     at_end = at_end.where("upto < rest").withColumn("taken", F.least(F.col("n_tokens"), F.col("rest") - F.col("upto")))
-    names = ["doc_id", *LEVELS, "epoch", "n_tokens"]
+    names = [*keys, *LEVELS, "epoch", "n_tokens"]
     parts = [whole.select(*names, F.col("n_tokens").alias("tokens_taken"))]
-    parts += [x.select("doc_id", *LEVELS, F.col("whole").alias("epoch"), "n_tokens", F.col("taken").alias("tokens_taken")) for x in (inside, at_end)]
+    parts += [x.select(*keys, *LEVELS, F.col("whole").alias("epoch"), "n_tokens", F.col("taken").alias("tokens_taken")) for x in (inside, at_end)]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 

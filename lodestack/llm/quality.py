@@ -105,8 +105,18 @@ def document_statistics(docs: DataFrame) -> DataFrame:
             rows = [statistics(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, type=pa.list_(pa.float32()))], names=["doc_id", "stats"])
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
-    return own.mapInArrow(run, "doc_id long, stats array<float>")
+    return _texts(docs).mapInArrow(run, "doc_id long, stats array<float>")
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
+
+
+def _scores(model: Model, texts: list) -> np.ndarray:
+    """Scores of texts as bytes."""
+    if not texts:
+        return np.zeros(0)
+    return model.score(np.array([statistics(x) for x in texts], dtype=np.float32).astype(np.float64))
 
 
 def _matrix(column) -> np.ndarray:
@@ -114,11 +124,19 @@ def _matrix(column) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def fit(stats: DataFrame, labels: DataFrame, work: Workspace, rows_a_task: int = 20_000, penalty: float = 1e-3) -> Model:
-    """Fit on the labelled rows that are not held out: four classes of the id's crc32, one of them for calibration."""
-    known = labels.where("quality is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("y"))
+def fit(docs: DataFrame, labels: DataFrame, work: Workspace, sample: int = 200_000, rows_a_task: int = 20_000, penalty: float = 1e-3) -> Model:
+    """Fit on labelled rows that are not held out: four classes of the id's crc32, one of them for calibration.
+
+    Of more than ``sample`` labels, the share of ids that makes about that many is used, chosen by hash;
+    so the labels are small enough to broadcast, and only the texts of these ids are read for the fit.
+    """
     bucket = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5))
-    rows = work.save(stats.where(bucket != 0).join(known.where(bucket != 0), "doc_id").select("stats", "y", (bucket == 1).alias("calibrates")))
+    known = labels.where("quality is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("y")).where(bucket != 0)
+    share = int(sample / max(sample, known.count()) * (1 << 20))
+    known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) < share)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known.select("doc_id").distinct()), "doc_id", "left_semi")
+    stats = document_statistics(texts)
+    rows = work.save(stats.join(F.broadcast(known), "doc_id").select("stats", "y", (bucket == 1).alias("calibrates")))
     width = len(statistics(b""))
     sums = rows.select(F.posexplode("stats").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"), F.count("*").alias("n")).collect()  # one row per statistic
     if not sums:
@@ -158,15 +176,15 @@ def fit(stats: DataFrame, labels: DataFrame, work: Workspace, rows_a_task: int =
     return model
 
 
-def score(stats: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every row of statistics."""
+def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+    """(doc_id, held_out, score, predicted) of every row."""
 
     def run(batches):
         for batch in batches:
-            found = model.score(_matrix(batch.column(1))) if batch.num_rows else np.zeros(0)
+            found = _scores(model, batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["doc_id", "score"])
 
-    scored = stats.mapInArrow(run, "doc_id long, score double")
+    scored = _texts(docs).mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -178,7 +196,7 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFram
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                rows = np.array([statistics(x.encode() if x is not None else None) for x in batch.column(at).to_pylist()], dtype=np.float32).astype(np.float64)
-                yield batch.filter(pa.array(model.score(rows) >= threshold))
+                found = _scores(model, [x.encode() if x is not None else None for x in batch.column(at).to_pylist()])
+                yield batch.filter(pa.array(found >= threshold))
 
     return docs.mapInArrow(run, docs.schema)

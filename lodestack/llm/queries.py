@@ -53,9 +53,8 @@ def op4_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op5_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    work = Workspace(spark)
-    stats = work.save(quality.document_statistics(table(spark, sf_dir, "documents")))
-    return quality.score(stats, quality.fit(stats, table(spark, sf_dir, "labels"), work))
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels"), Workspace(spark)))
 
 
 def op6_repeated_words(spark: SparkSession, sf_dir: str) -> DataFrame:

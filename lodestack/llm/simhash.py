@@ -22,7 +22,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import vectors
@@ -304,14 +304,14 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, seed: int
     fps = work.save(fingerprints(docs, width, seed))
     distinct = work.save(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     groups = components(links(distinct, radius, block_masks(radius)), work)
-    return _with_component(fps.withColumn("node", F.col("fp")), distinct.withColumnRenamed("fp", "node"), groups)
+    return _with_component(fps.withColumn("node", F.col("fp")), distinct.withColumnRenamed("fp", "node"), groups).select("doc_id", "fp", "component_id")
 
 
 def _with_component(rows: DataFrame, distinct: DataFrame, groups: DataFrame) -> DataFrame:
-    """Rows with the least first_id of their node's component."""
+    """Rows with their node's component: its ``root`` and its least first_id."""
     rooted = distinct.join(groups, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first_id")
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return rows.join(rooted.join(least, "root").select("node", "component_id"), "node").select("doc_id", "fp", "component_id")
+    return rows.join(rooted.join(least, "root").select("node", "root", "component_id"), "node")
 
 
 def shingle_set(text: bytes | None, width: int) -> np.ndarray:
@@ -337,21 +337,26 @@ def band_keys(shingles: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def _set_fingerprints(docs: DataFrame, width: int, bands: int, band_rows: int) -> DataFrame:
-    """(doc_id, node, fp, w1, w2, keys) of every row: the set's name, three fingerprints and the band keys, all of the distinct shingles."""
+    """(doc_id, text_key, node, fp, w1, w2, keys) of every row: the text's hash, the set's name, three fingerprints and the band keys, all of the distinct shingles."""
 
     def run(batches):
         for batch in batches:
-            sets = [shingle_set(x, width) for x in batch.column(1).to_pylist()]
+            sets = [shingle_set(x, width) for x in batch.column(2).to_pylist()]
             columns = [[set_id(x) for x in sets], *([fingerprint(remixed(x, k)) for x in sets] for k in range(3))]
             keys = pa.array([band_keys(x, bands, band_rows) for x in sets], type=pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, type=pa.int64()) for c in columns), keys], names=["doc_id", "node", "fp", "w1", "w2", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, type=pa.int64()) for c in columns), keys], names=["doc_id", "text_key", "node", "fp", "w1", "w2", "keys"])
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
-    return own.mapInArrow(run, "doc_id long, node long, fp long, w1 long, w2 long, keys array<long>")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), F.col("text").cast("string").cast("binary").alias("text"))
+    return own.mapInArrow(run, "doc_id long, text_key long, node long, fp long, w1 long, w2 long, keys array<long>")
+
+
+def text_key(text: Column | None = None) -> Column:
+    """A hash of the text column; a null text counts as empty."""
+    return F.xxhash64(F.coalesce((F.col("text") if text is None else text).cast("string"), F.lit("")))
 
 
 def near_duplicates_checked(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 24, wide_radius: int = 46, bands: int = 24, band_rows: int = 4) -> DataFrame:
-    """(doc_id, fp, component_id), linking documents of which at least ``similarity`` of the distinct shingles agree.
+    """(doc_id, text_key, fp, root, component_id), linking documents of which at least ``similarity`` of the distinct shingles agree.
 
     Texts meet where one of ``bands`` keys agrees, each made of ``band_rows`` least
     hashes of the set; at 0.8 similarity one does with probability 0.999997. The
@@ -379,7 +384,7 @@ def near_duplicates_checked(docs: DataFrame, width: int = 5, similarity: float =
     sets = _shingle_sets(met.select("a", F.when(F.col("unit").isNull(), F.col("b")).alias("b")), distinct, docs, width, work)
     more = work.save(_close_by_shingles(pairs, sets, similarity).unionByName(_close_in_units(units, sets, radius, wide_radius, similarity)))
     groups = components(same.unionByName(more), work)
-    return _with_component(rows, distinct, groups)
+    return _with_component(rows, distinct, groups).select("doc_id", "text_key", "fp", "root", "component_id")
 
 
 def _shingle_sets(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, width: int, work: Workspace) -> DataFrame:

@@ -21,12 +21,11 @@ def docs(spark):
 def test_quality_on_held_out_rows(spark, docs):
     work = Workspace(spark)
     labels = spark.read.parquet(f"{DIR}/labels.parquet")
-    stats = quality.document_statistics(docs)
-    scored = quality.score(stats, quality.fit(stats, labels, work))
+    scored = quality.score(docs, quality.fit(docs, labels, work))
     right = scored.join(labels, "doc_id").where("held_out").select(F.avg((F.col("predicted") == F.col("quality")).cast("int"))).first()[0]
     assert scored.count() == docs.count() and right > 0.95
     odd = spark.createDataFrame([(None, None), (1, "")], "doc_id long, text string")
-    assert quality.score(quality.document_statistics(odd), quality.fit(stats, labels.limit(0), work)).where("score = 0.5").count() == 2
+    assert quality.score(odd, quality.fit(docs, labels.limit(0), work)).where("score = 0.5").count() == 2
 
 
 def test_language_on_held_out_rows(spark, docs):
@@ -131,6 +130,23 @@ def test_stages_on_odd_rows(spark):
         assert corpus_pipeline.packed(spark, now, DIR).count() >= now.count()
 
 
+def test_rows_of_one_id_are_judged_by_their_texts(spark):
+    """Unlike texts of an id both stay, like ones leave one row, in mixing each row keeps its own part."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a, 0), (5, a, 1), (5, b, 2), (5, b, 3), (5, b + " more", 4), (6, c, 5), (None, a, 6), (None, a, 7)]
+    made = spark.createDataFrame([(*r, "en", "s1", r[2], r[2], r[2]) for r in rows], "doc_id long, text string, n_chars long, lang string, source string, _key long, _taken long, epoch long")
+    for _ in range(2):
+        kept = corpus_pipeline.one_of_each(spark, made.repartition(3), DIR)
+        assert kept.columns == made.columns
+        found = [(r["doc_id"], r["text"], r["n_chars"]) for r in kept.collect()]
+        assert sorted((x for x in found if x[0] is not None), key=str) in ([(1, a, 0), (5, b, 2), (6, c, 5)], [(1, a, 0), (5, b + " more", 4), (6, c, 5)])
+        assert sum(x[0] is None for x in found) == 2
+    unlike = made.where("n_chars in (0, 1, 2, 5)")
+    mixed = corpus_pipeline.mixed(spark, unlike, DIR)
+    assert mixed.columns == made.columns and {(r["doc_id"], r["text"][0]) for r in mixed.collect()} == {(1, "a"), (5, "a"), (5, "b"), (6, "c")}
+    assert mixed.count() == 4
+
+
 def test_pipeline_stages(spark, docs):
     work, now = Workspace(spark), docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
