@@ -9,11 +9,14 @@ of that length.
 
 Defined results: a null text is an empty text and packs as the end token
 alone; a null doc_id, repeated rows and extra columns are carried as ordinary
-rows; an empty table gives an empty result.
+rows; a text of any length is encoded whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -24,98 +27,68 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .workspace import Workspace
+from .workspace import Workspace, few_rows
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 
 
-class ChunkIds(dict):
-    """Token ids of the text between two single spaces, as little-endian bytes.
+# fixed value: the pattern by which byte-level tokenizers part a text before merging
+PRE_TOKENS = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s++$|\s+(?!\S)|\s"""
+LONG_SPACE = re.compile(r"\s{5000}")
 
-    A single space before a non-space always begins a new pre-token, so a text
-    may be cut there without changing its ids. Entries are for chunks that had a
-    space in front. The table is emptied at ``limit`` entries to bound memory.
-    """
 
-    def __init__(self, encode, limit: int, encode_word=None):
-        super().__init__()
-        self.encode, self.limit, self.encode_word = encode, limit, encode_word or encode
-        self.bare: dict[str, bytes] = {}
-        self.ends = {c: encode(c) for c in ".,"}
-        self.newline = encode("\n")
-
-    def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= self.limit:
-            self.clear()
-        self[chunk] = ids = self._cut(chunk, " ")
-        return ids
-
-    def _cut(self, chunk: str, before: str) -> bytes:
-        line, newline, rest = chunk.partition("\n")
-        if newline and line and rest and not line[-1].isspace() and not rest[0].isspace():
-            return self._word(line, before) + self.newline + self._cut(rest, "")
-        return self._word(chunk, before)
-
-    def _word(self, word: str, before: str) -> bytes:
-        if len(word) > 1 and word[-1] in self.ends and word[-2].isalpha():
-            return self._word(word[:-1], before) + self.ends[word[-1]]
-        ids = self.bare.get(before + word)
-        if ids is None:
-            if len(self.bare) >= self.limit // 2:
-                self.bare.clear()
-            one = word.isalpha() and max(word) < "\u0250"  # Latin letters: a single pre-token
-            self.bare[before + word] = ids = (self.encode_word if one else self.encode)(before + word)
-        return ids
-
-
-_TABLES: dict[tuple, ChunkIds] = {}
-
-
-def merge_ranks(path: str) -> dict[bytes, int]:
+def merge_ranks(model: dict) -> dict[bytes, int]:
     """The vocabulary of a byte-level tokenizer file as bytes; its ids are in order of merging."""
-    import json
-
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow from 256
     hidden = [b for b in range(256) if b not in set(shown)]
     byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
-    with open(path, encoding="utf-8") as file:
-        model = json.load(file)
     added = {x["content"] for x in model["added_tokens"]}
     return {bytes(byte_of[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in added}
 
 
-def _chunk_ids(path: str, limit: int = 400_000) -> ChunkIds:
-    if (path, limit) not in _TABLES:
-        import os
+class TextIds:
+    """Token ids of whole texts as little-endian bytes.
 
+    A plain byte-level file (no normaliser, the usual pattern) is encoded by its merges alone, which is faster and
+    gives the same ids; texts that hold an added token or a very long run of white space, and all texts of any
+    other file, go to the tokenizer itself.
+    """
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        whole = Tokenizer.from_file(path)
+        self.whole, self.merges = Tokenizer.from_file(path), None
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)
+        before = model.get("pre_tokenizer") or {}
+        if before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not model.get("normalizer"):
+            import tiktoken
+
+            self.merges = tiktoken.Encoding("merges", pat_str=PRE_TOKENS, mergeable_ranks=merge_ranks(model), special_tokens={})
+        self.added = [x["content"] for x in model["added_tokens"]]
 
-        def encode(text: str) -> bytes:
-            return np.array(whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    def __call__(self, text: str) -> bytes:
+        if self.merges is None or any(x in text for x in self.added) or len(text) >= 5000 and LONG_SPACE.search(text):
+            ids = self.whole.encode(text, add_special_tokens=False).ids
+        else:
+            ids = self.merges.encode_ordinary(text)
+        return np.array(ids, dtype="<u4").tobytes()
 
-        import tiktoken
 
-        ranks = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=merge_ranks(path), special_tokens={})
+_ENCODERS: dict[str, TextIds] = {}
 
-        def encode_word(text: str) -> bytes:  # the same merges, faster for one pre-token
-            return np.array(ranks.encode_ordinary(text), dtype="<u4").tobytes()
 
-        _TABLES[path, limit] = ChunkIds(encode, limit, encode_word)
-    return _TABLES[path, limit]
+def text_ids(path: str) -> TextIds:
+    """The encoder of a file, one for each process."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = TextIds(path)
+    return _ENCODERS[path]
 
 
-def document_ids(text: str | None, table: ChunkIds, end_id: int) -> bytes:
+def document_ids(text: str | None, encode: TextIds, end_id: int) -> bytes:
     """Ids of a whole text and the end token, four bytes each."""
-    end = np.array([end_id], dtype="<u4").tobytes()
-    if not text:
-        return end
-    if "  " in text or "<|" in text or text[-1] == " ":
-        return table.encode(text) + end
-    first, *rest = text.split(" ")
-    return b"".join([table._cut(first, ""), *map(table.__getitem__, rest), end])
+    return (encode(text) if text else b"") + np.array([end_id], dtype="<u4").tobytes()
 
 
 def cut(ids: bytes, capacity: int) -> Iterator[tuple[int, int, int, int]]:
@@ -132,11 +105,11 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int
     """One row per piece; ``nth`` counts the pieces of that length in the writing task ``part``."""
 
     def run(batches):
-        table, seen, part = _chunk_ids(tokenizer), np.zeros(capacity + 1, dtype=np.int64), TaskContext.get().partitionId()
-        for batch in batches:
+        encode, seen, part = text_ids(tokenizer), np.zeros(capacity + 1, dtype=np.int64), TaskContext.get().partitionId()
+        for batch in few_rows(batches):
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for piece, start, length, crc in cut(document_ids(text, table, end_id), capacity):
+                for piece, start, length, crc in cut(document_ids(text, encode, end_id), capacity):
                     rows.append((doc_id, piece, start, length, crc, part, int(seen[length])))
                     seen[length] += 1
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 7

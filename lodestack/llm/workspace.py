@@ -23,6 +23,13 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def few_rows(batches, rows: int = 1024):
+    """Arrow batches in slices, so that a task holds the Python values of few texts at once."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 class Workspace:
     """A folder of intermediate tables for one query."""
 
