@@ -23,7 +23,7 @@ def common_length(rows: DataFrame) -> int:
 
 def sample(rows: DataFrame, dims: int, limit: int = SAMPLE) -> np.ndarray:
     """Unit vectors of the ``limit`` ids that hash lowest, to fit on; ``limit`` bounds what reaches the driver."""
-    low = rows.where(F.size("vector") == dims).orderBy(F.xxhash64("vec_id", F.lit(3)), "vec_id").limit(limit)
+    low = rows.where(F.size("vector") == dims).orderBy(F.xxhash64("vec_id", F.lit(3)), "vec_id", "vector").limit(limit)
     got = np.array([r["vector"] for r in low.select("vector").collect()], dtype=np.float64).reshape(-1, dims)
     return got / np.linalg.norm(got, axis=1, keepdims=True)
 
