@@ -2,20 +2,24 @@
 
 Each half of the vectors has a codebook of its own, learned on a bounded sample;
 their product is a grid of cells. Every vector stands in its home cell and
-visits the cells in the order of the multi-sequence algorithm, by how far it is
+visits cells in the order of the multi-sequence algorithm, by how far it is
 from each cell's border. The stopping distance comes from the target recall:
 vectors of the sample are turned by exactly the linking angle in random directions,
 and the distance must cover that share of the cells in which they land. Cosines
 in double precision then decide. Equal vectors are one vector with a count.
 
-A pair is counted for both ends whichever of them visits the other's cell. A
+Of two cells the vectors of the lower-numbered one visit the other, so a pair is
+met once. How fine the grid is comes from the sample too: of several sizes the
+one whose visits and comparisons cost least for the number of vectors at hand. A
 crowded cell is dealt out as blocks of homes by blocks of visitors. A task
 reports sums and stars, so its output grows with the vectors, not with the pairs.
 
 Defined results: vectors that are null, zero, or hold null or non-finite parts,
 or that differ from the most common length, link with nothing and are kept;
 rows without id link with nothing, have no component and are not kept; repeated rows link with each
-other; an empty table gives an empty result; extra columns play no part.
+other, and rows of one id with different vectors are vectors of their own; a pair's cosine is
+summed in one order wherever it is met, so a link counts for both ends; an empty table gives an
+empty result; extra columns play no part.
 """
 
 from __future__ import annotations
@@ -30,10 +34,11 @@ from pyspark.sql import functions as F
 from . import vectors
 from .components import components
 from .simhash import roots
-from .workspace import Workspace
+from .workspace import Workspace, few_rows
 
-HOMES = 1_024
-VISITORS = 4_096
+HOMES = 16_384
+VISITORS = 16_384
+ROWS_AT_ONCE = 256
 
 
 def codebook(x: np.ndarray, size: int, rng, rounds: int = 8) -> np.ndarray:
@@ -62,20 +67,32 @@ def cells_in_order(left: list[tuple[float, int]], right: list[tuple[float, int]]
 class Grid:
     """Two codebooks and the stopping distance."""
 
-    def __init__(self, sample: np.ndarray, count: int, cosine: float, recall: float = 0.9998, a_cell: int = 40, seed: int = 6):
+    def __init__(self, sample: np.ndarray, cosine: float, size: int, recall: float = 0.9999, seed: int = 6):
         rng = np.random.default_rng(seed)
-        self.cosine, self.dims = cosine, sample.shape[1]
+        self.cosine, self.dims, self.size = cosine, sample.shape[1], size
         self.cut = max(1, self.dims // 2)
-        size = int(np.clip(np.sqrt(count / a_cell), 1, min(1024, len(sample))))
-        self.books = [codebook(h, size if h.shape[1] else 1, rng) for h in (sample[:, : self.cut], sample[:, self.cut :])]
+        self.books = [codebook(h, min(size, len(sample)) if h.shape[1] else 1, rng) for h in (sample[:, : self.cut], sample[:, self.cut :])]
         self.gaps = [np.sqrt(np.maximum(1e-12, np.square(b[:, None] - b[None]).sum(axis=2))) for b in self.books]
         noise = rng.normal(size=sample.shape)
         noise -= (noise * sample).sum(axis=1, keepdims=True) * sample
         noise /= np.maximum(1e-12, np.linalg.norm(noise, axis=1, keepdims=True))
         turned = cosine * sample + np.sqrt(1 - cosine**2) * noise
-        homes = self.homes(turned)
-        away = self.away(sample, homes)
-        self.limit = float(np.quantile(away, recall, method="higher")) * 1.05 + 1e-9
+        self.limit = float(np.quantile(self.away(sample, self.homes(turned)), recall, method="higher")) * 1.05 + 1e-9
+
+    @classmethod
+    def fitting(cls, sample: np.ndarray, count: int, cosine: float) -> Grid:
+        """The grid of least estimated cost for ``count`` vectors: a row sent costs as much as a thousand comparisons."""
+        best, least = None, float("inf")
+        for size in (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256):
+            grid = cls(sample, cosine, size)
+            some = sample[:500]
+            visits, cell = sum(map(len, grid.visits(some))) / len(some), count / size**2
+            cost = visits * (1000 * max(1.0, cell / HOMES) + cell)
+            if cost < least:
+                best, least = grid, cost
+            elif cost > 2 * least:
+                break
+        return best
 
     def _borders(self, x: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each half: the home centre, and the squared distance to the border with each centre."""
@@ -99,12 +116,12 @@ class Grid:
         return left[at, cells // len(self.books[1])] + right[at, cells % len(self.books[1])]
 
     def visits(self, x: np.ndarray):
-        """Visited cells of each vector, the home cell first."""
-        (_, left), (_, right) = self._borders(x)
+        """Visited cells of each vector: its home and those of higher numbers."""
+        (a, left), (b, right) = self._borders(x)
         width = len(self.books[1])
-        for a, b in zip(left, right, strict=True):
-            lists = [sorted((float(h[i]), int(i)) for i in np.flatnonzero(h <= self.limit)) for h in (a, b)]
-            yield [i * width + j for i, j in cells_in_order(lists[0], lists[1], self.limit)]
+        for home, one, two in zip((a * width + b).tolist(), left, right, strict=True):
+            lists = [sorted((float(h[i]), int(i)) for i in np.flatnonzero(h <= self.limit)) for h in (one, two)]
+            yield [home, *(c for i, j in cells_in_order(lists[0], lists[1], self.limit) if (c := i * width + j) > home)]
 
 
 def near_duplicates(rows: DataFrame, cosine: float = 0.95) -> DataFrame:
@@ -114,25 +131,24 @@ def near_duplicates(rows: DataFrame, cosine: float = 0.95) -> DataFrame:
     dims = vectors.common_length(rows.where("ok"))
     rows = rows.withColumn("ok", F.col("ok") & (F.size("vector") == dims))
     good = rows.where("ok").select("vec_id", "vector")
-    distinct = work.save(good.groupBy("vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")))
+    distinct = good.groupBy("vector").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("n"))
+    distinct = work.save(distinct.withColumn("rep", F.monotonically_increasing_id()))  # a vector's own number, fixed once it is written
     count = distinct.count()
     alone = lambda x: x.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
     if not count:
         return alone(rows)
-    grid = Grid(vectors.sample(distinct.select(F.col("rep").alias("vec_id"), "vector"), dims), count, cosine)
-    shared = spark.sparkContext.broadcast(grid)  # two codebooks of 1024 centres at most
+    grid = Grid.fitting(vectors.sample(distinct.select(F.col("first_id").alias("vec_id"), "vector"), dims), count, cosine)
+    shared = spark.sparkContext.broadcast(grid)  # two codebooks of 256 centres at most
 
     def place(batches):
         grid = shared.value
-        for batch in batches:
+        for batch in few_rows(batches):
             x = vectors.matrix(batch.column(0), dims)
-            unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-            homes = grid.homes(unit) if len(x) else np.zeros(0, dtype=np.int64)
-            cells = [c if c else [int(h)] for c, h in zip(grid.visits(unit), homes, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(homes), pa.array(cells, type=pa.list_(pa.int64()))], names=["vector", "rep", "n", "home", "cells"])
+            cells = list(grid.visits(x / np.linalg.norm(x, axis=1, keepdims=True)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c[0] for c in cells], type=pa.int64()), pa.array(cells, type=pa.list_(pa.int64()))], names=["vector", "rep", "n", "home", "cells"])
 
     kind = distinct.schema["vector"].dataType.simpleString()
-    placed = work.save(distinct.mapInArrow(place, f"vector {kind}, rep long, n long, home long, cells array<long>"))
+    placed = work.save(distinct.select("vector", "rep", "n").mapInArrow(place, f"vector {kind}, rep long, n long, home long, cells array<long>"))
     sizes = placed.select(F.explode("cells").alias("cell"), (F.col("cell") == F.col("home")).alias("at_home")).groupBy("cell")
     sizes = sizes.agg(F.ceil(F.sum(F.col("at_home").cast("long")) / HOMES).alias("hs"), F.ceil(F.count("*") / VISITORS).alias("vs")).where("hs > 0")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
@@ -150,31 +166,39 @@ def near_duplicates(rows: DataFrame, cosine: float = 0.95) -> DataFrame:
             x = vectors.matrix(table.column(7).combine_chunks(), dims)
             x = x / np.linalg.norm(x, axis=1, keepdims=True)
             hs, vs = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
-            near = x[vs] @ x[hs].T >= grid.cosine
-            near &= rep[vs][:, None] != rep[hs][None]
-            i, j = np.nonzero(near)
-            if not len(i):
+            if not len(hs) or not len(vs):
+                continue
+            links, top = np.zeros(len(rep), dtype=np.int64), np.arange(len(rep))
+            inside, same = home[vs] == home[hs[0]], x[hs].T
+            for part in np.array_split(np.arange(len(vs)), len(vs) // ROWS_AT_ONCE + 1):
+                score = x[vs[part]] @ same
+                i, j = np.nonzero(score >= grid.cosine - 1e-9)
+                v, h = vs[part[i]], hs[j]
+                once = ~inside[part[i]] | (rep[v] < rep[h])  # a pair of one cell is met from both sides
+                v, h, value = v[once], h[once], score[i, j][once]
+                sure = value >= grid.cosine + 1e-9
+                if not sure.all():  # near the threshold a sum of fixed order decides
+                    sure[~sure] = (x[v[~sure]] * x[h[~sure]]).sum(axis=1) >= grid.cosine
+                    v, h = v[sure], h[sure]
+                if len(v):
+                    np.add.at(links, v, n[h])
+                    np.add.at(links, h, n[v])
+                    top = roots(len(rep), np.concatenate([top, v]), np.concatenate([np.arange(len(rep)), h]))
+            ids, at = np.unique(rep, return_inverse=True)  # a home that visits its own cell stands here twice
+            total, linked = np.zeros(len(ids), dtype=np.int64), np.flatnonzero(links > 0)
+            if not len(linked):
                 continue
-            v, h = vs[i], hs[j]
-            links = np.zeros(len(rep), dtype=np.int64)
-            np.add.at(links, v, n[h])
-            cells = np.unique(home[v])
-            for part in np.array_split(np.arange(len(v)), len(v) // 50_000 + 1):
-                unseen = np.zeros(len(part), dtype=bool)  # pairs that the home vector does not meet at its visitor's home
-                unseen[:] = grid.away(x[h[part]], home[v[part]]) > grid.limit if len(cells) > 1 or cells[0] != home[h[0]] else False
-                np.add.at(links, h[part][unseen], n[v[part]][unseen])
-            ids, at = np.unique(rep, return_inverse=True)
-            top = roots(len(ids), at[v], at[h])
-            total = np.zeros(len(ids), dtype=np.int64)
             np.add.at(total, at, links)
-            keep = np.flatnonzero((total > 0) | (top != np.arange(len(ids))))
+            top = roots(len(ids), at[top[linked]], at[linked])
+            keep = np.flatnonzero(total > 0)
             yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(total[keep]), pa.array(ids[top[keep]])], names=["rep", "links", "root"])
 
     units = visitors.unionByName(homes).repartition("cell", "h", "v").sortWithinPartitions("cell", "h", "v")
     found = work.save(units.mapInArrow(compare, "rep long, links long, root long"))
     sums = found.groupBy("rep").agg(F.sum("links").alias("links"))
     groups = components(found.select(F.col("root").alias("a"), F.col("rep").alias("b")), work)
-    summed = placed.select("vector", "rep", "n").join(sums, "rep", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
-    summed = summed.select("vector", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
+    summed = distinct.join(sums, "rep", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    least = summed.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    summed = summed.join(least, "root").select("vector", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
     linked = good.join(summed, "vector").select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
     return linked.unionByName(alone(rows.where(~F.col("ok"))))

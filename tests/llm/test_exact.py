@@ -165,9 +165,18 @@ def test_simhash_components(docs):
 
 def test_crowded_bucket_is_split(spark, monkeypatch):
     monkeypatch.setattr(simhash, "BLOCK", 4)
-    fps = spark.range(40).select((F.col("id") * 8).alias("fp"))
-    found = {tuple(sorted(r)) for r in simhash.links(fps, 2, simhash.block_masks(2)).collect()}
-    assert found and all((a ^ b).bit_count() <= 2 * 40 for a, b in found)
+    own = sorted({*range(0, 320, 8), *(1 << 20 | x for x in (3, 12, 48, 192)), 0b111 << 40})
+    found = {tuple(r) for r in simhash.links(spark.createDataFrame([(x,) for x in own], "fp long"), 2, simhash.block_masks(2)).collect()}
+
+    def groups(edges):
+        root = {x: x for x in own}
+        for _ in own:
+            for a, b in edges:
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    near = [(a, b) for a in own for b in own if a < b and (a ^ b).bit_count() <= 2]
+    assert groups(found) == groups(near) and len(set(groups(near).values())) > 1
 
 
 @pytest.mark.parametrize("dense", [0, 4])
@@ -212,6 +221,17 @@ def test_packing_round_trip(docs):
     assert max(filled.values()) <= 64
 
 
+def test_ids_are_the_tokenizers():
+    from tokenizers import Tokenizer
+
+    whole, encode, rng = Tokenizer.from_file(tokenizer_path()), packing.text_ids(tokenizer_path()), random.Random(9)
+    parts = ["a", "the", " of", "'s", "'LL", "é", "ß", "1", "²", "\n", "\n\n", " ", "  ", "\t", "\x1c", "\x85", "\u3000", "\u200b", ".", ",", "#!", "<|endoftext|>", "<|", "日本", "😀", "e\u0301", "\x00"]
+    made = ["".join(rng.choice(parts) if rng.random() < 0.9 else chr(rng.choice([rng.randrange(0xD800), rng.randrange(0xE000, 0x30000)])) for _ in range(rng.randint(0, 14))) for _ in range(20_000)]
+    made += [f"{x}" * 30_000 for x in ("a", "\n", "#", "a\n", "x ", "é.")] + ["\n".join(f"w{i}" for i in range(20_000)), "x" + " " * 200_000 + "y", " " * 4_999 + "y"]
+    for text in made:
+        assert packing.document_ids(text, encode, 2) == np.array([*whole.encode(text, add_special_tokens=False).ids, 2], dtype="<u4").tobytes(), ascii(text[:80])
+
+
 def test_exact_fill_uses_what_is_there():
     have = np.zeros(20, dtype=np.int64)
     have[[3, 4, 5]] = [1, 1, 2]
@@ -249,21 +269,51 @@ def vectors(spark):
     return x, spark.createDataFrame(rows, "vec_id long, vector array<double>").repartition(3)
 
 
-def test_embedding_links(spark):
-    x, rows = vectors(spark)
+def linked(x):
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     near = unit @ unit.T >= 0.95
     np.fill_diagonal(near, False)
-    found = {r["vec_id"]: r for r in imi.near_duplicates(rows).collect()}
+    return near
+
+
+@pytest.mark.parametrize("block", [16_384, 9])
+def test_embedding_links(spark, monkeypatch, block):
+    for name in ("HOMES", "VISITORS", "ROWS_AT_ONCE"):
+        monkeypatch.setattr(imi, name, block)
+    x, rows = vectors(spark)
+    near = linked(x)
+    found = {r["vec_id"]: r for r in imi.near_duplicates(rows.withColumns({"rep": F.lit(1), "cell": F.lit(2), "n": F.lit(3)})).collect()}
     assert [found[i]["n_links"] for i in range(300)] == near.sum(axis=1).tolist()
     assert len(found) == 305 and all(found[i]["kept"] and found[i]["n_links"] == 0 for i in range(900, 905))
     assert found[139]["component_id"] == 0 and not found[139]["kept"] and found[155]["component_id"] == 1
 
 
+def test_links_of_repeated_and_null_ids(spark):
+    """Two vectors under one id are two vectors; rows without id have no links."""
+    x = np.random.default_rng(5).normal(size=(1, 8)) + 0.01 * np.random.default_rng(6).normal(size=(4, 8))
+    rows = [(i, [float(v) for v in x[k]]) for k, i in enumerate([0, 0, 1, 2])] + [(None, [float(v) for v in x[0]]), (9, [1.0] + [0.0] * 7)]
+    found = sorted(map(tuple, imi.near_duplicates(spark.createDataFrame(rows, "vec_id long, vector array<double>")).collect()), key=str)
+    assert found == sorted([(0, 3, 0, True), (0, 3, 0, True), (1, 3, 0, False), (2, 3, 0, False), (None, 0, None, False), (9, 0, 9, True)], key=str)
+
+
+@pytest.mark.parametrize("size", [1, 3, 6])
+def test_a_pair_is_visited_from_one_side(size):
+    """Of two linked vectors in different cells the lower-numbered home visits the other; no cell is visited twice."""
+    rng = np.random.default_rng(size)
+    x = rng.normal(size=(200, 12))
+    x = np.concatenate([x, x + 0.05 * rng.normal(size=x.shape)])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    grid = imi.Grid(x, 0.95, size)
+    visits, homes = list(grid.visits(x)), grid.homes(x)
+    assert [v[0] for v in visits] == homes.tolist() and all(len(set(v)) == len(v) and min(v) == v[0] for v in visits)
+    i, j = np.nonzero(linked(x))
+    assert len(i) >= 200 and all(max(homes[a], homes[b]) in visits[a if homes[a] <= homes[b] else b] for a, b in zip(i, j, strict=True))
+
+
 def test_nearest_neighbours(spark):
     x, rows = vectors(spark)
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-    found = mih.search(rows, F.col("vec_id") % 50 == 0).collect()
+    found = mih.search(rows.withColumns({"form": F.lit(1), "block": F.lit(2), "rank": F.lit(3)}), F.col("vec_id") % 50 == 0).collect()
     hits = 0
     for r in found:
         score = unit @ unit[r["query_id"]]
@@ -273,6 +323,40 @@ def test_nearest_neighbours(spark):
     assert len(found) == 30 and hits >= 27
 
 
+@pytest.mark.parametrize("equal", [8, 23, 39])
+def test_equal_vectors_rank_by_id(spark, monkeypatch, equal):
+    """Equal vectors score alike wherever they stand, in one block or in several."""
+    rng = np.random.default_rng(equal)
+    x = rng.normal(size=(60, 24))
+    x[:equal] = x[0]
+    rows = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(60)] + [(None, [1.0] * 24)], "vec_id long, vector array<double>").repartition(3)
+    for block in (16_384, 10):
+        monkeypatch.setattr(mih, "BLOCK", block)
+        found = sorted((r["rank"], r["vec_id"], r["score"]) for r in mih.search(rows, F.col("vec_id") == 0).collect())
+        assert [v for _, v, _ in found] == [1, 2, 3, 4, 5] and len({s for _, _, s in found}) == 1
+
+
+def test_rows_of_one_query_id(spark):
+    """A ranking for each distinct vector of the id; none of its rows is a candidate; fewer than five candidates are all given."""
+    a, b = [1.0, 0.0, 0.2], [0.0, 1.0, 0.1]
+    rows = spark.createDataFrame([(0, a), (0, a), (0, b), (1, a), (1, a), (2, b)], "vec_id long, vector array<double>")
+    found = sorted((r["rank"], r["vec_id"]) for r in mih.search(rows, F.col("vec_id") == 0).collect())
+    assert found == [(1, 1), (1, 2), (2, 1), (2, 1), (3, 1), (3, 2)]
+
+
+def test_rings_meet_every_code_in_reach():
+    rng = np.random.default_rng(8)
+    codes = rng.integers(0, 1 << 16, (500, 3)).astype(np.uint16)
+    codes[:50] = codes[0] ^ (np.uint16(1) << rng.integers(0, 16, (50, 3)).astype(np.uint16))
+    met, index = np.zeros(500, dtype=bool), mih.Index(codes)
+    for s, new in enumerate(index.rings(codes[0])):
+        assert not met[new].any() and len(set(new.tolist())) == len(new)
+        met[new] = True
+        assert met[np.bitwise_count(codes ^ codes[0]).sum(axis=1) <= 3 * (s + 1) - 1].all()
+        assert (met == (np.bitwise_count(codes ^ codes[0]).min(axis=1) <= s)).all()
+    assert met.all()
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert anchors.remove_repeats(empty).count() == suffixes.remove_repeats(empty).count() == 0
