@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .workspace import few_rows
+
 BUCKETS = 1 << 16
 # fixed values: first code points of script ranges and the script that begins there
 SCRIPTS = [(0, 0), (0x370, 1), (0x400, 2), (0x530, 3), (0x590, 4), (0x600, 5), (0x700, 3), (0x900, 6), (0x980, 3), (0xE00, 7), (0xE80, 3), (0x1E00, 0), (0x1F00, 1), (0x2000, 3), (0x3040, 8), (0x3100, 3), (0x3400, 9), (0xA000, 3), (0xAC00, 10), (0xD7B0, 3), (0xF900, 9), (0xFB00, 3), (0x20000, 9)]
@@ -137,7 +139,7 @@ def fit(docs: DataFrame, penalty: float = 12.0) -> Model:
 
     def run(batches):
         sums: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in few_rows(batches):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 buckets, first, begin, end = letter_trigrams(text)
                 row = sums.setdefault(lang, np.zeros(BUCKETS + N_SCRIPTS, dtype=np.int64))
@@ -169,7 +171,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed buckets for each language
 
     def run(batches):
-        for batch in batches:
+        for batch in few_rows(batches):
             found = [shared.value.predict(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], type=pa.string()), pa.array([y for _, y in found], type=pa.float64())], names=["doc_id", "lang_pred", "score"])
 

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .workspace import few_rows
+
 FIT_TEXTS = 4000
 FIT_WINDOWS = 400
 KINDS = ("assign", "access", "hex", "crf")
@@ -296,7 +298,7 @@ def fit(docs: DataFrame, texts: int = FIT_TEXTS, windows: int = FIT_WINDOWS, see
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id", "left_semi")  # ids: bounded by ``texts``
 
     def run(batches):
-        for batch in batches:
+        for batch in few_rows(batches):
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for n, (tokens, tags, whole) in enumerate(_windows(text or "", np.random.default_rng(abs(doc_id) + seed))):
@@ -319,7 +321,7 @@ def scan(docs: DataFrame, field: Field) -> DataFrame:
 
     def run(batches):
         local = Field(*shared.value)
-        for batch in batches:
+        for batch in few_rows(batches):
             rows = []
             for text in batch.column(1).to_pylist():
                 base, every = all_spans(text, local)
@@ -341,7 +343,7 @@ def redact(docs: DataFrame, field: Field, mark: str = "[secret]") -> DataFrame:
 
     def run(batches):
         local = Field(*shared.value)
-        for batch in batches:
+        for batch in few_rows(batches):
             texts, sizes = [], []
             for text in batch.column(at).to_pylist():
                 _, spans = all_spans(text, local)
