@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import re
 import zlib
 from abc import ABC, abstractmethod
@@ -14,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..config import settings
 from ..schema import KINDS, SEMANTIC, SOURCE_TYPES
 from .metadata import extract_json, validate
 
@@ -49,14 +49,16 @@ class HashingEmbedder(Embedder):
         return (out / norm if norm else out).tolist()
 
 
-def embed(text: Column, make: Callable[[], Embedder]) -> Column:
-    """Vectors of a text column; each task builds one embedder and sends it whole batches."""
+def embed(text: Column, make: Callable[[], Embedder], batch_size: int | None = None) -> Column:
+    """Vectors of a text column; each task builds one embedder and sends it ``batch_size`` texts at a time (by default as the settings say)."""
+    step = batch_size or settings().embedding.batch_size
 
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = make()
         for column in batches:
-            yield pd.Series(model.embed_documents(column.fillna("").tolist()), dtype=object)
+            texts = column.fillna("").tolist()
+            yield pd.Series([v for i in range(0, len(texts), step) for v in model.embed_documents(texts[i : i + step])], dtype=object)
 
     return run(text)
 
@@ -79,9 +81,9 @@ class ReplyInferencer(Inferencer):
 
 
 class RuleInferencer(Inferencer):
-    """Facts that patterns can find: issue references, services, files, people."""
+    """Facts that patterns can find: issue references, mail addresses, services, files, people."""
 
-    patterns = {"file": r"\b[\w/-]+\.(?:py|js|ts|go|rs|java|sql|yaml|yml|json|md)\b", "service": r"\b[a-z][a-z0-9]*(?:-[a-z0-9]+)*-(?:service|api|worker|db)\b", "person": r"(?<!\w)@[A-Za-z0-9][\w-]*"}
+    patterns = {"contact": r"[a-z0-9.]+@[a-z0-9]+[.][a-z0-9.]*[a-z]", "file": r"\b[\w/-]+\.(?:py|js|ts|go|rs|java|sql|yaml|yml|json|md)\b", "service": r"\b[a-z][a-z0-9]*(?:-[a-z0-9]+)*-(?:service|api|worker|db)\b", "person": r"(?<!\w)@[A-Za-z0-9][\w-]*"}
 
     def infer_json(self, system: str, user: str, schema: dict | None = None) -> dict:
         entities = [{"type": kind, "name": name} for kind, pattern in self.patterns.items() for name in dict.fromkeys(re.findall(pattern, user))]
@@ -172,7 +174,3 @@ class SemanticIndexer:
 
         found = run(self.registry.select_name(F.col("source_type"), F.col("kind")), self.registry.default.render(self.max_chars))
         return docs.withColumn("_found", found).withColumn("semantic", F.when(F.col("_found.summary").isNotNull(), F.col("_found")).otherwise(F.col("semantic"))).drop("_found")
-
-
-def to_json_text(value: dict) -> str:
-    return json.dumps(value, ensure_ascii=False)

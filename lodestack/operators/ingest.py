@@ -21,6 +21,13 @@ def latest_per_document(docs: DataFrame, order: str) -> DataFrame:
     return docs.withColumn("_n", last).where("_n = 1").drop("_n")
 
 
+def latest(rows: DataFrame, key: str) -> DataFrame:
+    """The last row of each key in the order of the rows; rows without a key all stay."""
+    marked = rows.withColumn("_order", F.monotonically_increasing_id())
+    last = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("_order")))
+    return marked.withColumn("_n", last).where(F.col(key).isNull() | (F.col("_n") == 1)).drop("_n", "_order")
+
+
 def chunk_documents(docs: DataFrame, size: int = 800, overlap: int = 100) -> DataFrame:
     """Chunk rows without vectors; document and metadata fields ride along."""
     none = F.array().cast("array<string>")

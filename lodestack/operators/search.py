@@ -28,6 +28,11 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
 
 
+def finite(vector: Column) -> Column:
+    """True for vectors all of whose components are numbers."""
+    return F.coalesce(F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))), F.lit(False))
+
+
 def _limited(df: DataFrame, k: int) -> DataFrame:
     return df if k == ALL else df.limit(k)
 
@@ -56,7 +61,7 @@ def knn(chunks: DataFrame, vector: Sequence[float], k: int | None = None, filter
     where = predicate(filters)
     rows = chunks if where is None else chunks.where(where)
     asked = F.array(*[F.lit(float(x)) for x in vector])
-    rows = rows.where(F.size("vector") == len(vector)).withColumn("_score", cosine(F.col("vector"), asked))
+    rows = rows.where((F.size("vector") == len(vector)) & finite(F.col("vector"))).withColumn("_score", cosine(F.col("vector"), asked))
     ranked = results(rows, F.col("_score")).orderBy(F.desc("score"), "chunk_id")
     return _limited(ranked, effective_k(k))
 
@@ -64,6 +69,8 @@ def knn(chunks: DataFrame, vector: Sequence[float], k: int | None = None, filter
 def knn_batch(chunks: DataFrame, queries: DataFrame, k: int = DEFAULT_K, query_block: int = 4_096, chunk_block: int = 16_384) -> DataFrame:
     """(query_id, rank, chunk_id, score) for each row of ``queries`` (query_id, query_vector), among chunks of the same vector length.
 
+    Vectors that hold a null or a number that is not finite take no part, on either side.
+
     Blocks of queries meet blocks of chunks by a shuffle; the scores of two blocks
     are one matrix product, and only the best ``k`` of each leave the task.
     """
@@ -74,8 +81,8 @@ def knn_batch(chunks: DataFrame, queries: DataFrame, k: int = DEFAULT_K, query_b
     asks, blocks = max(1, -(-queries.count() // query_block)), max(1, -(-chunks.count() // chunk_block))
     part = lambda name, n: F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    asked = queries.select(F.size("query_vector").alias("dims"), part("query_id", asks).alias("ask"), every(blocks).alias("block"), "query_id", F.col("query_vector").alias("vector")).where("dims > 0")
-    held = chunks.select(F.size("vector").alias("dims"), every(asks).alias("ask"), part("chunk_id", blocks).alias("block"), "chunk_id", "vector").where("dims > 0")
+    asked = queries.select(F.size("query_vector").alias("dims"), part("query_id", asks).alias("ask"), every(blocks).alias("block"), "query_id", F.col("query_vector").alias("vector")).where("dims > 0").where(finite(F.col("vector")))
+    held = chunks.select(F.size("vector").alias("dims"), every(asks).alias("ask"), part("chunk_id", blocks).alias("block"), "chunk_id", "vector").where("dims > 0").where(finite(F.col("vector")))
 
     def unit(table: pa.Table) -> np.ndarray:
         x = table.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(table.num_rows, -1)

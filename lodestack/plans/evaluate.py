@@ -17,18 +17,19 @@ def golden_documents(golden: DataFrame) -> DataFrame:
 
 
 def score(rows: DataFrame) -> DataFrame:
-    """Recall and misses for rows (name, semantic, golden)."""
+    """Recall, what was found and what was missed for rows (name, semantic, golden), and their template where it is known."""
     found = {"entities": F.transform("semantic.entities", lambda e: e["name"]), "relationship_targets": F.transform("semantic.relationships", lambda r: r["target"])}
-    out = [F.col("name")]
+    out = [F.col(c) for c in ("name", "template") if c in rows.columns]
     for part, names in found.items():
         want = F.col(f"golden.{part}")
-        out += [recall(names, want).alias(f"{part}_recall"), missed(names, want).alias(f"{part}_missed")]
+        out += [recall(names, want).alias(f"{part}_recall"), missed(names, want).alias(f"{part}_missed"), F.coalesce(names, F.array().cast("array<string>")).alias(f"{part}_found")]
     return rows.select(*out)
 
 
 def evaluate(golden: DataFrame, indexer: SemanticIndexer, name_contains: str | None = None) -> DataFrame:
     rows = golden if name_contains is None else golden.where(F.col("name").contains(name_contains))
-    return score(indexer.extract(golden_documents(rows)))
+    docs = golden_documents(rows).withColumn("template", indexer.registry.select_name(F.col("source_type"), F.col("kind")))
+    return score(indexer.extract(docs))
 
 
 def mean_recall(scores: DataFrame) -> DataFrame:

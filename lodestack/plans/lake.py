@@ -3,111 +3,145 @@
 Two generations of a bucket are never read together: a replacement writes the
 touched buckets whole into a new version folder, then a small manifest names
 the version of each bucket. Readers see the old or the new state, and a crashed
-write leaves the old one. One writer at a time.
+write leaves the old one: manifests are numbered and never changed, readers
+take the highest. One writer at a time. The number of buckets grows with the
+rows; ``vacuum`` removes what no reader of the newest state needs.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import settings
 from ..functions.models import Embedder, HashingEmbedder
 from ..operators import search
-from ..operators.ingest import chunk_documents, embed_chunks
+from ..operators.ingest import chunk_documents, embed_chunks, latest
 from ..schema import CHUNK
-from .hooks import Interceptors, QueryContext
+from .hooks import Interceptors, QueryContext, configured
 
 
 class ContextLake:
-    """A chunk store under ``path``."""
+    """A chunk store under ``path``; a bucket holds about ``rows_a_bucket`` rows at most."""
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
-        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None, rows_a_bucket: int = 200_000):
+        own = settings().store
+        self.spark, self.path, self.first_buckets, self.rows_a_bucket = spark, (path or own.path).rstrip("/"), buckets or own.buckets, rows_a_bucket
 
     def _files(self):
         jvm = self.spark.sparkContext._jvm
         root = jvm.org.apache.hadoop.fs.Path(self.path)
         return jvm.org.apache.hadoop.fs.Path, root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def manifest(self) -> dict[str, str]:
-        """Version folder of each bucket that holds rows."""
+    def _names(self, folder: str) -> list[str]:
         path, fs = self._files()
-        at = path(f"{self.path}/manifest.json")
-        if not fs.exists(at):
-            return {}
-        return json.loads("\n".join(r["value"] for r in self.spark.read.text(f"{self.path}/manifest.json", wholetext=True).collect()))
-
-    def _publish(self, manifest: dict[str, str]) -> None:
+        at = path(f"{self.path}/{folder}")
+        return sorted(x.getPath().getName() for x in fs.listStatus(at)) if fs.exists(at) else []
+
+    def state(self) -> dict[str, Any]:
+        """The newest manifest: the number of buckets, and for each that holds rows its version folder and its rows."""
+        made = [x for x in self._names("manifests") if x.endswith(".json")]
+        if not made:
+            return {"number": 0, "buckets": self.first_buckets, "versions": {}, "rows": {}}
+        return json.loads(self.spark.read.text(f"{self.path}/manifests/{made[-1]}", wholetext=True).first()["value"])
+
+    def _publish(self, buckets: int, versions: dict[str, str], rows: dict[str, int], number: int) -> None:
+        """Write manifest ``number`` under its final name in one step; the older ones stay."""
         path, fs = self._files()
-        out = fs.create(path(f"{self.path}/manifest.tmp"), True)
-        out.write(bytearray(json.dumps(manifest).encode()))
+        held = path(f"{self.path}/manifests/{number:012d}.tmp")
+        out = fs.create(held, True)
+        out.write(bytearray(json.dumps({"number": number, "buckets": buckets, "versions": versions, "rows": rows}).encode()))
         out.close()
-        target = path(f"{self.path}/manifest.json")
-        fs.delete(target, False)
-        fs.rename(path(f"{self.path}/manifest.tmp"), target)
+        if not fs.rename(held, path(f"{self.path}/manifests/{number:012d}.json")):
+            raise RuntimeError(f"manifest {number} of {self.path} is there already: another writer came first")
 
     def ensure_index(self) -> None:
         """Create the lake if it is not there; again is harmless."""
-        path, fs = self._files()
-        fs.mkdirs(path(self.path))
-        if not self.manifest() and not fs.exists(path(f"{self.path}/manifest.json")):
-            self._publish({})
+        if not self._names("manifests"):
+            self._publish(self.first_buckets, {}, {}, 1)
 
     def chunks(self, buckets: list[int] | None = None) -> DataFrame:
         """All chunk rows, or those of some buckets."""
-        found = [f"{self.path}/{v}/bucket={b}" for b, v in self.manifest().items() if buckets is None or int(b) in buckets]
+        found = [f"{self.path}/{v}/bucket={b}" for b, v in self.state()["versions"].items() if buckets is None or int(b) in buckets]
         if not found:
             return self.spark.createDataFrame([], CHUNK)
         return self.spark.read.schema(CHUNK).parquet(*found)
 
-    def bucket(self, name: str = "document_id"):
-        return F.pmod(F.xxhash64(name), F.lit(self.buckets)).cast("int")
+    def _bucket(self, document: Column, buckets: int) -> Column:
+        return F.pmod(F.xxhash64(document), F.lit(buckets)).cast("int")
 
     def _bucket_of(self, document_id: str) -> int:
-        return self.spark.range(1).select(F.pmod(F.xxhash64(F.lit(document_id)), F.lit(self.buckets)).alias("b")).first()["b"]
-
-    def _rewrite(self, rows: DataFrame, touched: list[int]) -> None:
-        version = f"v-{uuid.uuid4().hex}"
-        rows.withColumn("bucket", self.bucket()).repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/{version}")
-        filled = [int(r["bucket"]) for r in self.spark.read.parquet(f"{self.path}/{version}").select("bucket").distinct().collect()] if self._has_rows(version) else []
-        manifest = {b: v for b, v in self.manifest().items() if int(b) not in touched}
-        self._publish(manifest | {str(b): version for b in filled})
-
-    def _has_rows(self, version: str) -> bool:
+        return self.spark.range(1).select(self._bucket(F.lit(document_id), self.state()["buckets"]).alias("b")).first()["b"]
+
+    def _rewrite(self, rows: DataFrame, touched: list[int] | None, buckets: int) -> None:
+        """New versions of the touched buckets (None: of all, dealt anew into ``buckets``), then the manifest that names them."""
+        before, version = self.state(), f"v-{uuid.uuid4().hex}"
+        rows.withColumn("bucket", self._bucket(F.col("document_id"), buckets)).repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/{version}")
+        filled = [x for x in self._names(version) if x.startswith("bucket=")]
+        sizes = {str(r["bucket"]): r["count"] for r in self.spark.read.parquet(f"{self.path}/{version}").groupBy("bucket").count().collect()} if filled else {}  # a row for each bucket
+        old = [] if touched is None else [b for b in before["versions"] if int(b) not in touched]
+        counts = {b: before["rows"][b] for b in old} | sizes
+        self._publish(buckets, {b: before["versions"][b] for b in old} | dict.fromkeys(sizes, version), counts, before["number"] + 1)
+        if sum(counts.values()) > self.rows_a_bucket * buckets:
+            self._rewrite(self.chunks(), None, 2 * -(-sum(counts.values()) // self.rows_a_bucket))
+
+    def vacuum(self) -> None:
+        """Delete versions and manifests older than the newest state; no reader may still use them."""
+        path, fs = self._files()
+        now = self.state()
+        for name in self._names("."):
+            if name.startswith("v-") and name not in now["versions"].values():
+                fs.delete(path(f"{self.path}/{name}"), True)
+        for name in self._names("manifests"):
+            if name.endswith(".tmp") or name < f"{now['number']:012d}.json":
+                fs.delete(path(f"{self.path}/manifests/{name}"), False)
+
+    @contextmanager
+    def written(self, rows: DataFrame) -> Iterator[DataFrame]:
+        """``rows`` as a table written once and read from there, so that models run once; it goes at the end."""
         path, fs = self._files()
-        return any(s.getPath().getName().startswith("bucket=") for s in fs.listStatus(path(f"{self.path}/{version}")))
+        at = f"{self.path}/staged-{uuid.uuid4().hex}"
+        rows.write.parquet(at)
+        try:
+            yield self.spark.read.schema(rows.schema).parquet(at)
+        finally:
+            fs.delete(path(at), True)
 
-    def _touched(self, ids: DataFrame) -> list[int]:
-        return [r["b"] for r in ids.select(self.bucket().alias("b")).distinct().collect()]  # at most the number of buckets
+    def _touched(self, ids: DataFrame, buckets: int) -> list[int]:
+        return [r["b"] for r in ids.select(self._bucket(F.col("document_id"), buckets).alias("b")).distinct().collect()]  # at most the number of buckets
 
     def upsert(self, rows: DataFrame) -> int:
-        """Insert or overwrite by chunk_id; no rows do nothing. Rows without ids are refused."""
-        bad = rows.where("chunk_id is null or document_id is null").count()
-        if bad:
-            raise RuntimeError(f"{bad} chunk rows without an id")
-        touched = self._touched(rows)
-        if not touched:
-            return 0
-        kept = self.chunks(touched).join(rows.select("chunk_id"), "chunk_id", "left_anti")
-        self._rewrite(kept.unionByName(rows), touched)
-        return rows.count()
+        """Insert or overwrite by chunk_id, the last of several rows of one; no rows do nothing. Rows without ids are refused."""
+        with self.written(latest(rows, "chunk_id")) as rows:
+            bad = rows.where("chunk_id is null or document_id is null").count()
+            if bad:
+                raise RuntimeError(f"{bad} chunk rows without an id")
+            buckets = self.state()["buckets"]
+            touched = self._touched(rows, buckets)
+            if not touched:
+                return 0
+            kept = self.chunks(touched).join(rows.select("chunk_id"), "chunk_id", "left_anti")
+            self._rewrite(kept.unionByName(rows), touched, buckets)
+            return rows.count()
 
     def delete_by_document(self, document_id: str) -> None:
         bucket = self._bucket_of(document_id)
-        self._rewrite(self.chunks([bucket]).where(F.col("document_id") != document_id), [bucket])
+        self._rewrite(self.chunks([bucket]).where(F.col("document_id") != document_id), [bucket], self.state()["buckets"])
 
     def replace_documents(self, rows: DataFrame, emptied: DataFrame | None = None) -> None:
         """All chunks of the documents in ``rows`` (and of the ids in ``emptied``) give way to ``rows``."""
         ids = rows.select("document_id")
         ids = (ids if emptied is None else ids.unionByName(emptied.select("document_id"))).distinct()
-        touched = self._touched(ids)
+        buckets = self.state()["buckets"]
+        touched = self._touched(ids, buckets)
         if touched:
-            self._rewrite(self.chunks(touched).join(ids, "document_id", "left_anti").unionByName(rows), touched)
+            self._rewrite(self.chunks(touched).join(ids, "document_id", "left_anti").unionByName(rows), touched, buckets)
 
     def query(self, vector: list[float], k: int | None = None, filters: dict[str, Any] | None = None) -> DataFrame:
         return search.knn(self.chunks(), vector, k, filters)
@@ -115,32 +149,39 @@ class ContextLake:
     def search_by_metadata(self, filters: dict[str, Any] | None, k: int | None = None) -> DataFrame:
         return search.search_by_metadata(self.chunks(), filters, k)
 
-    def get_by_document(self, document_id: str) -> DataFrame:
-        return search.get_by_document(self.chunks([self._bucket_of(document_id)]), document_id)
+    def get_by_document(self, document_id: str, cap: int = 1_000) -> DataFrame:
+        return search.get_by_document(self.chunks([self._bucket_of(document_id)]), document_id, cap)
 
 
 class IngestionPlan:
     """Documents through hooks, chunking and embedding into the lake.
 
-    A document without chunks leaves the lake as it is, unless ``purge_empty``.
+    Of several rows of one document the last one counts. A document without
+    chunks leaves the lake as it is, unless ``purge_empty``. What is not given
+    comes from the settings.
     """
 
-    def __init__(self, lake: ContextLake, hooks: Interceptors | None = None, embedder: Callable[[], Embedder] = HashingEmbedder, size: int = 800, overlap: int = 100, purge_empty: bool = False):
-        self.lake, self.hooks, self.embedder = lake, hooks or Interceptors(), embedder
-        self.size, self.overlap, self.purge_empty = size, overlap, purge_empty
+    def __init__(self, lake: ContextLake, hooks: Interceptors | None = None, embedder: Callable[[], Embedder] | None = None, size: int | None = None, overlap: int | None = None, purge_empty: bool | None = None):
+        own, dimensions = settings().ingestion, settings().embedding.dimensions
+        self.lake, self.hooks, self.embedder = lake, configured() if hooks is None else hooks, embedder or (lambda: HashingEmbedder(dimensions))
+        self.size, self.overlap = own.chunk_size if size is None else size, own.chunk_overlap if overlap is None else overlap
+        self.purge_empty = own.purge_empty if purge_empty is None else purge_empty
 
     def process(self, docs: DataFrame) -> None:
-        docs = self.hooks.before_ingest(docs)
-        rows = embed_chunks(chunk_documents(docs, self.size, self.overlap), self.embedder)
-        self.lake.replace_documents(rows, docs.select(F.col("id").alias("document_id")) if self.purge_empty else None)
-        self.hooks.after_ingest(docs)
+        self.lake.ensure_index()
+        with self.lake.written(self.hooks.before_ingest(latest(docs, "id"))) as docs:
+            with self.lake.written(embed_chunks(chunk_documents(docs, self.size, self.overlap), self.embedder)) as rows:
+                self.lake.replace_documents(rows, docs.select(F.col("id").alias("document_id")) if self.purge_empty else None)
+            self.hooks.after_ingest(docs)
 
 
 class ContextTools:
-    """The five retrieval calls; results are plain dictionaries of a bounded number of rows."""
+    """The five retrieval calls; results are plain dictionaries. They bring ``k`` rows to the driver; ``k=ALL`` brings every row found."""
 
-    def __init__(self, lake: ContextLake, embedder: Embedder, hooks: Interceptors | None = None, sources: list[dict] | None = None, default_k: int = 10):
-        self.lake, self.embedder, self.hooks, self.sources, self.default_k = lake, embedder, hooks or Interceptors(), sources or [], default_k
+    def __init__(self, lake: ContextLake, embedder: Embedder, hooks: Interceptors | None = None, sources: list[dict] | None = None, default_k: int | None = None):
+        self.lake, self.embedder, self.hooks = lake, embedder, configured() if hooks is None else hooks
+        self.sources = [{"id": f"github:{r}", "type": "github"} for r in settings().connector.repos] if sources is None else sources
+        self.default_k = default_k or settings().server.default_k
 
     def search_context(self, query: str, k: int | None = None, filters: dict | None = None, principal: str | None = None) -> list[dict]:
         ctx = QueryContext(query, search.effective_k(k, self.default_k), filters or {}, principal)
@@ -151,7 +192,7 @@ class ContextTools:
 
     def get_document(self, document_id: str, principal: str | None = None) -> dict:
         self.hooks.require(principal, "read", document_id)
-        row = search.reassemble(self.lake.get_by_document(document_id)).first()
+        row = search.reassemble(self.lake.get_by_document(document_id, settings().server.document_chunks)).first()
         return {"found": True} | row.asDict(True) if row else {"document_id": document_id, "found": False}
 
     def list_sources(self, principal: str | None = None) -> list[dict]:

@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.metadata import flatten, missed, recall
-from .functions.models import HashingEmbedder, PromptTemplate, default_registry, embed
+from .functions.metadata import flatten, missed, parse_metadata, recall
+from .functions.models import HashingEmbedder, PromptTemplate, SemanticIndexer, default_registry, embed
 from .functions.text import chunks, estimate_tokens
 from .operators import search
 from .operators.ingest import latest_per_document
-from .schema import document_id
+from .plans.hooks import Interceptors
+from .plans.lake import ContextLake, IngestionPlan
+from .schema import CHUNK, SEMANTIC, chunk_id, document_id
+from .sources import pages
+from .streaming.ingest import ingest_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -126,7 +133,7 @@ def token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {DOCS_SQL} select doc_id, document_id, document_id || '#0' as chunk_id, kind, repo from docs")
 def make_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).select("doc_id", "document_id", F.concat("document_id", F.lit("#0")).alias("chunk_id"), "kind", "repo")
+    return documents(spark, sf_dir).select("doc_id", "document_id", chunk_id(F.col("document_id"), F.lit(0)).alias("chunk_id"), "kind", "repo")
 
 
 @query(f"with {GRAPH_SQL} select document_id, array_to_string(entity_names, ',') as names, array_to_string(relationship_targets, ',') as targets, array_to_string(relationship_types, ',') as types from graph")
@@ -210,6 +217,19 @@ def list_entities_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.list_entities(graph(spark, sf_dir), entity_type="component", k=search.ALL)
 
 
+@query(f"with {GRAPH_SQL} select document_id, title, 'entity' as via from graph where list_contains(entity_names, 'part-7') order by 1 limit 40")
+def find_related_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.find_related(graph(spark, sf_dir), "part-7", k=40).select("document_id", "title", F.array_join("via", ",").alias("via"))
+
+
+@query(f"with {GRAPH_SQL} select distinct 'odd' as type, name from (select unnest(entity_names) as name from graph) where (replace(name, 'part-', ''))::bigint % 2 = 1")
+def list_entities_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two types, by the part's number; a chunk of both types gives only the asked one."""
+    odd = lambda e: F.when(F.replace(e["name"], F.lit("part-"), F.lit("")).cast("long") % 2 == 1, F.lit("odd")).otherwise(F.lit("even"))
+    rows = graph(spark, sf_dir).withColumn("entities", F.transform("entities", lambda e: F.struct(odd(e).alias("type"), e["name"].alias("name"))))
+    return search.list_entities(rows.withColumns(flatten(F.col("entities"), F.col("relationships"))), entity_type="odd", k=search.ALL)
+
+
 @query(f"with {GRAPH_SQL} select distinct 'component' as type, unnest(entity_names) as name from graph where document_id = 'order:000000000001'")
 def list_entities_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.list_entities(graph(spark, sf_dir), document_id="order:000000000001")
@@ -217,7 +237,7 @@ def list_entities_document(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {DOCS_SQL} select distinct 'github:' || repo as id, source_type as type from docs")
 def list_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).select(F.concat(F.lit("github:"), "repo").alias("id"), F.col("source_type").alias("type")).distinct()
+    return pages.jobs(_repos(spark, sf_dir)).select(F.col("source_id").alias("id"), F.col("source_type").alias("type")).distinct()
 
 
 @query("select source, count(*) as documents, sum(n_chars)::bigint as chars from documents group by 1")
@@ -225,10 +245,13 @@ def source_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("documents"), F.sum("n_chars").alias("chars"))
 
 
+def _repos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("source").alias("repo")).distinct()
+
+
 @query("select source as repo, kind from (select distinct source from documents), (select unnest(['readme', 'issue', 'pr']) as kind)")
 def discover_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    repos = table(spark, sf_dir, "documents").select(F.col("source").alias("repo")).distinct()
-    return repos.select("repo", F.explode(F.array(*map(F.lit, ("readme", "issue", "pr")))).alias("kind"))
+    return pages.jobs(_repos(spark, sf_dir)).select("repo", "kind")
 
 
 @query("select source, ((n - 1) // 15 + 1)::int as page, count(*) as items, case when count(*) >= 15 then ((n - 1) // 15 + 2)::varchar end as next_cursor from (select source, row_number() over (partition by source order by doc_id) as n from documents) group by source, (n - 1) // 15")
@@ -236,7 +259,7 @@ def page_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"))
     paged = sizes.select("source", "n", F.explode(F.sequence(F.lit(1), F.ceil(F.col("n") / 15).cast("int"))).alias("page"))
     rows = paged.select("source", "page", F.least(F.lit(15), F.col("n") - 15 * (F.col("page") - 1)).cast("long").alias("items"))
-    return rows.withColumn("next_cursor", F.when(F.col("items") >= 15, (F.col("page") + 1).cast("string")))
+    return rows.withColumn("next_cursor", pages.cursor_after(F.col("items"), F.col("page"), 15))
 
 
 SINCE = "2024-01-15 00:00:00"
@@ -244,9 +267,50 @@ SINCE = "2024-01-15 00:00:00"
 
 @query(f"select event_id, user_id, ts from events where event_type <> 'error' and (ts is null or ts >= timestamp '{SINCE}')")
 def since_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of one kind are left out, as change requests are from issues; the high-water mark is inclusive."""
-    fresh = F.col("ts").isNull() | (F.col("ts") >= F.to_timestamp(F.lit(SINCE)))
-    return table(spark, sf_dir, "events").where(F.col("event_type") != "error").where(fresh).select("event_id", "user_id", "ts")
+    """Events as change requests, errors as issues that are change requests; the high-water mark is inclusive."""
+    error = F.col("event_type") == "error"
+    item = F.to_json(F.struct(F.col("event_id").alias("number"), F.col("user_id").cast("string").alias("title"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("updated_at"), F.when(error, F.struct(F.lit("u").alias("url"))).alias("pull_request")))
+    raw = table(spark, sf_dir, "events").select(F.lit("o/r").alias("repo"), F.when(error, F.lit("issue")).otherwise(F.lit("pr")).alias("kind"), item.alias("item"))
+    docs = pages.normalize(pages.without_change_requests(raw), datetime.fromisoformat(SINCE))
+    return docs.select(F.element_at(F.split("external_id", "#"), -1).cast("long").alias("event_id"), F.col("title").cast("long").alias("user_id"), F.col("updated_at").alias("ts"))
+
+
+def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents table as raw items; some of the issues are change requests."""
+    request = F.when(F.col("doc_id") % 9 == 1, F.struct(F.lit("u").alias("url")))
+    fields = [F.col("doc_id").alias("number"), F.concat(F.lit("t"), "doc_id").alias("title"), F.col("text").alias("body"), F.concat(F.lit("u"), "doc_id").alias("html_url"), F.array(F.struct(F.col("lang").alias("name"))).alias("labels"), F.lit("open").alias("state"), request.alias("pull_request")]
+    kind = F.element_at(F.array(F.lit("pr"), F.lit("issue")), (F.col("doc_id") % 2 + 1).cast("int"))
+    return table(spark, sf_dir, "documents").select(F.col("source").alias("repo"), kind.alias("kind"), F.to_json(F.struct(*fields)).alias("item"))
+
+
+RAW_SQL = "(select *, ['pr', 'issue'][doc_id % 2 + 1] as kind from documents)"
+
+
+@query(f"select 'github:' || source || ':' || kind || ':' || doc_id as id, source || '#' || doc_id as external_id, 't' || doc_id as title, text as body, 'u' || doc_id as url, lang as label, 'open' as state from {RAW_SQL}")
+def normalize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = pages.normalize(_raw(spark, sf_dir))
+    return docs.select("id", "external_id", "title", "body", "url", F.col("labels")[0].alias("label"), F.col("metadata")["state"].alias("state"))
+
+
+@query(f"select kind, count(*) as n from {RAW_SQL} where not (kind = 'issue' and doc_id % 9 = 1) group by 1")
+def issues_exclude_prs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.without_change_requests(_raw(spark, sf_dir)).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+def _lake(spark: SparkSession) -> ContextLake:
+    """A lake of its own in the shared folder."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-lake-")
+    return ContextLake(spark, f"{root}/lake-{uuid.uuid4().hex}", buckets=8)
+
+
+@query(f"select doc_id, chunk_index, text from ({_chunk_sql(800, 100)})")
+def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents table as a stream of raw items into a lake, and what the lake then holds."""
+    stream = spark.readStream.schema(table(spark, sf_dir, "documents").schema).parquet(f"{sf_dir}/documents.parque[t]")  # a pattern: the table may be a file or a folder
+    item = F.to_json(F.struct(F.col("doc_id").alias("number"), F.lit("").alias("title"), F.col("text").alias("body")))
+    raw, lake = stream.select(F.lit("o/r").alias("repo"), F.lit("issue").alias("kind"), item.alias("item")), _lake(spark)
+    ingest_stream(raw, IngestionPlan(lake, Interceptors(), lambda: HashingEmbedder(64), 800, 100), f"{lake.path}-checkpoint").awaitTermination()
+    return lake.chunks().select(F.element_at(F.split("document_id", ":"), -1).cast("long").alias("doc_id"), "chunk_index", "text")
 
 
 @query("select user_id as id, event_id, event_type, value from (select *, row_number() over (partition by user_id order by event_id desc) as n from events) where n = 1")
@@ -256,10 +320,13 @@ def latest_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select conv_id, turn, text from conversations where conv_id % 3 <> 0 union all select conv_id, turn, 'new: ' || text as text from conversations where conv_id % 3 = 0 and turn < 2")
 def replace_by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    new = turns.where("conv_id % 3 = 0 and turn < 2").withColumn("text", F.concat(F.lit("new: "), "text"))
-    replaced = turns.where("conv_id % 3 = 0").select("conv_id").distinct()
-    return turns.join(replaced, "conv_id", "left_anti").unionByName(new)
+    """Every third conversation gives way to its first turns, in a lake."""
+    turns, none = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), spark.createDataFrame([], CHUNK)
+    as_chunks = lambda rows: rows.select(F.concat_ws("#", "conv_id", "turn").alias("chunk_id"), F.col("conv_id").cast("string").alias("document_id"), F.col("turn").cast("int").alias("chunk_index"), "text").unionByName(none, True).select(none.columns)
+    third, lake = turns.where("conv_id % 3 = 0"), _lake(spark)
+    lake.upsert(as_chunks(turns))
+    lake.replace_documents(as_chunks(third.where("turn < 2").withColumn("text", F.concat(F.lit("new: "), "text"))), third.select(F.col("conv_id").cast("string").alias("document_id")))
+    return lake.chunks().select(F.col("document_id").cast("long").alias("conv_id"), F.col("chunk_index").cast("long").alias("turn"), "text")
 
 
 @query(f"with {DOCS_SQL} select doc_id, 'github-' || kind as template from docs")
@@ -267,26 +334,30 @@ def prompt_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", default_registry().select_name(F.col("source_type"), F.col("kind")).alias("template"))
 
 
-@query(f"with {DOCS_SQL} select doc_id, 'Kind: ' || kind || chr(10) || 'Repository: ' || repo || chr(10) || 'Title: ' || chr(10) || 'Labels: ' || array_to_string(labels, ', ') || chr(10) || chr(10) || substr(body, 1, 400) as prompt from docs")
+@query(f"with {DOCS_SQL} select doc_id, 'Kind: ' || kind || chr(10) || 'Repository: ' || repo || chr(10) || 'Title: ' || chr(10) || 'Labels: ' || array_to_string(labels, ', ') || chr(10) || chr(10) || substr(body, 1, 12000) as prompt from docs")
 def render_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = documents(spark, sf_dir).withColumn("title", F.lit(""))
-    return rows.select("doc_id", PromptTemplate("plain", "").render(400).alias("prompt"))
+    return rows.select("doc_id", PromptTemplate("plain", "").render(12_000).alias("prompt"))
 
 
-@query("select event_id, (json_extract(props, '$.k'))::bigint as k from events")
+@query("select event_id, event_type as summary, (json_extract(props, '$.k'))::varchar as k from events")
 def extract_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql.functions import from_json
-
-    return table(spark, sf_dir, "events").select("event_id", from_json("props", "k long")["k"].alias("k"))
+    """Replies that hold their JSON between other text."""
+    k = F.get_json_object("props", "$.k")
+    made = F.to_json(F.struct(F.col("event_type").alias("summary"), F.array(F.struct(F.lit("key").alias("type"), k.alias("name"))).alias("entities")))
+    replies = table(spark, sf_dir, "events").select("event_id", parse_metadata(F.concat(F.lit("Here it is:\n```json\n"), made, F.lit("\n```\ndone"))).alias("m"))
+    return replies.select("event_id", F.col("m.summary").alias("summary"), F.col("m.entities")[0]["name"].alias("k"))
 
 
 EMAIL = "[a-z0-9.]+@[a-z0-9]+[.][a-z0-9.]*[a-z]"
 
 
-@query(f"select doc_id, unnest(list_distinct(regexp_extract_all(text, '{EMAIL}'))) as name from documents")
+@query(f"select doc_id, unnest(list_distinct(regexp_extract_all(substr(text, 1, 12000), '{EMAIL}'))) as name from documents")
 def rule_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = F.array_distinct(F.regexp_extract_all("text", F.lit(EMAIL), F.lit(0)))
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(found).alias("name"))
+    """Mail addresses among the entities of the rules, in the 12000 characters that extraction reads."""
+    docs = documents(spark, sf_dir).withColumns({"title": F.lit(""), "labels": F.array().cast("array<string>"), "semantic": F.lit(None).cast(SEMANTIC)})
+    each = SemanticIndexer().extract(docs).select("doc_id", F.explode("semantic.entities").alias("e"))
+    return each.where("e.type = 'contact'").select("doc_id", "e.name")
 
 
 def _names(spark: SparkSession, sf_dir: str) -> DataFrame:

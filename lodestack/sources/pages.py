@@ -15,8 +15,9 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..functions.text import decode_base64
 from ..schema import document_id
 
 FETCHED = ("readme", "issue", "pr")
@@ -26,8 +27,13 @@ ITEM = "number long, title string, body string, html_url string, user struct<log
 
 def discover(spark: SparkSession, repos: list[str], since: datetime | None = None) -> DataFrame:
     """One job for each repository and kind: readme, issue, pr in this order."""
-    jobs = [(f"github:{r}", "github", r, k, None, since) for r in repos for k in FETCHED]
-    return spark.createDataFrame(jobs, "source_id string, source_type string, repo string, kind string, cursor string, since timestamp")
+    return jobs(spark.createDataFrame([(r,) for r in repos], "repo string"), since)
+
+
+def jobs(repos: DataFrame, since: datetime | None = None) -> DataFrame:
+    """The jobs of a table of repositories."""
+    each = repos.select("repo", F.posexplode(F.array(*map(F.lit, FETCHED))).alias("_turn", "kind"))
+    return each.select(F.concat(F.lit("github:"), "repo").alias("source_id"), F.lit("github").alias("source_type"), "repo", "kind", F.lit(None).cast("string").alias("cursor"), F.lit(since).cast("timestamp").alias("since"))
 
 
 def next_page_cursor(count: int, page: int, page_size: int) -> str | None:
@@ -39,6 +45,17 @@ def cursor_to_page(cursor: str | None) -> int:
     return int(cursor) if cursor else 1
 
 
+def cursor_after(count: Column, page: Column, page_size: int) -> Column:
+    """The same rule over columns: the cursor that follows a page of ``count`` items."""
+    return F.when(count >= page_size, (page + 1).cast("string"))
+
+
+def without_change_requests(raw: DataFrame) -> DataFrame:
+    """Raw items less the issues that are change requests."""
+    marked = F.array_contains(F.json_object_keys("item"), "pull_request")
+    return raw.where((F.col("kind") != "issue") | ~F.coalesce(marked, F.lit(False)))
+
+
 def timestamp(text: Column) -> Column:
     """ISO timestamps; empty and malformed ones are null."""
     return F.try_to_timestamp(F.nullif(text, F.lit("")))
@@ -90,34 +107,6 @@ class PagedReader(DataSourceReader):
                 yield partition.repo, partition.kind, page, json.dumps(item)
 
 
-class PagedStreamReader(SimpleDataSourceStreamReader):
-    """Page by page through all jobs; the offset is the next page of each unfinished job."""
-
-    def __init__(self, options: dict[str, str]):
-        self.batch = PagedReader(options)
-
-    def initialOffset(self) -> dict:
-        return {f"{j.repo}|{j.kind}": 1 for j in self.batch.partitions()}
-
-    def _step(self, start: dict) -> tuple[list[tuple], dict]:
-        rows, after = [], {}
-        for job, page in start.items():
-            if page:
-                repo, _, kind = job.partition("|")
-                items, cursor = fetch(self.batch.root, repo, kind, str(page), self.batch.size)
-                rows += [(repo, kind, page, json.dumps(x)) for x in items]
-                page = cursor_to_page(cursor) if cursor else 0
-            after[job] = page
-        return rows, after
-
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        rows, after = self._step(start)
-        return iter(rows), after
-
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return iter(self._step(start)[0])
-
-
 class PagedSource(DataSource):
     """``spark.read.format("paged")`` with options path, repos, page_size."""
 
@@ -131,10 +120,6 @@ class PagedSource(DataSource):
     def reader(self, schema) -> PagedReader:
         return PagedReader(self.options)
 
-    def simpleStreamReader(self, schema) -> PagedStreamReader:
-        return PagedStreamReader(self.options)
-
-
 def normalize(raw: DataFrame, since: datetime | None = None) -> DataFrame:
     """Documents of raw items (repo, kind, item as JSON).
 
@@ -147,7 +132,7 @@ def normalize(raw: DataFrame, since: datetime | None = None) -> DataFrame:
     rows = raw.withColumns({"x": x, "names": F.filter(F.coalesce(names, F.array().cast("array<string>")), lambda n: n.isNotNull())})
     readme = F.col("kind") == "readme"
     external = F.when(readme, F.lit("readme")).otherwise(F.col("x.number").cast("string"))
-    content = F.decode(F.unbase64(F.regexp_replace(F.coalesce("x.content", F.lit("")), "\\s", "")), "UTF-8")
+    content = decode_base64(F.coalesce("x.content", F.lit("")))
     text = lambda c: F.coalesce(c, F.lit(""))
     extra = F.when(F.col("kind") == "issue", F.create_map(F.lit("state"), F.col("x.state"), F.lit("comments"), F.col("x.comments").cast("string")))
     extra = extra.when(F.col("kind") == "pr", F.create_map(F.lit("state"), F.col("x.state"), F.lit("draft"), F.col("x.draft").cast("string")))

@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import json
-from datetime import datetime
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.ingest import latest_per_document
+from ..config import settings
 from ..plans.lake import IngestionPlan
 from ..schema import SEMANTIC
-from ..sources.pages import PagedSource, normalize
+from ..sources.pages import FETCHED, PagedSource, normalize, without_change_requests
 
 
 def read_watermark(spark: SparkSession, path: str) -> datetime | None:
@@ -32,10 +32,32 @@ def write_watermark(spark: SparkSession, path: str, since: datetime) -> None:
     out.close()
 
 
-def stream_pages(spark: SparkSession, path: str, repos: list[str], page_size: int = 100) -> DataFrame:
-    """Landed pages as a stream, a page of each job in a batch."""
+def stream_pages(spark: SparkSession, path: str, repos: list[str] | None = None, pages_a_batch: int = 1000) -> DataFrame:
+    """Items of landed pages as a stream of raw items: Spark's file stream finds new pages and the executors read them.
+
+    A page that is not JSON arrives whole as one item, so that ingestion can put it aside.
+    """
+    files = spark.readStream.format("text").option("wholetext", "true").option("maxFilesPerTrigger", str(pages_a_batch)).load(f"{path}/*/*/*.json")
+    part = lambda n: F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/([^/]+)/([0-9]+)\.json$", n)
+    rows = files.select(F.replace(F.url_decode(part(1)), F.lit("__"), F.lit("/")).alias("repo"), part(2).alias("kind"), part(3).cast("int").alias("page"), F.trim("value").alias("value"))
+    rows = rows.where(F.col("kind").isin(*FETCHED))
+    rows = rows if repos is None else rows.where(F.col("repo").isin(*repos))
+    items = F.when(F.col("value").startswith("["), F.from_json("value", "array<string>"))
+    return without_change_requests(rows.select("repo", "kind", "page", F.explode(F.coalesce(items, F.array("value"))).alias("item")))
+
+
+def run_once(spark: SparkSession, path: str, mark: str, plan: IngestionPlan, repos: list[str] | None = None, page_size: int | None = None) -> datetime:
+    """A scheduled run: the last run's beginning, pages of the configured repositories, what is newer into the lake, then this run's beginning.
+
+    The mark is written last, so a run that fails is repeated in full.
+    """
+    own, began = settings().connector, datetime.now(UTC)
+    since = read_watermark(spark, mark)
     spark.dataSource.register(PagedSource)
-    return spark.readStream.format("paged").option("path", path).option("repos", ",".join(repos)).option("page_size", str(page_size)).load()
+    pages = spark.read.format("paged").option("path", path).option("repos", ",".join(own.repos if repos is None else repos)).option("page_size", str(page_size or own.page_size)).load()
+    plan.process(normalize(pages, since).withColumn("semantic", F.lit(None).cast(SEMANTIC)))
+    write_watermark(spark, mark, began)
+    return began
 
 
 def ingest_stream(raw: DataFrame, plan: IngestionPlan, checkpoint: str, dead_letters: str | None = None, **trigger):
@@ -43,15 +65,15 @@ def ingest_stream(raw: DataFrame, plan: IngestionPlan, checkpoint: str, dead_let
 
     A batch that is repeated replaces the same documents, so delivery at least
     once is enough. In one batch the last arrival of a document wins. Items that
-    are not JSON objects go to ``dead_letters``.
+    are not JSON objects go to ``dead_letters``, by default a folder beside the lake.
     """
+    aside = dead_letters or f"{plan.lake.path}-dead-letters"
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        arrived = batch.withColumn("_order", F.monotonically_increasing_id())
-        good = F.get_json_object("item", "$").startswith("{")
-        if dead_letters:
-            arrived.where(~F.coalesce(good, F.lit(False))).drop("_order").write.mode("overwrite").json(f"{dead_letters}/batch={batch_id}")
-        docs = normalize(arrived.where(good)).withColumns({"semantic": F.lit(None).cast(SEMANTIC), "_order": F.monotonically_increasing_id()})
-        plan.process(latest_per_document(docs, "_order").drop("_order"))
+        good = F.coalesce(F.get_json_object("item", "$").startswith("{"), F.lit(False))
+        bad = batch.where(~good)
+        if not bad.isEmpty():
+            bad.write.mode("overwrite").json(f"{aside}/batch={batch_id}")
+        plan.process(normalize(batch.where(good)).withColumn("semantic", F.lit(None).cast(SEMANTIC)))
 
     return raw.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -229,7 +229,7 @@ def test_pages_batch_and_stream(spark, lake):
     assert [(r["repo"], r["kind"]) for r in pages.discover(spark, ["o/r"]).collect()] == [("o/r", "readme"), ("o/r", "issue"), ("o/r", "pr")]
     with pytest.raises(ValueError):
         pages.fetch(root, "o/r", "discussion", None, 2)
-    stream = streaming.stream_pages(spark, root, ["o/r"], 2)
+    stream = streaming.stream_pages(spark, root, ["o/r"])
     running = streaming.ingest_stream(stream, plan(lake), tempfile.mkdtemp(), processingTime="0 seconds")
     try:
         running.processAllAvailable()
@@ -291,3 +291,105 @@ def test_evaluation(spark):
 def test_settings():
     made = config.from_environment({"LODESTACK_STORE__BUCKETS": "8", "LODESTACK_CONNECTOR__REPOS": "a/b, c/d", "LODESTACK_SEMANTIC__ENABLED": "false"})
     assert made.store.buckets == 8 and made.connector.repos == ("a/b", "c/d") and not made.semantic.enabled and made.embedding.dimensions == 1024
+
+
+def test_one_row_for_a_document_and_for_a_chunk(spark, lake):
+    plan(lake).process(spark.createDataFrame([doc(1, "first"), doc(1, "second")], DOCUMENT).coalesce(1))
+    assert [r["text"] for r in lake.chunks().collect()] == ["T second"]
+    rows = ingest.embed_chunks(ingest.chunk_documents(spark.createDataFrame([doc(2, "a b"), doc(2, "c d")], DOCUMENT).coalesce(1), 50, 5), lambda: models.HashingEmbedder(8))
+    assert lake.upsert(rows) == 1 and [r["text"] for r in lake.get_by_document("github:o/r:issue:2").collect()] == ["T c d"]
+
+
+def test_a_crash_while_publishing_leaves_the_old_state(spark, lake, monkeypatch):
+    plan(lake).process(spark.createDataFrame([doc(1, "old"), doc(2, "other")], DOCUMENT))
+    before = sorted(map(tuple, lake.chunks().select("chunk_id", "text").collect()))
+
+    def crash(*args):
+        raise OSError("gone")
+
+    with monkeypatch.context() as m, pytest.raises(OSError):
+        m.setattr(lake, "_publish", crash)
+        plan(lake).process(spark.createDataFrame([doc(1, "new")], DOCUMENT))
+    folder = f"{lake.path}/manifests"
+    with open(f"{folder}/{lake.state()['number'] + 1:012d}.tmp", "w") as file:
+        file.write("{")  # a writer that died before its last step
+    lake.ensure_index()
+    assert sorted(map(tuple, lake.chunks().select("chunk_id", "text").collect())) == before
+    plan(lake).process(spark.createDataFrame([doc(1, "new")], DOCUMENT))
+    assert sorted(r["text"] for r in lake.chunks().collect()) == ["T new", "T other"]
+    with pytest.raises(RuntimeError):
+        lake._publish(4, {}, {}, lake.state()["number"])
+    kept = lake.state()
+    lake.vacuum()
+    assert lake.state() == kept and sorted(r["text"] for r in lake.chunks().collect()) == ["T new", "T other"]
+    assert {x for x in os.listdir(lake.path) if x.startswith("v-")} == set(kept["versions"].values()) and not [x for x in os.listdir(lake.path) if x.startswith("staged")]
+
+
+def test_buckets_grow_with_the_rows(spark):
+    small = ContextLake(spark, tempfile.mkdtemp() + "/lake", buckets=1, rows_a_bucket=3)
+    plan(small).process(spark.createDataFrame([doc(i, "w") for i in range(10)], DOCUMENT))
+    assert small.state()["buckets"] == 8 and sum(small.state()["rows"].values()) == small.chunks().count() == 10
+    assert [small.get_by_document(f"github:o/r:issue:{i}").count() for i in range(10)] == [1] * 10
+
+
+class Counting(models.Embedder):
+    dimensions = 1
+
+    def embed_documents(self, texts):
+        with open(os.environ["COUNTED"], "a") as file:
+            file.write("x" * len(texts))
+        return [[1.0]] * len(texts)
+
+
+def test_models_run_once(spark, lake, tmp_path, monkeypatch):
+    where = str(tmp_path / "n")
+    monkeypatch.setenv("COUNTED", where)
+
+    def make():
+        os.environ["COUNTED"] = where
+        return Counting()
+
+    IngestionPlan(lake, hooks.Interceptors(), make, 50, 5).process(spark.createDataFrame([doc(1, "a"), doc(2, "b")], DOCUMENT))
+    assert os.path.getsize(where) == 2
+
+
+def test_vectors_that_are_no_numbers(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("n", [nan, 1.0]), ("i", [inf, 1.0]), ("e", [None, 1.0]), ("z", [0.0, 0.0]), ("0", None)], "chunk_id string, vector array<float>").withColumn("document_id", F.lit("d"))
+    assert [r["chunk_id"] for r in search.knn(rows, [1.0, 0.1], 9).collect()] == ["a", "b", "z"]
+    asked = spark.createDataFrame([(1, [1.0, 0.1]), (2, [nan, 1.0]), (3, None)], "query_id long, query_vector array<float>")
+    assert sorted((r["query_id"], r["rank"], r["chunk_id"]) for r in search.knn_batch(rows, asked, 3).collect()) == [(1, 1, "a"), (1, 2, "b"), (1, 3, "z")]
+    assert search.knn_batch(rows, asked.limit(0), 3).count() == search.knn_batch(rows.limit(0), asked, 3).count() == 0
+
+
+def test_scheduled_runs(spark, lake):
+    root, mark = landed(), tempfile.mkdtemp() + "/mark.json"
+    streaming.run_once(spark, root, mark, plan(lake), ["o/r"], 2)
+    assert {r["document_id"].rpartition(":")[2] for r in lake.chunks().select("document_id").collect()} == {"readme", "1", "3", "4", "5"}
+    began = streaming.read_watermark(spark, mark)
+    for n in (1, 3, 4):
+        lake.delete_by_document(f"github:o/r:{'pr' if n == 4 else 'issue'}:{n}")
+    assert streaming.run_once(spark, root, mark, plan(lake), ["o/r"], 2) > began
+    assert {r["document_id"].rpartition(":")[2] for r in lake.chunks().select("document_id").collect()} == {"readme", "5"}  # older than the mark: not fetched again
+
+
+def test_what_is_no_document_is_put_aside(spark, lake):
+    root = landed()
+    with open(f"{root}/o__r/issue/3.json", "w") as file:
+        file.write("[{")
+    streaming.ingest_stream(streaming.stream_pages(spark, root), plan(lake), tempfile.mkdtemp()).awaitTermination()
+    assert lake.chunks().select("document_id").distinct().count() == 5
+    assert [r["item"] for r in spark.read.json(f"{lake.path}-dead-letters").collect()] == ["[{"]
+
+
+def test_cursors_over_columns(spark):
+    rows = spark.createDataFrame([(n, p) for n in (0, 1, 2, 3) for p in (1, 2)], "n int, p int").withColumn("c", pages.cursor_after(F.col("n"), F.col("p"), 2))
+    assert all(r["c"] == pages.next_page_cursor(r["n"], r["p"], 2) for r in rows.collect())
+
+
+def test_interceptors_of_the_settings(monkeypatch):
+    made = config.from_environment({"LODESTACK_INTERCEPTORS": "lodestack.plans.hooks:SemanticInterceptor"})
+    monkeypatch.setattr(hooks, "settings", lambda: made)
+    hooks.configured.cache_clear()
+    assert [type(x) for x in hooks.configured().items] == [hooks.SemanticInterceptor] and hooks.configured() is hooks.configured()
+    hooks.configured.cache_clear()
