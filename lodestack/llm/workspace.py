@@ -6,6 +6,7 @@ without that setting (a test on one machine) gets a temporary folder of its own.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,6 +19,8 @@ def shared_root(spark: SparkSession) -> str:
     """The shared folder for intermediate tables of this session."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         app = spark.sparkContext.applicationId
         root = _OWN.setdefault(app, tempfile.mkdtemp(prefix="spark-work-"))
     return root.rstrip("/")
