@@ -36,8 +36,8 @@ from .components import components
 from .simhash import roots
 from .workspace import Workspace, few_rows
 
-HOMES = 16_384
-VISITORS = 16_384
+HOMES = 4_096
+VISITORS = 4_096
 ROWS_AT_ONCE = 256
 
 
@@ -152,8 +152,9 @@ def near_duplicates(rows: DataFrame, cosine: float = 0.95) -> DataFrame:
     sizes = placed.select(F.explode("cells").alias("cell"), (F.col("cell") == F.col("home")).alias("at_home")).groupBy("cell")
     sizes = sizes.agg(F.ceil(F.sum(F.col("at_home").cast("long")) / HOMES).alias("hs"), F.ceil(F.count("*") / VISITORS).alias("vs")).where("hs > 0")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    visitors = placed.select(F.explode("cells").alias("cell"), "vector", "rep", "n", "home").join(sizes, "cell")
-    homes = placed.select(F.col("home").alias("cell"), "vector", "rep", "n", "home").join(sizes, "cell")
+    # sizes: a row for each cell, 65536 at most
+    visitors = placed.select(F.explode("cells").alias("cell"), "vector", "rep", "n", "home").join(F.broadcast(sizes), "cell")
+    homes = placed.select(F.col("home").alias("cell"), "vector", "rep", "n", "home").join(F.broadcast(sizes), "cell")
     names = ["cell", "h", "v", "role", "rep", "n", "home", "vector"]
     visitors = visitors.withColumn("v", F.pmod(F.xxhash64("rep"), "vs")).withColumn("h", every("hs")).withColumn("role", F.lit(1)).select(*names)
     homes = homes.withColumn("h", F.pmod(F.xxhash64("rep", F.lit(1)), "hs")).withColumn("v", every("vs")).withColumn("role", F.lit(0)).select(*names)
