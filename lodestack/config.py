@@ -32,6 +32,7 @@ class ConnectorSettings:
 class IngestionSettings:
     chunk_size: int = 800
     chunk_overlap: int = 100
+    tries: int = 5
     purge_empty: bool = False
 
 

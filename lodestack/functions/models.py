@@ -41,16 +41,28 @@ class HashingEmbedder(Embedder):
 
     def _one(self, text: str) -> list[float]:
         words = re.findall(r"\w+", text.lower())
-        out = np.zeros(self.dimensions)
-        for term in [*words, *map(" ".join, zip(words, words[1:], strict=False))]:
-            code = zlib.crc32(term.encode())
-            out[(code >> 1) % self.dimensions] += 1 if code & 1 else -1
+        terms = [*words, *map(" ".join, zip(words, words[1:], strict=False))]
+        codes = np.fromiter((zlib.crc32(t.encode()) for t in terms), dtype=np.int64, count=len(terms))
+        out = np.bincount((codes >> 1) % self.dimensions, weights=np.where(codes & 1, 1.0, -1.0), minlength=self.dimensions)
         norm = np.linalg.norm(out)
         return (out / norm if norm else out).tolist()
 
 
-def embed(text: Column, make: Callable[[], Embedder], batch_size: int | None = None) -> Column:
-    """Vectors of a text column; each task builds one embedder and sends it ``batch_size`` texts at a time (by default as the settings say)."""
+def _tried(model: Embedder, texts: list[str], tries: int) -> list[list[float] | None]:
+    """Vectors of the texts; where a call fails, of each text by itself, None for one that fails ``tries`` times."""
+    try:
+        return model.embed_documents(texts)
+    except Exception:  # whatever the model raises is a failure of these texts
+        if len(texts) > 1:
+            return [v for t in texts for v in _tried(model, [t], tries)]
+        return _tried(model, texts, tries - 1) if tries > 1 else [None]
+
+
+def embed(text: Column, make: Callable[[], Embedder], batch_size: int | None = None, tries: int | None = None) -> Column:
+    """Vectors of a text column; each task builds one embedder and sends it ``batch_size`` texts at a time (by default as the settings say).
+
+    A text that fails fails the task, unless ``tries`` is given: then its vector is null after so many failures.
+    """
     step = batch_size or settings().embedding.batch_size
 
     @F.pandas_udf("array<float>")
@@ -58,7 +70,8 @@ def embed(text: Column, make: Callable[[], Embedder], batch_size: int | None = N
         model = make()
         for column in batches:
             texts = column.fillna("").tolist()
-            yield pd.Series([v for i in range(0, len(texts), step) for v in model.embed_documents(texts[i : i + step])], dtype=object)
+            parts = (texts[i : i + step] for i in range(0, len(texts), step))
+            yield pd.Series([v for part in parts for v in (_tried(model, part, tries) if tries else model.embed_documents(part))], dtype=object)
 
     return run(text)
 

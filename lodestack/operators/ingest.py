@@ -41,6 +41,6 @@ def chunk_documents(docs: DataFrame, size: int = 800, overlap: int = 100) -> Dat
     return rows.select(*names)
 
 
-def embed_chunks(rows: DataFrame, make: Callable[[], Embedder] = HashingEmbedder) -> DataFrame:
-    """Add the vector of each chunk's text."""
-    return rows.withColumn("vector", embed(F.col("text"), make)).select(*CHUNK_COLUMNS)
+def embed_chunks(rows: DataFrame, make: Callable[[], Embedder] = HashingEmbedder, tries: int | None = None) -> DataFrame:
+    """Add the vector of each chunk's text; with ``tries``, null where the embedder fails so many times."""
+    return rows.withColumn("vector", embed(F.col("text"), make, tries=tries)).select(*CHUNK_COLUMNS)

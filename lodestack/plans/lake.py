@@ -157,22 +157,29 @@ class IngestionPlan:
     """Documents through hooks, chunking and embedding into the lake.
 
     Of several rows of one document the last one counts. A document without
-    chunks leaves the lake as it is, unless ``purge_empty``. What is not given
-    comes from the settings.
+    chunks leaves the lake as it is, unless ``purge_empty``. A document with a
+    chunk that the embedder refuses ``tries`` times keeps its former chunks and
+    goes to ``failed`` (by default a folder beside the lake), the others of its
+    batch are ingested. What is not given comes from the settings.
     """
 
-    def __init__(self, lake: ContextLake, hooks: Interceptors | None = None, embedder: Callable[[], Embedder] | None = None, size: int | None = None, overlap: int | None = None, purge_empty: bool | None = None):
+    def __init__(self, lake: ContextLake, hooks: Interceptors | None = None, embedder: Callable[[], Embedder] | None = None, size: int | None = None, overlap: int | None = None, purge_empty: bool | None = None, failed: str | None = None, tries: int | None = None):
         own, dimensions = settings().ingestion, settings().embedding.dimensions
         self.lake, self.hooks, self.embedder = lake, configured() if hooks is None else hooks, embedder or (lambda: HashingEmbedder(dimensions))
         self.size, self.overlap = own.chunk_size if size is None else size, own.chunk_overlap if overlap is None else overlap
         self.purge_empty = own.purge_empty if purge_empty is None else purge_empty
+        self.failed, self.tries = failed or f"{lake.path}-failed", tries or own.tries
 
     def process(self, docs: DataFrame) -> None:
         self.lake.ensure_index()
         with self.lake.written(self.hooks.before_ingest(latest(docs, "id"))) as docs:
-            with self.lake.written(embed_chunks(chunk_documents(docs, self.size, self.overlap), self.embedder)) as rows:
+            with self.lake.written(embed_chunks(chunk_documents(docs, self.size, self.overlap), self.embedder, self.tries)) as rows:
+                refused = rows.where("vector is null").select(F.col("document_id").alias("id")).distinct()
+                if not refused.isEmpty():
+                    docs.join(refused, "id", "left_semi").write.mode("append").parquet(self.failed)
+                    docs, rows = docs.join(refused, "id", "left_anti"), rows.join(refused.withColumnRenamed("id", "document_id"), "document_id", "left_anti")
                 self.lake.replace_documents(rows, docs.select(F.col("id").alias("document_id")) if self.purge_empty else None)
-            self.hooks.after_ingest(docs)
+                self.hooks.after_ingest(docs)
 
 
 class ContextTools:

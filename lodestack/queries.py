@@ -14,6 +14,7 @@ from .functions.metadata import flatten, missed, parse_metadata, recall
 from .functions.models import HashingEmbedder, PromptTemplate, SemanticIndexer, default_registry, embed
 from .functions.text import chunks, estimate_tokens
 from .operators import search
+from .operators.cells import CellIndex
 from .operators.ingest import latest_per_document
 from .plans.hooks import Interceptors
 from .plans.lake import ContextLake, IngestionPlan
@@ -101,6 +102,12 @@ def knn_batch_fiftieth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.knn_batch(vectors(spark, sf_dir), asked).select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
 
 
+@query()
+def ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest of one vector by an index of cells; no SQL, as what it finds depends on the cells."""
+    return CellIndex.build(vectors(spark, sf_dir), f"{_shared(spark)}/cells-{uuid.uuid4().hex}").search(_asked(spark, sf_dir, 0)).select("chunk_id", F.round("score", 6).alias("score"))
+
+
 def _chunk_sql(size: int, overlap: int) -> str:
     return rf"""with recursive w as (select doc_id, pos, word, sum(ceil(length(word) / 4.0)::bigint) over (partition by doc_id order by pos) c from
       (select doc_id, unnest(ws) word, generate_subscripts(ws, 1) pos from (select doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') ws from documents))),
@@ -297,10 +304,17 @@ def issues_exclude_prs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.without_change_requests(_raw(spark, sf_dir)).groupBy("kind").agg(F.count("*").alias("n"))
 
 
+def _shared(spark: SparkSession) -> str:
+    """The folder that all executors share; one of this machine only for a session on this machine that names none."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return (root or tempfile.mkdtemp(prefix="spark-lake-")).rstrip("/")
+
+
 def _lake(spark: SparkSession) -> ContextLake:
     """A lake of its own in the shared folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-lake-")
-    return ContextLake(spark, f"{root}/lake-{uuid.uuid4().hex}", buckets=8)
+    return ContextLake(spark, f"{_shared(spark)}/lake-{uuid.uuid4().hex}", buckets=8)
 
 
 @query(f"select doc_id, chunk_index, text from ({_chunk_sql(800, 100)})")

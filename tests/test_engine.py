@@ -393,3 +393,37 @@ def test_interceptors_of_the_settings(monkeypatch):
     hooks.configured.cache_clear()
     assert [type(x) for x in hooks.configured().items] == [hooks.SemanticInterceptor] and hooks.configured() is hooks.configured()
     hooks.configured.cache_clear()
+
+
+class Refusing(models.HashingEmbedder):
+    """Fails for every call with the word boom."""
+
+    def embed_documents(self, texts):
+        if any("boom" in t for t in texts):
+            raise RuntimeError("refused")
+        return super().embed_documents(texts)
+
+
+def test_a_document_that_fails_is_put_aside(spark, lake):
+    make = lambda: Refusing(8)
+    strict = spark.createDataFrame([("boom",)], "text string").select(models.embed(F.col("text"), make))
+    with pytest.raises(Exception, match="refused"):
+        strict.collect()
+    own = IngestionPlan(lake, hooks.Interceptors(), make, 6, 2, purge_empty=True, tries=2)
+    own.process(spark.createDataFrame([doc(1, "old"), doc(2, "old")], DOCUMENT))
+    own.process(spark.createDataFrame([doc(1, "one two three four five six boom"), doc(2, "new"), doc(3, "more")], DOCUMENT).coalesce(1))
+    assert sorted((r["document_id"][-1], r["text"]) for r in lake.chunks().collect()) == [("1", "T old"), ("2", "T new"), ("3", "T more")]
+    assert [r["id"] for r in spark.read.parquet(f"{lake.path}-failed").collect()] == ["github:o/r:issue:1"]
+
+
+def test_hashing_counts_terms():
+    import zlib
+
+    terms = ["a", "b", "a", "a b", "b a"]
+    expected = [0.0] * 16
+    for t in terms:
+        code = zlib.crc32(t.encode())
+        expected[(code >> 1) % 16] += 1 if code & 1 else -1
+    length = sum(x * x for x in expected) ** 0.5
+    assert models.HashingEmbedder(16).embed_documents(["A b, a"])[0] == pytest.approx([x / length for x in expected])
+    assert models.HashingEmbedder(4).embed_query("") == [0.0] * 4
