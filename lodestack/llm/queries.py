@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import anchors, imi, langid, mih, mixing, packing, quality, secrets, simhash, suffixes
+from . import anchors, imi, langid, merkle, mih, mixing, packing, quality, secrets, simhash, suffixes
 from .workspace import Workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,10 +79,21 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.fit(docs))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest, held against rows of which those with an even checksum of their id have lost their line breaks."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    fields = [F.col(c) for c in docs.columns]
+    now = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    found = merkle.manifest(docs, merkle.leaf(fields), "source", "doc_id", Workspace(spark), {"now": merkle.leaf([*fields[:-1], now])})
+    folded = merkle.fold(F.col("now"), F.col("proof"))
+    rows = found.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), folded.alias("folded_root"))
+    return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def queries() -> dict[str, Query]:
-    own = [op1_mix_sources, op2_secret_spans, op3_multi_index_hashing, op4_embedding_near_duplicates, op5_quality_scores, op6_repeated_words, op7_repeated_bytes, op8_simhash_near_duplicates, op9_pack_documents, op10_language_id]
+    own = [op1_mix_sources, op2_secret_spans, op3_multi_index_hashing, op4_embedding_near_duplicates, op5_quality_scores, op6_repeated_words, op7_repeated_bytes, op8_simhash_near_duplicates, op9_pack_documents, op10_language_id, op12_merkle_manifest]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": mixing.sql(RECIPE, DOMAIN_SQL)}
+    return {"op1_mix_sources": mixing.sql(RECIPE, DOMAIN_SQL), "op12_merkle_manifest": merkle.sql()}
