@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import anchors, chat, imi, langid, merkle, mih, mixing, packing, quality, secrets, simhash, suffixes
+from . import anchors, chat, imi, langid, merkle, mih, mixing, packing, quality, ranked, secrets, simhash, suffixes
 from .workspace import Workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -101,10 +101,14 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), Workspace(spark))
+
+
 def queries() -> dict[str, Query]:
-    own = [op1_mix_sources, op2_secret_spans, op3_multi_index_hashing, op4_embedding_near_duplicates, op5_quality_scores, op6_repeated_words, op7_repeated_bytes, op8_simhash_near_duplicates, op9_pack_documents, op10_language_id, op11_chat_windows, op12_merkle_manifest]
+    own = [op1_mix_sources, op2_secret_spans, op3_multi_index_hashing, op4_embedding_near_duplicates, op5_quality_scores, op6_repeated_words, op7_repeated_bytes, op8_simhash_near_duplicates, op9_pack_documents, op10_language_id, op11_chat_windows, op12_merkle_manifest, op13_ranked_search]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": mixing.sql(RECIPE, DOMAIN_SQL), "op11_chat_windows": chat.sql(FORGED_SQL), "op12_merkle_manifest": merkle.sql()}
+    return {"op1_mix_sources": mixing.sql(RECIPE, DOMAIN_SQL), "op11_chat_windows": chat.sql(FORGED_SQL), "op12_merkle_manifest": merkle.sql(), "op13_ranked_search": ranked.sql()}
