@@ -4,28 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.metadata import flatten
 from ..functions.models import Embedder, HashingEmbedder, embed
 from ..functions.text import chunks, with_title
-from ..schema import CHUNK, chunk_id
+from ..schema import CHUNK_TYPES, chunk_id
 
-CHUNK_COLUMNS = [x.strip().split(" ")[0] for x in CHUNK.replace("struct<type:string,name:string>", "").replace("struct<type:string,target:string,description:string>", "").split(",")]
+CHUNK_COLUMNS = list(CHUNK_TYPES)
 
 
-def latest_per_document(docs: DataFrame, order: str) -> DataFrame:
-    """The row of each id that arrived last."""
-    last = F.row_number().over(Window.partitionBy("id").orderBy(F.desc(order)))
-    return docs.withColumn("_n", last).where("_n = 1").drop("_n")
+def latest(rows: DataFrame, key: str, order: Column | None = None) -> DataFrame:
+    """The last row of each key by ``order``, by default in the order of the rows; rows without a key all stay.
 
-
-def latest(rows: DataFrame, key: str) -> DataFrame:
-    """The last row of each key in the order of the rows; rows without a key all stay."""
-    marked = rows.withColumn("_order", F.monotonically_increasing_id())
-    last = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("_order")))
-    return marked.withColumn("_n", last).where(F.col(key).isNull() | (F.col("_n") == 1)).drop("_n", "_order")
+    Rows are reduced before they are shuffled, so a key of any number of rows is no large group.
+    """
+    marked = rows.withColumn("_order", F.monotonically_increasing_id() if order is None else order)
+    alone = F.when(F.col(key).isNull(), F.monotonically_increasing_id())
+    last = F.max_by(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), "_order").alias("_row")
+    return marked.withColumn("_alone", alone).groupBy(key, "_alone").agg(last).select("_row.*")
 
 
 def chunk_documents(docs: DataFrame, size: int = 800, overlap: int = 100) -> DataFrame:

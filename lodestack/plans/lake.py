@@ -1,11 +1,12 @@
-"""The lake: chunk rows in Parquet, bucketed by document, replaced document by document.
-
-Two generations of a bucket are never read together: a replacement writes the
-touched buckets whole into a new version folder, then a small manifest names
-the version of each bucket. Readers see the old or the new state, and a crashed
-write leaves the old one: manifests are numbered and never changed, readers
-take the highest. One writer at a time. The number of buckets grows with the
-rows; ``vacuum`` removes what no reader of the newest state needs.
+"""The lake: chunk rows in a Parquet table partitioned by bucket of the document, replaced document by document.
+
+A write puts the touched buckets, whole, into a folder of its own and then
+overwrites them in the table (dynamic partition overwrite). The folder is moved to
+``<path>-ready`` when it is complete and deleted when the table has it, so a writer that was
+stopped in between is finished by the next one: a bucket is never lost, and repeating is harmless. A bucket
+without rows keeps one row without ids, which readers leave out. One writer at a time; a
+reader may see some of a write's buckets before the others. The number of buckets is chosen when the lake
+is made: some 20000 rows of 1024 numbers a bucket are 80 MB.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import json
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import cached_property
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,125 +25,120 @@ from ..config import settings
 from ..functions.models import Embedder, HashingEmbedder
 from ..operators import search
 from ..operators.ingest import chunk_documents, embed_chunks, latest
-from ..schema import CHUNK
+from ..schema import CHUNK, CHUNK_TYPES
 from .hooks import Interceptors, QueryContext, configured
 
 
 class ContextLake:
-    """A chunk store under ``path``; a bucket holds about ``rows_a_bucket`` rows at most."""
+    """A chunk store under ``path``."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None, rows_a_bucket: int = 200_000):
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
         own = settings().store
-        self.spark, self.path, self.first_buckets, self.rows_a_bucket = spark, (path or own.path).rstrip("/"), buckets or own.buckets, rows_a_bucket
+        self.spark, self.path, self._made_with = spark, (path or own.path).rstrip("/"), buckets or own.buckets
 
     def _files(self):
         jvm = self.spark.sparkContext._jvm
         root = jvm.org.apache.hadoop.fs.Path(self.path)
         return jvm.org.apache.hadoop.fs.Path, root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _names(self, folder: str) -> list[str]:
+    def _exists(self) -> bool:
         path, fs = self._files()
-        at = path(f"{self.path}/{folder}")
-        return sorted(x.getPath().getName() for x in fs.listStatus(at)) if fs.exists(at) else []
-
-    def state(self) -> dict[str, Any]:
-        """The newest manifest: the number of buckets, and for each that holds rows its version folder and its rows."""
-        made = [x for x in self._names("manifests") if x.endswith(".json")]
-        if not made:
-            return {"number": 0, "buckets": self.first_buckets, "versions": {}, "rows": {}}
-        return json.loads(self.spark.read.text(f"{self.path}/manifests/{made[-1]}", wholetext=True).first()["value"])
-
-    def _publish(self, buckets: int, versions: dict[str, str], rows: dict[str, int], number: int) -> None:
-        """Write manifest ``number`` under its final name in one step; the older ones stay."""
-        path, fs = self._files()
-        held = path(f"{self.path}/manifests/{number:012d}.tmp")
-        out = fs.create(held, True)
-        out.write(bytearray(json.dumps({"number": number, "buckets": buckets, "versions": versions, "rows": rows}).encode()))
-        out.close()
-        if not fs.rename(held, path(f"{self.path}/manifests/{number:012d}.json")):
-            raise RuntimeError(f"manifest {number} of {self.path} is there already: another writer came first")
+        return fs.exists(path(f"{self.path}/_buckets"))
 
     def ensure_index(self) -> None:
-        """Create the lake if it is not there; again is harmless."""
-        if not self._names("manifests"):
-            self._publish(self.first_buckets, {}, {}, 1)
+        """Create the lake if it is not there; again is harmless. A write that was stopped half-way is finished."""
+        if not self._exists():
+            path, fs = self._files()
+            out = fs.create(path(f"{self.path}/_buckets"), True)
+            out.write(bytearray(json.dumps({"buckets": self._made_with}).encode()))
+            out.close()
+        self._finish()
+
+    @cached_property
+    def buckets(self) -> int:
+        """The number of buckets the lake was made with."""
+        if not self._exists():
+            self.ensure_index()
+        path, fs = self._files()
+        lines = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(fs.open(path(f"{self.path}/_buckets")), "UTF-8")
+        return json.loads(lines)["buckets"]
 
     def chunks(self, buckets: list[int] | None = None) -> DataFrame:
         """All chunk rows, or those of some buckets."""
-        found = [f"{self.path}/{v}/bucket={b}" for b, v in self.state()["versions"].items() if buckets is None or int(b) in buckets]
-        if not found:
+        path, fs = self._files()
+        if not fs.exists(path(self.path)) or not any(x.getPath().getName().startswith("bucket=") for x in fs.listStatus(path(self.path))):
             return self.spark.createDataFrame([], CHUNK)
-        return self.spark.read.schema(CHUNK).parquet(*found)
+        rows = self.spark.read.schema(f"{CHUNK}, bucket int").parquet(self.path)
+        rows = rows if buckets is None else rows.where(F.col("bucket").isin(buckets))
+        return rows.where("chunk_id is not null").drop("bucket")
 
-    def _bucket(self, document: Column, buckets: int) -> Column:
-        return F.pmod(F.xxhash64(document), F.lit(buckets)).cast("int")
+    def _bucket(self, document: Column) -> Column:
+        return F.pmod(F.xxhash64(document), F.lit(self.buckets)).cast("int")
 
     def _bucket_of(self, document_id: str) -> int:
-        return self.spark.range(1).select(self._bucket(F.lit(document_id), self.state()["buckets"]).alias("b")).first()["b"]
-
-    def _rewrite(self, rows: DataFrame, touched: list[int] | None, buckets: int) -> None:
-        """New versions of the touched buckets (None: of all, dealt anew into ``buckets``), then the manifest that names them."""
-        before, version = self.state(), f"v-{uuid.uuid4().hex}"
-        rows.withColumn("bucket", self._bucket(F.col("document_id"), buckets)).repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/{version}")
-        filled = [x for x in self._names(version) if x.startswith("bucket=")]
-        sizes = {str(r["bucket"]): r["count"] for r in self.spark.read.parquet(f"{self.path}/{version}").groupBy("bucket").count().collect()} if filled else {}  # a row for each bucket
-        old = [] if touched is None else [b for b in before["versions"] if int(b) not in touched]
-        counts = {b: before["rows"][b] for b in old} | sizes
-        self._publish(buckets, {b: before["versions"][b] for b in old} | dict.fromkeys(sizes, version), counts, before["number"] + 1)
-        if sum(counts.values()) > self.rows_a_bucket * buckets:
-            self._rewrite(self.chunks(), None, 2 * -(-sum(counts.values()) // self.rows_a_bucket))
-
-    def vacuum(self) -> None:
-        """Delete versions and manifests older than the newest state; no reader may still use them."""
+        return self.spark.range(1).select(self._bucket(F.lit(document_id)).alias("b")).first()["b"]
+
+    def _overwrite(self, rows: DataFrame, touched: list[int]) -> None:
+        """The touched buckets hold ``rows`` from now on."""
+        path, fs = self._files()
+        name = uuid.uuid4().hex
+        marks = self.spark.createDataFrame([(b,) for b in touched], "bucket int").select(*[F.lit(None).cast(t).alias(n) for n, t in CHUNK_TYPES.items()], "bucket")
+        whole = rows.withColumn("bucket", self._bucket(F.col("document_id"))).select(marks.columns).unionByName(marks)
+        whole.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{self.path}-staged/{name}")
+        fs.mkdirs(path(f"{self.path}-ready"))
+        if not fs.rename(path(f"{self.path}-staged/{name}"), path(f"{self.path}-ready/{name}")):
+            raise RuntimeError(f"cannot move {name} to {self.path}-ready")
+        self._finish()
+
+    def _finish(self) -> None:
+        """Bring the buckets that are ready into the table."""
         path, fs = self._files()
-        now = self.state()
-        for name in self._names("."):
-            if name.startswith("v-") and name not in now["versions"].values():
-                fs.delete(path(f"{self.path}/{name}"), True)
-        for name in self._names("manifests"):
-            if name.endswith(".tmp") or name < f"{now['number']:012d}.json":
-                fs.delete(path(f"{self.path}/manifests/{name}"), False)
+        at = path(f"{self.path}-ready")
+        for name in sorted(x.getPath().getName() for x in fs.listStatus(at)) if fs.exists(at) else []:
+            rows = self.spark.read.schema(f"{CHUNK}, bucket int").parquet(f"{self.path}-ready/{name}")
+            rows.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path)
+            fs.delete(path(f"{self.path}-ready/{name}"), True)
 
     @contextmanager
     def written(self, rows: DataFrame) -> Iterator[DataFrame]:
         """``rows`` as a table written once and read from there, so that models run once; it goes at the end."""
         path, fs = self._files()
-        at = f"{self.path}/staged-{uuid.uuid4().hex}"
+        at = f"{self.path}-staged/{uuid.uuid4().hex}"
         rows.write.parquet(at)
         try:
             yield self.spark.read.schema(rows.schema).parquet(at)
         finally:
             fs.delete(path(at), True)
 
-    def _touched(self, ids: DataFrame, buckets: int) -> list[int]:
-        return [r["b"] for r in ids.select(self._bucket(F.col("document_id"), buckets).alias("b")).distinct().collect()]  # at most the number of buckets
+    def _touched(self, ids: DataFrame) -> list[int]:
+        return [r["b"] for r in ids.select(self._bucket(F.col("document_id")).alias("b")).distinct().collect()]  # at most the number of buckets
 
     def upsert(self, rows: DataFrame) -> int:
         """Insert or overwrite by chunk_id, the last of several rows of one; no rows do nothing. Rows without ids are refused."""
+        self._finish()
         with self.written(latest(rows, "chunk_id")) as rows:
             bad = rows.where("chunk_id is null or document_id is null").count()
             if bad:
                 raise RuntimeError(f"{bad} chunk rows without an id")
-            buckets = self.state()["buckets"]
-            touched = self._touched(rows, buckets)
+            touched = self._touched(rows)
             if not touched:
                 return 0
-            kept = self.chunks(touched).join(rows.select("chunk_id"), "chunk_id", "left_anti")
-            self._rewrite(kept.unionByName(rows), touched, buckets)
+            self._overwrite(self.chunks(touched).join(rows.select("chunk_id"), "chunk_id", "left_anti").unionByName(rows), touched)
             return rows.count()
 
     def delete_by_document(self, document_id: str) -> None:
+        self._finish()
         bucket = self._bucket_of(document_id)
-        self._rewrite(self.chunks([bucket]).where(F.col("document_id") != document_id), [bucket], self.state()["buckets"])
+        self._overwrite(self.chunks([bucket]).where(F.col("document_id") != document_id), [bucket])
 
     def replace_documents(self, rows: DataFrame, emptied: DataFrame | None = None) -> None:
         """All chunks of the documents in ``rows`` (and of the ids in ``emptied``) give way to ``rows``."""
+        self._finish()
         ids = rows.select("document_id")
         ids = (ids if emptied is None else ids.unionByName(emptied.select("document_id"))).distinct()
-        buckets = self.state()["buckets"]
-        touched = self._touched(ids, buckets)
+        touched = self._touched(ids)
         if touched:
-            self._rewrite(self.chunks(touched).join(ids, "document_id", "left_anti").unionByName(rows), touched, buckets)
+            self._overwrite(self.chunks(touched).join(ids, "document_id", "left_anti").unionByName(rows), touched)
 
     def query(self, vector: list[float], k: int | None = None, filters: dict[str, Any] | None = None) -> DataFrame:
         return search.knn(self.chunks(), vector, k, filters)
@@ -170,13 +167,14 @@ class IngestionPlan:
         self.purge_empty = own.purge_empty if purge_empty is None else purge_empty
         self.failed, self.tries = failed or f"{lake.path}-failed", tries or own.tries
 
-    def process(self, docs: DataFrame) -> None:
+    def process(self, docs: DataFrame, batch: str | None = None) -> None:
+        """Ingest ``docs``. ``batch`` names them: what is refused goes to a folder of that name, overwritten when the batch is repeated."""
         self.lake.ensure_index()
         with self.lake.written(self.hooks.before_ingest(latest(docs, "id"))) as docs:
             with self.lake.written(embed_chunks(chunk_documents(docs, self.size, self.overlap), self.embedder, self.tries)) as rows:
                 refused = rows.where("vector is null").select(F.col("document_id").alias("id")).distinct()
                 if not refused.isEmpty():
-                    docs.join(refused, "id", "left_semi").write.mode("append").parquet(self.failed)
+                    docs.join(refused, "id", "left_semi").write.mode("overwrite").parquet(f"{self.failed}/batch={batch or uuid.uuid4().hex}")
                     docs, rows = docs.join(refused, "id", "left_anti"), rows.join(refused.withColumnRenamed("id", "document_id"), "document_id", "left_anti")
                 self.lake.replace_documents(rows, docs.select(F.col("id").alias("document_id")) if self.purge_empty else None)
                 self.hooks.after_ingest(docs)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
-from datetime import datetime
+from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,11 +15,11 @@ from .functions.models import HashingEmbedder, PromptTemplate, SemanticIndexer,
 from .functions.text import chunks, estimate_tokens
 from .operators import search
 from .operators.cells import CellIndex
-from .operators.ingest import latest_per_document
-from .plans.hooks import Interceptors
-from .plans.lake import ContextLake, IngestionPlan
+from .operators.ingest import latest
+from .plans.hooks import Interceptor, Interceptors
+from .plans.lake import ContextLake, ContextTools, IngestionPlan
 from .schema import CHUNK, SEMANTIC, chunk_id, document_id
-from .sources import pages
+from .sources import connectors, pages, web
 from .streaming.ingest import ingest_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -89,15 +89,8 @@ def knn_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.knn(vectors(spark, sf_dir), _asked(spark, sf_dir, 0), 5, {"repo": ["1", "3"]}).select("chunk_id", F.round("score", 6).alias("score"))
 
 
-@query(f"select * from (select a.vec_id as query_id, row_number() over (partition by a.vec_id order by {COSINE} desc, b.vec_id)::int as rank, b.vec_id as chunk_id, round({COSINE}, 6) as score from embeddings a, embeddings b where a.vec_id < 20) where rank <= 10")
-def knn_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = table(spark, sf_dir, "embeddings").where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
-    return search.knn_batch(vectors(spark, sf_dir), asked).select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
-
-
 @query(f"select * from (select a.vec_id as query_id, row_number() over (partition by a.vec_id order by {COSINE} desc, b.vec_id)::int as rank, b.vec_id as chunk_id, round({COSINE}, 6) as score from embeddings a, embeddings b where a.vec_id % 50 = 0) where rank <= 10")
-def knn_batch_fiftieth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The queries of ``knn_batch`` are 20 ids at any size; these grow with the table."""
+def knn_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
     return search.knn_batch(vectors(spark, sf_dir), asked).select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
 
@@ -244,7 +237,10 @@ def list_entities_document(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {DOCS_SQL} select distinct 'github:' || repo as id, source_type as type from docs")
 def list_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.jobs(_repos(spark, sf_dir)).select(F.col("source_id").alias("id"), F.col("source_type").alias("type")).distinct()
+    """The third of the retrieval calls, of a lake whose configuration names the repositories."""
+    names = [r["repo"] for r in _repos(spark, sf_dir).collect()]  # a configuration: as many rows as there are sources
+    rows = ContextTools(_lake(spark), HashingEmbedder(64), Interceptors(), [{"id": f"github:{n}", "type": "github"} for n in names]).list_sources()
+    return spark.createDataFrame([(r["id"], r["type"]) for r in rows], "id string, type string")
 
 
 @query("select source, count(*) as documents, sum(n_chars)::bigint as chars from documents group by 1")
@@ -274,18 +270,21 @@ SINCE = "2024-01-15 00:00:00"
 
 @query(f"select event_id, user_id, ts from events where event_type <> 'error' and (ts is null or ts >= timestamp '{SINCE}')")
 def since_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as change requests, errors as issues that are change requests; the high-water mark is inclusive."""
+    """Events as change requests, errors as issues that are change requests: landed as pages, noted, and read from the mark (inclusive) on."""
     error = F.col("event_type") == "error"
     item = F.to_json(F.struct(F.col("event_id").alias("number"), F.col("user_id").cast("string").alias("title"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("updated_at"), F.when(error, F.struct(F.lit("u").alias("url"))).alias("pull_request")))
-    raw = table(spark, sf_dir, "events").select(F.lit("o/r").alias("repo"), F.when(error, F.lit("issue")).otherwise(F.lit("pr")).alias("kind"), item.alias("item"))
-    docs = pages.normalize(pages.without_change_requests(raw), datetime.fromisoformat(SINCE))
+    rows = table(spark, sf_dir, "events").select(F.lit("o/r").alias("repo"), F.when(error, F.lit("issue")).otherwise(F.lit("pr")).alias("kind"), item.alias("item"), F.col("ts").cast("timestamp").alias("seen"))
+    root, mark = f"{_shared(spark)}/pages-{uuid.uuid4().hex}", datetime.fromisoformat(SINCE).replace(tzinfo=UTC)
+    pages.land(rows, root)
+    pages.catalogue(spark, root)
+    docs = pages.normalize(connectors.read(spark, "github", {"path": root, "repos": "o/r", "page_size": 100}, mark), mark)
     return docs.select(F.element_at(F.split("external_id", "#"), -1).cast("long").alias("event_id"), F.col("title").cast("long").alias("user_id"), F.col("updated_at").alias("ts"))
 
 
-def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents table as raw items; some of the issues are change requests."""
+def _raw(spark: SparkSession, sf_dir: str, number: Column | None = None) -> DataFrame:
+    """The documents table as raw items; some of the issues are change requests. ``number`` stands for the documents' own."""
     request = F.when(F.col("doc_id") % 9 == 1, F.struct(F.lit("u").alias("url")))
-    fields = [F.col("doc_id").alias("number"), F.concat(F.lit("t"), "doc_id").alias("title"), F.col("text").alias("body"), F.concat(F.lit("u"), "doc_id").alias("html_url"), F.array(F.struct(F.col("lang").alias("name"))).alias("labels"), F.lit("open").alias("state"), request.alias("pull_request")]
+    fields = [(F.col("doc_id") if number is None else number).alias("number"), F.concat(F.lit("t"), "doc_id").alias("title"), F.col("text").alias("body"), F.concat(F.lit("u"), "doc_id").alias("html_url"), F.array(F.struct(F.col("lang").alias("name"))).alias("labels"), F.lit("open").alias("state"), request.alias("pull_request")]
     kind = F.element_at(F.array(F.lit("pr"), F.lit("issue")), (F.col("doc_id") % 2 + 1).cast("int"))
     return table(spark, sf_dir, "documents").select(F.col("source").alias("repo"), kind.alias("kind"), F.to_json(F.struct(*fields)).alias("item"))
 
@@ -295,10 +294,35 @@ RAW_SQL = "(select *, ['pr', 'issue'][doc_id % 2 + 1] as kind from documents)"
 
 @query(f"select 'github:' || source || ':' || kind || ':' || doc_id as id, source || '#' || doc_id as external_id, 't' || doc_id as title, text as body, 'u' || doc_id as url, lang as label, 'open' as state from {RAW_SQL}")
 def normalize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = pages.normalize(_raw(spark, sf_dir))
+    """All documents, among items that have no number or none that is one."""
+    docs = pages.normalize(pages.set_aside(_mixed_raw(spark, sf_dir))[0])
     return docs.select("id", "external_id", "title", "body", "url", F.col("labels")[0].alias("label"), F.col("metadata")["state"].alias("state"))
 
 
+def _mixed_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _raw(spark, sf_dir).unionByName(_raw(spark, sf_dir, F.lit(None).cast("long"))).unionByName(_raw(spark, sf_dir, F.lit("none")))
+
+
+@query(f"select kind, source as repo, 2 * count(*) as n from {RAW_SQL} group by 1, 2")
+def items_set_aside(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items that are no documents: both kinds of bad numbers of ``normalize_documents``."""
+    return pages.set_aside(_mixed_raw(spark, sf_dir))[1].groupBy("kind", "repo").agg(F.count("*").alias("n"))
+
+
+def _plain_sql(html: str) -> str:
+    """What ``web.plain`` does, in DuckDB."""
+    out = f"regexp_replace(regexp_replace({html}, '{web.HIDDEN}', ' ', 'g'), '<[^>]*>', ' ', 'g')"
+    for name, sign in web.ENTITIES.items():
+        out = f"replace({out}, '{name}', chr({ord(sign)}))"
+    return rf"trim(regexp_replace({out}, '[\x20\x09-\x0D]+', ' ', 'g'))"
+
+
+@query(f"select 'web:' || host || ':page:' || page_id as id, host as repo, {_plain_sql('head')} as title, {_plain_sql('html')} as body from (select *, lower(regexp_extract(url, '^[A-Za-z]+://([^/:?#]+)', 1)) as host, regexp_extract(html, '{web.TITLE}', 1) as head from pages)")
+def web_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Web pages in the lake's form, through the second connector's normal form."""
+    return web.normalize(web.raw(table(spark, sf_dir, "pages"))).select("id", "repo", "title", "body")
+
+
 @query(f"select kind, count(*) as n from {RAW_SQL} where not (kind = 'issue' and doc_id % 9 = 1) group by 1")
 def issues_exclude_prs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.without_change_requests(_raw(spark, sf_dir)).groupBy("kind").agg(F.count("*").alias("n"))
@@ -329,7 +353,8 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select user_id as id, event_id, event_type, value from (select *, row_number() over (partition by user_id order by event_id desc) as n from events) where n = 1")
 def latest_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return latest_per_document(table(spark, sf_dir, "events").withColumn("id", F.col("user_id")), "event_id").select("id", "event_id", "event_type", "value")
+    """The last event of each user by number, as ingestion finds the last arrival of a document."""
+    return latest(table(spark, sf_dir, "events"), "user_id", F.col("event_id")).select(F.col("user_id").alias("id"), "event_id", "event_type", "value")
 
 
 @query("select conv_id, turn, text from conversations where conv_id % 3 <> 0 union all select conv_id, turn, 'new: ' || text as text from conversations where conv_id % 3 = 0 and turn < 2")
@@ -403,6 +428,21 @@ def tenant_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where(predicate({"repo": "src3"})).select("doc_id", "source")
 
 
+class OwnSource(Interceptor):
+    """A principal may read documents of the source of its name, and nothing else."""
+
+    def authorize(self, principal: str | None, action: str, resource: str) -> bool:
+        return action != "read" or resource.split(":")[1] == principal
+
+
+@query(f"with {DOCS_SQL} select doc_id, document_id from docs where repo = 'src3'")
+def authorize_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that a principal may read: every interceptor has to allow it, one refusal is enough."""
+    gate, docs = Interceptors([Interceptor(), OwnSource()]), documents(spark, sf_dir)
+    sources = [r["repo"] for r in docs.where("repo is not null").select("repo").distinct().collect()]  # a decision for each source
+    return docs.where(F.col("repo").isin([s for s in sources if gate.authorize("src3", "read", f"github:{s}")])).select("doc_id", "document_id")
+
+
 @query()
 def embed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", embed(F.col("text"), lambda: HashingEmbedder(64)).alias("vector"))

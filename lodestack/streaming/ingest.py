@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ..config import settings
 from ..plans.lake import IngestionPlan
 from ..schema import SEMANTIC
-from ..sources.pages import FETCHED, PagedSource, normalize, without_change_requests
+from ..sources import connectors
+from ..sources.pages import normalize, set_aside
 
 
 def read_watermark(spark: SparkSession, path: str) -> datetime | None:
@@ -32,30 +33,38 @@ def write_watermark(spark: SparkSession, path: str, since: datetime) -> None:
     out.close()
 
 
-def stream_pages(spark: SparkSession, path: str, repos: list[str] | None = None, pages_a_batch: int = 1000) -> DataFrame:
-    """Items of landed pages as a stream of raw items: Spark's file stream finds new pages and the executors read them.
+def stream_pages(spark: SparkSession, path: str, repos: list[str] | None = None, page_size: int | None = None, pages_a_task: int = 20) -> DataFrame:
+    """Raw items of landed pages as a stream with a cursor for each job; it sees the pages that ``pages.catalogue`` has noted.
 
-    A page that is not JSON arrives whole as one item, so that ingestion can put it aside.
+    A stream that starts again goes on behind the last item that its checkpoint holds.
     """
-    files = spark.readStream.format("text").option("wholetext", "true").option("maxFilesPerTrigger", str(pages_a_batch)).load(f"{path}/*/*/*.json")
-    part = lambda n: F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/([^/]+)/([0-9]+)\.json$", n)
-    rows = files.select(F.replace(F.url_decode(part(1)), F.lit("__"), F.lit("/")).alias("repo"), part(2).alias("kind"), part(3).cast("int").alias("page"), F.trim("value").alias("value"))
-    rows = rows.where(F.col("kind").isin(*FETCHED))
-    rows = rows if repos is None else rows.where(F.col("repo").isin(*repos))
-    items = F.when(F.col("value").startswith("["), F.from_json("value", "array<string>"))
-    return without_change_requests(rows.select("repo", "kind", "page", F.explode(F.coalesce(items, F.array("value"))).alias("item")))
+    return connectors.follow(spark, "github", _options(path, repos, page_size) | {"pages_a_task": pages_a_task})
 
 
-def run_once(spark: SparkSession, path: str, mark: str, plan: IngestionPlan, repos: list[str] | None = None, page_size: int | None = None) -> datetime:
+def _options(path: str, repos: list[str] | None, page_size: int | None) -> dict[str, object]:
+    own = settings().connector
+    return {"path": path, "repos": ",".join(own.repos if repos is None else repos), "page_size": page_size or own.page_size}
+
+
+def _ingest(raw: DataFrame, plan: IngestionPlan, dead_letters: str | None, batch: str) -> None:
+    """Documents of ``raw`` into the lake; what cannot be one to ``dead_letters``, a folder of each batch, written anew when the batch is repeated."""
+    good, bad = set_aside(raw)
+    if not bad.isEmpty():
+        bad.write.mode("overwrite").json(f"{dead_letters or f'{plan.lake.path}-dead-letters'}/batch={batch}")
+    plan.process(normalize(good).withColumn("semantic", F.lit(None).cast(SEMANTIC)), batch)
+
+
+def run_once(spark: SparkSession, path: str, mark: str, plan: IngestionPlan, repos: list[str] | None = None, page_size: int | None = None, dead_letters: str | None = None) -> datetime:
     """A scheduled run: the last run's beginning, pages of the configured repositories, what is newer into the lake, then this run's beginning.
 
-    The mark is written last, so a run that fails is repeated in full.
+    The mark is written last, so a run that fails is repeated in full, as the same batch. Pages that the
+    catalogue knows to be older than the mark are not opened. What cannot be a document goes to the
+    dead letters, as in ``ingest_stream``.
     """
-    own, began = settings().connector, datetime.now(UTC)
-    since = read_watermark(spark, mark)
-    spark.dataSource.register(PagedSource)
-    pages = spark.read.format("paged").option("path", path).option("repos", ",".join(own.repos if repos is None else repos)).option("page_size", str(page_size or own.page_size)).load()
-    plan.process(normalize(pages, since).withColumn("semantic", F.lit(None).cast(SEMANTIC)))
+    began, since = datetime.now(UTC), read_watermark(spark, mark)
+    raw = connectors.read(spark, "github", _options(path, repos, page_size), since)
+    with plan.lake.written(raw) as rows:
+        _ingest(rows, plan, dead_letters, f"run-{since.strftime('%Y%m%dT%H%M%S%f') if since else 'first'}")
     write_watermark(spark, mark, began)
     return began
 
@@ -65,15 +74,11 @@ def ingest_stream(raw: DataFrame, plan: IngestionPlan, checkpoint: str, dead_let
 
     A batch that is repeated replaces the same documents, so delivery at least
     once is enough. In one batch the last arrival of a document wins. Items that
-    are not JSON objects go to ``dead_letters``, by default a folder beside the lake.
+    are not JSON objects, or have no number, go to ``dead_letters``, by default a folder beside the lake.
     """
-    aside = dead_letters or f"{plan.lake.path}-dead-letters"
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        good = F.coalesce(F.get_json_object("item", "$").startswith("{"), F.lit(False))
-        bad = batch.where(~good)
-        if not bad.isEmpty():
-            bad.write.mode("overwrite").json(f"{aside}/batch={batch_id}")
-        plan.process(normalize(batch.where(good)).withColumn("semantic", F.lit(None).cast(SEMANTIC)))
+        with plan.lake.written(batch) as rows:
+            _ingest(rows, plan, dead_letters, str(batch_id))
 
     return raw.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
