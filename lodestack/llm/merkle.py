@@ -1,10 +1,10 @@
 """Merkle manifest of a table: a hash tree for each group, a tree of the groups' roots, and a proof for every row.
 
 Rows of a group are ordered by id. Their ranks come from histograms of the ids'
-digits, 16 bits a digit: the count of every prefix is summed up from the
+digits, 12 to 14 bits a digit: the count of every prefix is summed up from the
 counts of longer ones, and a prefix starts where its parent does plus what its
-smaller siblings hold. A window never sees more than the 65536 children of one
-prefix, so nothing is sorted as a whole, however many rows a group has.
+smaller siblings hold. A window never sees more than the 16384 children of one
+prefix (or the 4096 ids of the longest one), so nothing is sorted as a whole, however many rows a group has.
 
 A node of the tree is a prefix of the rank's digits in the base of the fanout.
 The longest prefixes are reduced first, eight digits at a time: a task holds the
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .workspace import Workspace
 
 FANOUT, DIGITS = 3, 8
-DIGIT_BITS = (16, 32, 48)
+DIGIT_BITS = (12, 26, 39, 52)
 GROUPS_A_TASK = 100_000
 PROOF = "array<struct<left:string,right:string>>"
 
