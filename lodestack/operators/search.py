@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ..schema import RESULT
 from .filters import predicate
+from .postings import ALL, PostingIndex
 
-ALL = -1
 DEFAULT_K = 10
 
 
@@ -107,11 +107,17 @@ def knn_batch(chunks: DataFrame, queries: DataFrame, k: int = DEFAULT_K, query_b
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "score")
 
 
-def search_by_metadata(chunks: DataFrame, filters: dict[str, Any] | None, k: int | None = None) -> DataFrame:
-    """Chunks that pass the filter, in order of document and chunk, unscored."""
+def first_matching(chunks: DataFrame, filters: dict[str, Any] | None, n: int, index: PostingIndex | None = None) -> DataFrame:
+    """The first ``n`` chunks that pass the filter, in order of document and chunk; by the index, if there is one, without a scan of the chunks."""
+    if index:
+        return index.fetch(index.matching(filters, n), n).orderBy("document_id", "chunk_index")
     where = predicate(filters)
-    rows = chunks if where is None else chunks.where(where)
-    return results(_limited(rows.orderBy("document_id", "chunk_index"), effective_k(k)), F.lit(0.0))
+    return _limited((chunks if where is None else chunks.where(where)).orderBy("document_id", "chunk_index"), n)
+
+
+def search_by_metadata(chunks: DataFrame, filters: dict[str, Any] | None, k: int | None = None, index: PostingIndex | None = None) -> DataFrame:
+    """Chunks that pass the filter, in order of document and chunk, unscored."""
+    return results(first_matching(chunks, filters, effective_k(k), index), F.lit(0.0))
 
 
 def get_by_document(chunks: DataFrame, document_id: str, cap: int = 1_000) -> DataFrame:
@@ -127,35 +133,31 @@ def reassemble(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("document_id").agg(*head, F.array_join(F.transform(ordered, lambda x: x["text"]), "\n").alias("text"), F.count("*").alias("chunk_count"))
 
 
-def find_related(chunks: DataFrame, entity: str, relationship_types: list[str] | None = None, k: int | None = None, same_edge: bool = False) -> DataFrame:
+def find_related(chunks: DataFrame, entity: str, relationship_types: list[str] | None = None, k: int | None = None, same_edge: bool = False, index: PostingIndex | None = None) -> DataFrame:
     """Documents with an edge to the entity, then documents that mention it; ``via`` says which.
 
     Each lookup takes ``k`` chunks before documents are merged. Targets and types
-    match independently, unless ``same_edge`` asks for one edge to match both.
+    match independently, unless ``same_edge`` asks for one edge to match both (then the index finds the targets only,
+    and their chunks are tested).
     """
     n = effective_k(k)
-    edge = F.array_contains("relationship_targets", entity)
-    if relationship_types:
-        if same_edge:
-            edge = F.exists("relationships", lambda r: (r["target"] == entity) & r["type"].isin(relationship_types))
-        else:
-            edge = edge & F.arrays_overlap("relationship_types", F.array(*map(F.lit, relationship_types)))
     payload = [c for c in ("title", "url", "source_type", "kind", "repo", "summary", "relationships") if c in chunks.columns]
-
-    def lookup(where: Column, via: str, turn: int) -> DataFrame:
-        rows = _limited(chunks.where(where).orderBy("document_id", "chunk_index"), n)
-        return rows.select("document_id", F.struct(F.lit(turn), "chunk_index").alias("_at"), F.lit(via).alias("_via"), *payload)
-
-    both = lookup(edge, "relationship", 0).unionByName(lookup(F.array_contains("entity_names", entity), "entity", 1))
-    merged = both.groupBy("document_id").agg(F.min("_at").alias("_at"), *[F.min_by(c, "_at").alias(c) for c in payload], F.array_sort(F.collect_set("_via")).alias("via"))
+    edge = {"relationship_targets": entity} | ({"relationship_types": list(relationship_types)} if relationship_types else {})
+    if same_edge and relationship_types:
+        one = F.exists("relationships", lambda r: (r["target"] == entity) & r["type"].isin(relationship_types))
+        edges = _limited(first_matching(chunks, {"relationship_targets": entity}, ALL, index).where(one).orderBy("document_id", "chunk_index"), n)
+    else:
+        edges = first_matching(chunks, edge, n, index)
+    turns = ((edges, "relationship", 0), (first_matching(chunks, {"entity_names": entity}, n, index), "entity", 1))
+    each = [rows.select("document_id", F.struct(F.lit(turn), "chunk_index").alias("_at"), F.lit(via).alias("_via"), *payload) for rows, via, turn in turns]
+    merged = each[0].unionByName(each[1]).groupBy("document_id").agg(F.min("_at").alias("_at"), *[F.min_by(c, "_at").alias(c) for c in payload], F.array_sort(F.collect_set("_via")).alias("via"))
     return merged.orderBy("_at.col1", "document_id").drop("_at")
 
 
-def list_entities(chunks: DataFrame, document_id: str | None = None, entity_type: str | None = None, k: int | None = None) -> DataFrame:
+def list_entities(chunks: DataFrame, document_id: str | None = None, entity_type: str | None = None, k: int | None = None, index: PostingIndex | None = None) -> DataFrame:
     """Distinct (type, name) of the first ``k`` chunks in scope, in order of first sight."""
     filters = {f: v for f, v in (("document_id", document_id), ("entity_types", entity_type)) if v}
-    where = predicate(filters)
-    rows = _limited((chunks if where is None else chunks.where(where)).orderBy("document_id", "chunk_index"), effective_k(k))
+    rows = first_matching(chunks, filters, effective_k(k), index)
     each = rows.select(F.struct("document_id", "chunk_index").alias("_at"), F.posexplode("entities").alias("_pos", "_e"))
     each = each if not entity_type else each.where(F.col("_e.type") == entity_type)
     seen = each.groupBy("_e.type", "_e.name").agg(F.min(F.struct("_at", "_pos")).alias("_first"))

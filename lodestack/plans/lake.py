@@ -25,6 +25,7 @@ from ..config import settings
 from ..functions.models import Embedder, HashingEmbedder
 from ..operators import search
 from ..operators.ingest import chunk_documents, embed_chunks, latest
+from ..operators.postings import PostingIndex
 from ..schema import CHUNK, CHUNK_TYPES
 from .hooks import Interceptors, QueryContext, configured
 
@@ -72,6 +73,30 @@ class ContextLake:
         rows = rows if buckets is None else rows.where(F.col("bucket").isin(buckets))
         return rows.where("chunk_id is not null").drop("bucket")
 
+    def chunks_of(self, ids: list[str] | None) -> DataFrame:
+        """The chunk rows of some documents, from their buckets only; None: all rows."""
+        if ids is None:
+            return self.chunks()
+        asked = self.spark.createDataFrame([(i,) for i in ids], "document_id string")
+        return self.chunks(self._touched(asked)).where(F.col("document_id").isin(ids))
+
+    def build_postings(self) -> PostingIndex:
+        """Index the fields of all rows; searches use the index until the next write, then scan until it is built again."""
+        path, fs = self._files()
+        self._outdate()
+        made = PostingIndex.build(self.chunks(), f"{self.path}-postings/rows", self.chunks_of)
+        fs.create(path(f"{self.path}-postings/current"), True).close()
+        return made
+
+    def _outdate(self) -> None:
+        path, fs = self._files()
+        fs.delete(path(f"{self.path}-postings/current"), False)
+
+    def postings(self) -> PostingIndex | None:
+        """The index, if it was built after the last write."""
+        path, fs = self._files()
+        return PostingIndex(self.spark, f"{self.path}-postings/rows", self.chunks_of) if fs.exists(path(f"{self.path}-postings/current")) else None
+
     def _bucket(self, document: Column) -> Column:
         return F.pmod(F.xxhash64(document), F.lit(self.buckets)).cast("int")
 
@@ -81,6 +106,7 @@ class ContextLake:
     def _overwrite(self, rows: DataFrame, touched: list[int]) -> None:
         """The touched buckets hold ``rows`` from now on."""
         path, fs = self._files()
+        self._outdate()
         name = uuid.uuid4().hex
         marks = self.spark.createDataFrame([(b,) for b in touched], "bucket int").select(*[F.lit(None).cast(t).alias(n) for n, t in CHUNK_TYPES.items()], "bucket")
         whole = rows.withColumn("bucket", self._bucket(F.col("document_id"))).select(marks.columns).unionByName(marks)
@@ -144,7 +170,7 @@ class ContextLake:
         return search.knn(self.chunks(), vector, k, filters)
 
     def search_by_metadata(self, filters: dict[str, Any] | None, k: int | None = None) -> DataFrame:
-        return search.search_by_metadata(self.chunks(), filters, k)
+        return search.search_by_metadata(self.chunks(), filters, k, self.postings())
 
     def get_by_document(self, document_id: str, cap: int = 1_000) -> DataFrame:
         return search.get_by_document(self.chunks([self._bucket_of(document_id)]), document_id, cap)
@@ -206,10 +232,10 @@ class ContextTools:
 
     def find_related(self, entity: str, relationship_types: list[str] | None = None, k: int | None = None, principal: str | None = None) -> dict:
         self.hooks.require(principal, "find_related", entity)
-        rows = [r.asDict(True) for r in search.find_related(self.lake.chunks(), entity, relationship_types, search.effective_k(k, self.default_k)).collect()]
+        rows = [r.asDict(True) for r in search.find_related(self.lake.chunks(), entity, relationship_types, search.effective_k(k, self.default_k), index=self.lake.postings()).collect()]
         return {"entity": entity, "related": rows, "count": len(rows)}
 
     def list_entities(self, document_id: str | None = None, entity_type: str | None = None, k: int | None = None, principal: str | None = None) -> dict:
         self.hooks.require(principal, "list_entities", document_id or "*")
-        rows = [r.asDict() for r in search.list_entities(self.lake.chunks(), document_id, entity_type, search.effective_k(k, self.default_k)).collect()]
+        rows = [r.asDict() for r in search.list_entities(self.lake.chunks(), document_id, entity_type, search.effective_k(k, self.default_k), self.lake.postings()).collect()]
         return {"scope": document_id or "*", "entities": rows, "count": len(rows)}

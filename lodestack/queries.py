@@ -16,6 +16,7 @@ from .functions.text import chunks, estimate_tokens
 from .operators import search
 from .operators.cells import CellIndex
 from .operators.ingest import latest
+from .operators.postings import PostingIndex
 from .plans.hooks import Interceptor, Interceptors
 from .plans.lake import ContextLake, ContextTools, IngestionPlan
 from .schema import CHUNK, SEMANTIC, chunk_id, document_id
@@ -141,8 +142,32 @@ def flatten_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph(spark, sf_dir).select("document_id", F.array_join("entity_names", ",").alias("names"), F.array_join("relationship_targets", ",").alias("targets"), F.array_join("relationship_types", ",").alias("types"))
 
 
+_INDEXES: dict[tuple[str, str, str], PostingIndex] = {}
+
+
+def _indexed(spark: SparkSession, sf_dir: str, kind: str, rows: DataFrame) -> PostingIndex:
+    """A posting index of ``rows``, built once for a session and kept in the shared folder; it holds the chunks too, sorted by document."""
+    key = (spark.sparkContext.applicationId, sf_dir, kind)
+    if key not in _INDEXES:
+        at = f"{_shared(spark)}/postings-{uuid.uuid4().hex}"
+        rows.repartitionByRange("document_id").sortWithinPartitions("document_id", "chunk_index").write.parquet(f"{at}/chunks")
+        held = spark.read.schema(rows.schema).parquet(f"{at}/chunks")
+        _INDEXES[key] = PostingIndex.build(held, f"{at}/index")
+    return _INDEXES[key]
+
+
+def _graph_index(spark: SparkSession, sf_dir: str) -> PostingIndex:
+    return _indexed(spark, sf_dir, "graph", graph(spark, sf_dir).withColumn("chunk_id", F.concat("document_id", F.lit("#0"))))
+
+
+def _owned_index(spark: SparkSession, sf_dir: str) -> PostingIndex:
+    """The graph with each document's first supplier among its entities, so that lookups meet."""
+    return _indexed(spark, sf_dir, "owned", graph(spark, sf_dir).withColumn("entity_names", F.array_append("entity_names", F.col("relationship_targets")[0])))
+
+
 def _metadata(spark: SparkSession, sf_dir: str, filters: dict) -> DataFrame:
-    return search.search_by_metadata(graph(spark, sf_dir).withColumn("chunk_id", F.concat("document_id", F.lit("#0"))), filters, 50).select("chunk_id", "score")
+    index = _graph_index(spark, sf_dir)
+    return search.search_by_metadata(index.rows(None), filters, 50, index).select("chunk_id", "score")
 
 
 @query(f"with {GRAPH_SQL} select document_id || '#0' as chunk_id, 0.0::double as score from graph where list_contains(relationship_targets, 'supplier-7') order by 1 limit 50")
@@ -179,8 +204,8 @@ def get_document_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.reassemble(search.get_by_document(_turns(spark, sf_dir), "conv:none")).select("document_id", "text")
 
 
-def _related(spark: SparkSession, sf_dir: str, types: list[str] | None, k: int | None) -> DataFrame:
-    return search.find_related(graph(spark, sf_dir), "supplier-7", types, k).select("document_id", "title", F.array_join("via", ",").alias("via"))
+def _related(index: PostingIndex, entity: str, types: list[str] | None = None, k: int | None = None) -> DataFrame:
+    return search.find_related(index.rows(None), entity, types, k, index=index).select("document_id", "title", F.array_join("via", ",").alias("via"))
 
 
 def _mention_sql(k: int, entity: str) -> str:
@@ -192,19 +217,17 @@ def _mention_sql(k: int, entity: str) -> str:
 
 @query(_mention_sql(10, "supplier-7"))
 def find_related(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = graph(spark, sf_dir).withColumn("entity_names", F.array_append("entity_names", F.col("relationship_targets")[0]))
-    return search.find_related(rows, "supplier-7").select("document_id", "title", F.array_join("via", ",").alias("via"))
+    return _related(_owned_index(spark, sf_dir), "supplier-7")
 
 
 @query(_mention_sql(40, "supplier-3"))
 def find_related_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = graph(spark, sf_dir).withColumn("entity_names", F.array_append("entity_names", F.col("relationship_targets")[0]))
-    return search.find_related(rows, "supplier-3", k=40).select("document_id", "title", F.array_join("via", ",").alias("via"))
+    return _related(_owned_index(spark, sf_dir), "supplier-3", k=40)
 
 
 @query(f"with {GRAPH_SQL} select document_id, title, 'relationship' as via from graph where list_contains(relationship_targets, 'supplier-7') and list_has_any(relationship_types, ['part_of']) order by 1 limit 10")
 def find_related_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _related(spark, sf_dir, ["part_of"], None)
+    return _related(_graph_index(spark, sf_dir), "supplier-7", ["part_of"])
 
 
 @query(f"with {GRAPH_SQL} select distinct 'component' as type, unnest(entity_names) as name from (select * from graph order by document_id limit 10)")
@@ -219,7 +242,7 @@ def list_entities_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {GRAPH_SQL} select document_id, title, 'entity' as via from graph where list_contains(entity_names, 'part-7') order by 1 limit 40")
 def find_related_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.find_related(graph(spark, sf_dir), "part-7", k=40).select("document_id", "title", F.array_join("via", ",").alias("via"))
+    return _related(_graph_index(spark, sf_dir), "part-7", k=40)
 
 
 @query(f"with {GRAPH_SQL} select distinct 'odd' as type, name from (select unnest(entity_names) as name from graph) where (replace(name, 'part-', ''))::bigint % 2 = 1")
@@ -232,7 +255,8 @@ def list_entities_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {GRAPH_SQL} select distinct 'component' as type, unnest(entity_names) as name from graph where document_id = 'order:000000000001'")
 def list_entities_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.list_entities(graph(spark, sf_dir), document_id="order:000000000001")
+    index = _graph_index(spark, sf_dir)
+    return search.list_entities(index.rows(None), document_id="order:000000000001", index=index)
 
 
 @query(f"with {DOCS_SQL} select distinct 'github:' || repo as id, source_type as type from docs")
