@@ -23,11 +23,14 @@ from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from . import search
+from .filters import predicate
 
 ROWS_A_CELL = 64
+#: Columns of the index beside those of the rows.
+OWN = [StructField("index_cell", IntegerType()), StructField("index_part", IntegerType()), StructField("index_node", IntegerType()), StructField("index_links", ArrayType(IntegerType()))]
 
 
 def _usable(chunks: DataFrame, dims: int) -> DataFrame:
@@ -86,36 +89,58 @@ class CellIndex:
             held = np.array([r["vector"] for r in _sampled(rows, 4_000, total, seed + 1).collect()], dtype=np.float64)  # at most 4000 rows
             probes = probes_for(held, centres, k, recall)
             dealt = model.transform(rows.select("*", feature)).drop("_feature")
-            dealt.hint("rebalance", "index_cell").write.mode("overwrite").partitionBy("index_cell").parquet(f"{path}/rows")
-        about = {"cells": cells, "probes": probes, "dims": dims["dims"] if dims else 0, "schema": chunks.schema.jsonValue()}
+            cls._write(dealt, f"{path}/rows")
+        sizes = {str(r["index_cell"]): r["count"] for r in spark.read.parquet(f"{path}/rows").groupBy("index_cell").count().collect()} if total else {}  # a row for each cell
+        about = {"cells": cells, "probes": probes, "dims": dims["dims"] if dims else 0, "sizes": sizes, "schema": chunks.schema.jsonValue()}
         spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
         return cls(spark, path)
 
-    def nearest_cells(self, vector: Sequence[float], n: int) -> list[int]:
-        """The ``n`` cells of largest cosine to ``vector``."""
-        asked = np.asarray(vector, dtype=np.float64)
-        return np.argsort(-(_unit(self.centres) @ asked), kind="stable")[:n].tolist()
+    @classmethod
+    def _write(cls, dealt: DataFrame, path: str) -> None:
+        dealt.hint("rebalance", "index_cell").write.mode("overwrite").partitionBy("index_cell").parquet(path)
 
     def rows(self, cells: list[int] | None = None) -> DataFrame:
         """The rows of all cells or of some."""
         schema = StructType.fromJson(self.about["schema"])
+        return self._held(schema, cells).select(*schema.names)
+
+    def _held(self, schema: StructType, cells: list[int] | None) -> DataFrame:
+        whole = StructType([*schema.fields, *(f for f in OWN if f.name not in schema.names)])
         if not self.about["cells"]:
-            return self.spark.createDataFrame([], schema)
-        every = self.spark.read.schema(StructType([*schema.fields, StructField("index_cell", IntegerType())])).parquet(f"{self.path}/rows")
-        return (every if cells is None else every.where(F.col("index_cell").isin(cells))).drop("index_cell")
+            return self.spark.createDataFrame([], whole)
+        every = self.spark.read.schema(whole).parquet(f"{self.path}/rows")
+        return every if cells is None else every.where(F.col("index_cell").isin(cells))
+
+    def passing(self, filters: dict[str, Any] | None) -> np.ndarray:
+        """How many rows of each cell pass the filter."""
+        out, where = np.zeros(max(1, self.about["cells"]), dtype=np.int64), predicate(filters)
+        counts = self.about["sizes"].items()
+        if where is not None:
+            counts = [(r["index_cell"], r["count"]) for r in self._held(StructType.fromJson(self.about["schema"]), None).where(where).groupBy("index_cell").count().collect()]  # a row for each cell
+        for cell, n in counts:
+            out[int(cell)] = n
+        return out
+
+    def _checked(self, vector: Sequence[float]) -> None:
+        if len(vector) != self.about["dims"] or not np.all(np.isfinite(vector)):
+            raise ValueError(f"the index holds vectors of {self.about['dims']} numbers")
 
     def search(self, vector: Sequence[float], k: int | None = None, filters: dict[str, Any] | None = None, probes: int | None = None) -> DataFrame:
         """The ``k`` nearest rows found that pass the filter, as ``search.knn`` gives them.
 
-        Where the cells read hold fewer than ``k`` such rows, twice as many are read, up to all,
-        so a narrow filter does not shorten the answer. ``k=ALL`` reads all cells.
+        As many cells are read as the index was measured to need, and more where they hold fewer than ``2 * k``
+        rows that pass, so a narrow filter does not shorten the answer. ``k=ALL`` reads all cells.
         """
-        if len(vector) != self.about["dims"] or not np.all(np.isfinite(vector)):
-            raise ValueError(f"the index holds vectors of {self.about['dims']} numbers")
-        n, wanted = probes or self.about["probes"], search.effective_k(k)
-        while wanted != search.ALL and n < self.about["cells"]:
-            found = search.knn(self.rows(self.nearest_cells(vector, n)), vector, k, filters)
-            if found.count() >= wanted:
-                return found
-            n *= 2
-        return search.knn(self.rows(), vector, k, filters)
+        self._checked(vector)
+        wanted = search.effective_k(k)
+        if wanted == search.ALL or not self.about["cells"]:
+            return search.knn(self.rows(), vector, k, filters)
+        cells = cells_for(np.asarray(vector, dtype=np.float64)[None, :], self.centres, self.passing(filters), probes or self.about["probes"], wanted)[0]
+        return search.knn(self.rows(cells.tolist()), vector, k, filters)
+
+
+def cells_for(asked: np.ndarray, centres: np.ndarray, passing: np.ndarray, probes: int, k: int) -> list[np.ndarray]:
+    """For each query the cells to read: the nearest ``probes``, and on until ``2 * k`` rows pass."""
+    order = np.argsort(-(asked @ _unit(centres).T), axis=1, kind="stable")
+    enough = (np.cumsum(passing[order], axis=1) < 2 * k).sum(axis=1) + 1
+    return [cells[: max(probes, n)] for cells, n in zip(order, enough.tolist(), strict=True)]

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from ..config import settings
 from ..functions.models import Embedder, HashingEmbedder
 from ..operators import search
+from ..operators.graphs import GraphIndex
 from ..operators.ingest import chunk_documents, embed_chunks, latest
 from ..operators.postings import PostingIndex
 from ..schema import CHUNK, CHUNK_TYPES
@@ -82,20 +83,35 @@ class ContextLake:
 
     def build_postings(self) -> PostingIndex:
         """Index the fields of all rows; searches use the index until the next write, then scan until it is built again."""
+        return self._built("postings", lambda at: PostingIndex.build(self.chunks(), at, self.chunks_of))
+
+    def build_graph(self) -> GraphIndex:
+        """Index the vectors of all rows for ``query``, until the next write."""
+        return self._built("graph", lambda at: GraphIndex.build(self.chunks(), at))
+
+    def postings(self) -> PostingIndex | None:
+        """The index of fields, if it was built after the last write."""
+        return PostingIndex(self.spark, f"{self.path}-postings/rows", self.chunks_of) if self._current("postings") else None
+
+    def graph(self) -> GraphIndex | None:
+        """The index of vectors, if it was built after the last write."""
+        return GraphIndex(self.spark, f"{self.path}-graph/rows") if self._current("graph") else None
+
+    def _built(self, name: str, build: Callable[[str], Any]) -> Any:
         path, fs = self._files()
-        self._outdate()
-        made = PostingIndex.build(self.chunks(), f"{self.path}-postings/rows", self.chunks_of)
-        fs.create(path(f"{self.path}-postings/current"), True).close()
+        fs.delete(path(f"{self.path}-{name}/current"), False)
+        made = build(f"{self.path}-{name}/rows")
+        fs.create(path(f"{self.path}-{name}/current"), True).close()
         return made
 
-    def _outdate(self) -> None:
+    def _current(self, name: str) -> bool:
         path, fs = self._files()
-        fs.delete(path(f"{self.path}-postings/current"), False)
+        return fs.exists(path(f"{self.path}-{name}/current"))
 
-    def postings(self) -> PostingIndex | None:
-        """The index, if it was built after the last write."""
+    def _outdate(self) -> None:
         path, fs = self._files()
-        return PostingIndex(self.spark, f"{self.path}-postings/rows", self.chunks_of) if fs.exists(path(f"{self.path}-postings/current")) else None
+        for name in ("postings", "graph"):
+            fs.delete(path(f"{self.path}-{name}/current"), False)
 
     def _bucket(self, document: Column) -> Column:
         return F.pmod(F.xxhash64(document), F.lit(self.buckets)).cast("int")
@@ -167,6 +183,10 @@ class ContextLake:
             self._overwrite(self.chunks(touched).join(ids, "document_id", "left_anti").unionByName(rows), touched)
 
     def query(self, vector: list[float], k: int | None = None, filters: dict[str, Any] | None = None) -> DataFrame:
+        """The ``k`` nearest chunks that pass the filter: by the graphs, if they are current and hold vectors of this length, else exactly."""
+        index = self.graph()
+        if index and index.about["dims"] == len(vector):
+            return index.search(vector, k, filters)
         return search.knn(self.chunks(), vector, k, filters)
 
     def search_by_metadata(self, filters: dict[str, Any] | None, k: int | None = None) -> DataFrame:

@@ -8,7 +8,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestack.operators import search
-from lodestack.operators.cells import CellIndex, probes_for
+from lodestack.functions import models
+from lodestack.operators.cells import CellIndex, cells_for, probes_for
+from lodestack.operators.graphs import GraphIndex, links_of, walk
+from lodestack.plans.hooks import Interceptors
+from lodestack.plans.lake import ContextLake, IngestionPlan
+from lodestack.schema import DOCUMENT
 from lodestack.queries import QUERIES, table, vectors
 
 DIR = "/root/testdata/sf0.001"
@@ -71,3 +76,99 @@ def test_small_and_empty_tables(spark, groups):
 
 def test_probes_of_equal_vectors():
     assert probes_for(np.ones((5, 3)), np.eye(3), 2, 0.9) == 1 and probes_for(np.ones((1, 3)), np.eye(3), 2, 0.9) == 1
+
+
+def test_cells_that_a_filter_needs():
+    asked, centres = np.array([[1.0, 0.1], [0.1, 1.0]]), np.eye(2)
+    assert [c.tolist() for c in cells_for(asked, centres, np.array([5, 9]), 1, 2)] == [[0], [1]]
+    assert [c.tolist() for c in cells_for(asked, centres, np.array([5, 9]), 1, 3)] == [[0, 1], [1]]
+    assert [c.tolist() for c in cells_for(asked, centres, np.array([0, 0]), 1, 6)] == [[0, 1], [1, 0]]
+
+
+def flat(links):
+    return np.concatenate([[0], np.cumsum([len(x) for x in links])]), np.concatenate(links)
+
+
+@pytest.mark.parametrize("shape", ["even", "clusters", "copies"])
+def test_walks_find_the_nearest_and_compare_few(shape):
+    rng, n = np.random.default_rng(2), 6_000
+    rows = {"even": rng.normal(size=(n, 24)), "clusters": rng.normal(size=(60, 24))[rng.integers(0, 60, n)] + 0.1 * rng.normal(size=(n, 24)), "copies": np.where(rng.random((n, 1)) < 0.35, np.ones((1, 24)), rng.normal(size=(n, 24)))}[shape]
+    unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    starts, links = flat(links_of(unit))
+    met = seen = 0
+    for q in range(0, n, 100):
+        kept, count = walk(unit, starts, links, np.ones(n, dtype=bool), unit[q], 96)
+        score = unit @ unit[q]
+        tenth = np.sort(score)[-10]
+        met, seen = met + min(10, int((score[kept] >= tenth - 1e-12).sum())), seen + count
+    assert met >= 0.95 * 10 * (n // 100) and seen < 0.6 * n * (n // 100)
+
+
+def test_walks_under_a_filter():
+    rng, n = np.random.default_rng(3), 3_000
+    unit = rng.normal(size=(n, 8))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    starts, links = flat(links_of(unit))
+    for share in (0.0, 0.001, 0.05, 0.9):
+        passes = rng.random(n) < share
+        kept, seen = walk(unit, starts, links, passes, unit[0], 40)
+        best = np.argsort(np.where(passes, -(unit @ unit[0]), 9.0), kind="stable")[: min(10, passes.sum())]
+        assert passes[kept].all() and len(kept) == min(40, passes.sum()) and len(set(best) & set(kept)) >= 0.9 * len(best)
+        assert seen <= max(passes.sum(), 0.9 * n)
+
+
+def test_links_of_few_rows():
+    assert [x.tolist() for x in links_of(np.ones((1, 3)))] == [[]]
+    assert all(len(x) == 1 for x in links_of(np.eye(2)))
+
+
+@pytest.fixture(scope="module")
+def graphs(groups):
+    return GraphIndex.build(groups[0], tempfile.mkdtemp() + "/graphs", cells=3)
+
+
+def test_graphs_against_exact_search(spark, groups, graphs):
+    df, _, rows = groups
+    asked = spark.createDataFrame([(i, rows[i][2]) for i in range(0, 1000, 50)] + [(5000, None), (5001, [0.0] * 16), (5002, [1.0]), (5003, [float("nan")] * 16)], "query_id long, query_vector array<float>")
+    for filters in (None, {"repo": ["d3", "d4"]}, {"repo": "d6"}, {"repo": "none"}):
+        known = df.where("chunk_id like 'c%'")
+        known = known if filters is None else known.where(F.col("repo").isin(filters["repo"]))
+        exact = {(r["query_id"], r["chunk_id"]) for r in search.knn_batch(known, asked.where("query_id < 5000"), 10).collect()}
+        found = graphs.search_batch(asked, 10, filters).collect()
+        assert len({(r["query_id"], r["chunk_id"]) for r in found} & exact) >= 0.95 * len(exact) and len(found) == len(exact)
+    one = graphs.search(rows[5][2], 10, {"repo": ["d3", "d5"]})
+    assert one.columns == search.knn(df, rows[5][2], 10).columns and len(set(ids(one)) & set(ids(search.knn(df.where("chunk_id like 'c%'"), rows[5][2], 10, {"repo": ["d3", "d5"]})))) >= 9
+    assert len(ids(graphs.search(rows[5][2], search.ALL))) == 1000 == graphs.rows().count()
+    with pytest.raises(ValueError):
+        graphs.search([1.0], 3)
+
+
+def test_large_cells_are_several_graphs(spark, groups, monkeypatch):
+    from lodestack.operators import graphs as module
+
+    monkeypatch.setattr(module, "ROWS_A_GRAPH", 100)
+    df, _, rows = groups
+    index = GraphIndex.build(df, tempfile.mkdtemp() + "/graphs", cells=2)
+    parts = spark.read.parquet(f"{index.path}/rows").groupBy("index_cell", "index_part").count().collect()
+    assert len(parts) >= 10 and max(r["count"] for r in parts) < 200
+    assert len(set(ids(index.search(rows[7][2], 10))) & set(ids(search.knn(df, rows[7][2], 10)))) >= 9
+
+
+def test_no_vectors(spark, groups):
+    index = GraphIndex.build(groups[0].where("false"), tempfile.mkdtemp() + "/graphs")
+    assert index.rows().count() == 0 and index.about["cells"] == 0
+
+
+def test_the_lake_walks_until_the_next_write(spark):
+    doc = lambda i: (f"github:o/r:issue:{i}", "github", f"o/r#{i}", "issue", "o/r" if i % 2 else "p/q", f"title {i}", f"word{i} word{i % 5} auth login", "u", "ann", None, None, [], {}, None)
+    lake = ContextLake(spark, tempfile.mkdtemp() + "/lake", buckets=2)
+    plan = IngestionPlan(lake, Interceptors(), lambda: models.HashingEmbedder(16), 50, 5)
+    plan.process(spark.createDataFrame([doc(i) for i in range(40)], DOCUMENT))
+    asked = models.HashingEmbedder(16).embed_query("auth login word3")
+    exact = [ids(lake.query(asked, 5)), ids(lake.query(asked, 5, {"repo": "p/q"}))]
+    assert lake.graph() is None
+    lake.build_graph()
+    assert lake.graph() is not None and "FlatMapCoGroupsInArrow" in lake.query(asked, 5)._jdf.queryExecution().toString()
+    assert [ids(lake.query(asked, 5)), ids(lake.query(asked, 5, {"repo": "p/q"}))] == exact
+    plan.process(spark.createDataFrame([doc(99)], DOCUMENT))
+    assert lake.graph() is None and lake.query(asked, 50).count() == 41
