@@ -3,16 +3,23 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from datetime import UTC, datetime
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from ..config import settings
+from ..functions.models import Embedder
+from ..functions.text import chunk_text
+from ..operators.ingest import chunk_documents
 from ..plans.lake import IngestionPlan
-from ..schema import SEMANTIC
+from ..schema import CHUNK_TYPES, SEMANTIC
 from ..sources import connectors
 from ..sources.pages import normalize, set_aside
+from .state import DAY_MS, Refused, with_attempts, write_outcomes
 
 
 def read_watermark(spark: SparkSession, path: str) -> datetime | None:
@@ -82,3 +89,48 @@ def ingest_stream(raw: DataFrame, plan: IngestionPlan, checkpoint: str, dead_let
             _ingest(rows, plan, dead_letters, str(batch_id))
 
     return raw.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def _embedding(make: Callable[[], Embedder], size: int, overlap: int) -> Callable[[], Callable[[dict], Any]]:
+    """The work of one document: its chunks' vectors."""
+
+    def begin() -> Callable[[dict], Any]:
+        model = make()
+
+        def work(row: dict) -> Any:
+            if "item" in row:
+                raise Refused("not a document")
+            texts = chunk_text(f"{row['title']}\n\n{row['body']}" if row["title"] else row["body"], size, overlap)
+            return {"row": row, "vectors": [[float(x) for x in v] for v in (model.embed_documents(texts) if texts else [])]}
+
+        return work
+
+    return begin
+
+
+def ingest_with_attempts(raw: DataFrame, plan: IngestionPlan, checkpoint: str, dead_letters: str | None = None, tries: int | None = None, wait_ms: int = 360_000, term_ms: int = 14 * DAY_MS, **trigger):
+    """Like ``ingest_stream``, with the embedder's failures kept as state: a document that is refused is tried again later, in other
+    batches, and holds up nobody; after ``tries`` failures it is one dead letter, and what was there of it stays in the lake.
+
+    ``dead_letters`` (by default a folder beside the lake) also gets the items that are no documents, at once. The settings of ``plan`` hold, but
+    for its own tries.
+    """
+    good, bad = set_aside(raw)
+    docs = plan.hooks.before_ingest(normalize(good).withColumn("semantic", F.lit(None).cast(SEMANTIC)))
+    schema = docs.schema
+    arrival = F.unix_micros(F.current_timestamp()).alias("arrival")
+    rows = docs.select("id", arrival, F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("row"))
+    others = bad.select(F.concat(F.lit("item:"), F.sha2(F.coalesce("item", F.lit("")), 256)).alias("id"), arrival, F.to_json(F.struct("item"), {"ignoreNullFields": "false"}).alias("row"))
+    outcomes = with_attempts(rows.unionByName(others), _embedding(plan.embedder, plan.size, plan.overlap), plan.tries if tries is None else tries, wait_ms, term_ms)
+
+    def done(batch: DataFrame, batch_id: int) -> None:
+        kind = StructType([StructField("row", schema), StructField("vectors", ArrayType(ArrayType(FloatType())))])
+        plan.lake.ensure_index()
+        with plan.lake.written(batch.select(F.from_json("payload", kind).alias("p")).select("p.row.*", "p.vectors")) as held:
+            finished = held.drop("vectors")
+            vectors = held.select(F.col("id").alias("document_id"), "vectors")
+            cut = chunk_documents(finished, plan.size, plan.overlap).join(vectors, "document_id").withColumn("vector", F.element_at("vectors", F.col("chunk_index") + 1))
+            plan.lake.replace_documents(cut.select(*CHUNK_TYPES), finished.select(F.col("id").alias("document_id")) if plan.purge_empty else None)
+            plan.hooks.after_ingest(finished)
+
+    return write_outcomes(outcomes, dead_letters or f"{plan.lake.path}-dead-letters", checkpoint, done, **trigger)
