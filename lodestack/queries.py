@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.metadata import flatten, missed, parse_metadata, recall
-from .functions.models import HashingEmbedder, PromptTemplate, SemanticIndexer, default_registry, embed
+from .functions.models import Embedder, HashingEmbedder, PromptTemplate, SemanticIndexer, default_registry, embed
 from .functions.text import chunks, estimate_tokens
 from .operators import search
 from .operators.cells import CellIndex
@@ -19,6 +19,7 @@ from .operators.filters import predicate
 from .operators.graphs import GraphIndex
 from .operators.ingest import latest
 from .operators.postings import PostingIndex
+from .plans import sql
 from .plans.hooks import Interceptor, Interceptors
 from .plans.lake import ContextLake, ContextTools, IngestionPlan
 from .schema import CHUNK, SEMANTIC, chunk_id, document_id
@@ -31,11 +32,11 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
+def query(twin: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
+        if twin:
+            SQL[f.__name__] = twin
         return f
 
     return add
@@ -309,6 +310,57 @@ def source_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("documents"), F.sum("n_chars").alias("chars"))
 
 
+@query(_mention_sql(10, "supplier-7"))
+def sql_find_related(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The call as a table function."""
+    sql.register(_owned_index(spark, sf_dir).rows(None), prefix="owned_")
+    return spark.sql("select document_id, title, array_join(via, ',') as via from owned_find_related('supplier-7', 10)")
+
+
+@query(f"with {GRAPH_SQL} select document_id, title, 'relationship' as via from graph where list_contains(relationship_targets, 'supplier-7') and list_has_any(relationship_types, ['part_of']) order by 1 limit 10")
+def sql_find_related_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sql.register(_graph_index(spark, sf_dir).rows(None), prefix="graph_")
+    return spark.sql("select document_id, title, array_join(via, ',') as via from graph_find_related('supplier-7', relationship_types => array('part_of'))")
+
+
+@query(f"with {GRAPH_SQL} select distinct 'component' as type, unnest(entity_names) as name from graph")
+def sql_list_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All entities of all chunks."""
+    sql.register(graph(spark, sf_dir), prefix="graph_")
+    return spark.sql("select * from graph_list_entities(entity_type => 'component', k => -1)")
+
+
+@query("select c.conv_id, 'conv:' || c.conv_id as document_id, arg_min(role, turn) as title, string_agg(text, chr(10) order by turn) as text, count(*) as chunk_count from conversations c group by c.conv_id")
+def sql_get_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation put together by the function, which is joined to its argument."""
+    sql.register(_turns(spark, sf_dir), prefix="conv_")
+    table(spark, sf_dir, "conversations").select("conv_id").distinct().createOrReplaceTempView("conv_asked")
+    return spark.sql("select a.conv_id, d.* from conv_asked a, lateral conv_get_document(concat('conv:', a.conv_id)) d")
+
+
+class Stored(Embedder):
+    """Texts are numbers of stored vectors."""
+
+    def __init__(self, held: dict[str, list[float]]):
+        self.held = held
+
+    def embed_documents(self, texts):
+        return [self.held[t] for t in texts]
+
+
+@query(f"select b.vec_id as chunk_id, round({COSINE}, 6) as score from embeddings a, embeddings b where a.vec_id = 0 and b.label in (1, 3) order by {COSINE} desc, 1 limit 5")
+def sql_search_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sql.register(vectors(spark, sf_dir), Stored({"0": _asked(spark, sf_dir, 0)}), prefix="vec_")
+    return spark.sql("select chunk_id, round(score, 6) as score from vec_search_context('0', 5, map('repo', array('1', '3')))")
+
+
+@query(f"with {DOCS_SQL} select distinct 'github:' || repo as id, source_type as type from docs")
+def sql_list_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = [r["repo"] for r in _repos(spark, sf_dir).collect()]  # a configuration: as many rows as there are sources
+    sql.register(_turns(spark, sf_dir), sources=[{"id": f"github:{n}", "type": "github"} for n in names], prefix="conv_")
+    return spark.sql("select * from conv_list_sources()")
+
+
 def _repos(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("source").alias("repo")).distinct()
 
