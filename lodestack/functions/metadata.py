@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
+from functools import reduce
 from typing import Any
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..schema import SEMANTIC
 
+#: What Python takes for white space.
+SPACES = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+
 
 def extract_json(text: str) -> Any:
     """The JSON value of a reply: the whole of it, or what stands from the first to the last brace."""
@@ -47,22 +51,46 @@ def validate(value: Any) -> dict[str, Any]:
     }
 
 
-def parse_metadata(reply: Column) -> Column:
-    """Validated metadata of model replies; null where a reply fails."""
+def reply_json(reply: Column) -> Column:
+    """The JSON value of a reply as a variant: the whole of it, or what stands from the first to the last brace; null where neither is JSON."""
 
-    def one(text: str | None) -> dict | None:
-        try:
-            return validate(extract_json(text)) if text is not None else None
-        except (ValueError, TypeError, KeyError):
-            return None
+    def whole(text: Column) -> Column:
+        # The parser stops at the end of a value. What is one value in a list and in an object has nothing behind it.
+        held = F.try_variant_get(F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}"))), "$.v", "variant")
+        return F.when(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).isNotNull(), held)
 
-    @F.pandas_udf(SEMANTIC)
-    def run(column: pd.Series) -> pd.DataFrame:
-        found = [one(x) for x in column]
-        return pd.DataFrame([x or dict.fromkeys(("summary", "entities", "topics", "relationships")) for x in found], columns=["summary", "entities", "topics", "relationships"])
+    return F.coalesce(whole(F.btrim(reply, F.lit(SPACES))), whole(F.regexp_extract(reply, r"(?s)\{.*\}", 0)))
 
-    parsed = run(reply)
-    return F.when(parsed["summary"].isNotNull(), parsed)
+
+def parse_metadata(reply: Column) -> Column:
+    """Validated metadata of model replies, as ``validate`` has it; null where a reply fails. No Python runs.
+
+    JSON is taken strictly: a reply that repeats a key of an object or holds NaN fails.
+    """
+    part = lambda v, name, kind="variant": F.try_variant_get(v, f"$.{name}", kind)
+    is_text = lambda v: F.coalesce(F.schema_of_variant(v) == "STRING", F.lit(False))
+    is_object = lambda v: F.coalesce(F.schema_of_variant(v).startswith("OBJECT<"), F.lit(False))
+    v = reply_json(reply)
+
+    def items(name: str, sound: Callable[[Column], Column]) -> tuple[Column, Column]:
+        """The elements of a list, none if it is missing, and whether all are sound."""
+        own, held = part(v, name), part(v, name, "array<variant>")
+        listed = F.coalesce(F.schema_of_variant(own).startswith("ARRAY<"), F.lit(False)) & F.coalesce(F.forall(held, lambda x: F.coalesce(sound(x), F.lit(False))), F.lit(False))
+        return F.coalesce(held, F.array().cast("array<variant>")), own.isNull() | listed
+
+    texts = lambda x, *names: reduce(lambda a, b: a & b, [is_text(part(x, n)) for n in names])
+    entities, good_entities = items("entities", lambda x: is_object(x) & texts(x, "type", "name"))
+    edges, good_edges = items("relationships", lambda x: is_object(x) & texts(x, "type", "target") & (part(x, "description").isNull() | is_text(part(x, "description"))))
+    topics, good_topics = items("topics", is_text)
+    summary = part(v, "summary")
+    good = is_object(v) & (summary.isNull() | is_text(summary)) & good_entities & good_edges & good_topics
+    text = lambda x, name: part(x, name, "string").alias(name)
+    made = F.struct(
+        F.coalesce(part(v, "summary", "string"), F.lit("")).alias("summary"), F.transform(entities, lambda x: F.struct(text(x, "type"), text(x, "name"))).alias("entities"),
+        F.transform(topics, lambda x: x.cast("string")).alias("topics"),
+        F.transform(edges, lambda x: F.struct(text(x, "type"), text(x, "target"), F.coalesce(part(x, "description", "string"), F.lit("")).alias("description"))).alias("relationships"),
+    )
+    return F.when(good, made).cast(SEMANTIC)
 
 
 def flatten(entities: Column, relationships: Column) -> dict[str, Column]:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import asyncio
 import re
 import zlib
 from abc import ABC, abstractmethod
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Awaitable, Callable, Iterator, Sequence
 from dataclasses import dataclass, field
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -22,6 +24,8 @@ class Embedder(ABC):
     """Vectors of texts, in their order."""
 
     dimensions: int
+    #: How many texts a call takes at most; None: as the settings say.
+    batch_size: int | None = None
 
     @abstractmethod
     def embed_documents(self, texts: Sequence[str]) -> list[list[float]]: ...
@@ -48,8 +52,50 @@ class HashingEmbedder(Embedder):
         return (out / norm if norm else out).tolist()
 
 
+class RemoteEmbedder(Embedder):
+    """An embedder over a coroutine function from one text to its vector, with a bounded number of calls in flight.
+
+    Vectors come in the order of their texts, whatever the order of the answers. A call that fails is repeated
+    after ``wait`` seconds, then twice as long each time, and fails for good the ``tries``-th time; while it waits, other calls go on.
+    """
+
+    batch_size = 1_024
+
+    def __init__(self, call: Callable[[str], Awaitable[Sequence[float]]], dimensions: int, in_flight: int = 16, tries: int = 5, wait: float = 0.1):
+        if in_flight < 1 or tries < 1:
+            raise ValueError("in_flight and tries must be positive")
+        self.call, self.dimensions, self.in_flight, self.tries, self.wait = call, dimensions, in_flight, tries, wait
+
+    async def _one(self, text: str, gate: asyncio.Semaphore) -> list[float]:
+        for n in range(self.tries):
+            try:
+                async with gate:
+                    return [float(x) for x in await self.call(text)]
+            except Exception:  # whatever the call raises is a failure of this text
+                if n + 1 == self.tries:
+                    raise
+            await asyncio.sleep(self.wait * 2**n)
+        raise AssertionError("unreachable")
+
+    async def _all(self, texts: Sequence[str], failures: bool) -> list[Any]:
+        gate = asyncio.Semaphore(self.in_flight)
+        return await asyncio.gather(*[self._one(t, gate) for t in texts], return_exceptions=failures)
+
+    def embed_documents(self, texts: Sequence[str]) -> list[list[float]]:
+        return asyncio.run(self._all(texts, False))
+
+    def embed_each(self, texts: Sequence[str]) -> list[list[float] | None]:
+        """As ``embed_documents``, with None for a text whose calls all failed."""
+        return [None if isinstance(v, BaseException) else v for v in asyncio.run(self._all(texts, True))]
+
+
 def _tried(model: Embedder, texts: list[str], tries: int) -> list[list[float] | None]:
-    """Vectors of the texts; where a call fails, of each text by itself, None for one that fails ``tries`` times."""
+    """Vectors of the texts; where a call fails, of each text by itself, None for one that fails ``tries`` times.
+
+    A model that repeats its calls itself is asked once.
+    """
+    if isinstance(model, RemoteEmbedder):
+        return model.embed_each(texts)
     try:
         return model.embed_documents(texts)
     except Exception:  # whatever the model raises is a failure of these texts
@@ -59,15 +105,16 @@ def _tried(model: Embedder, texts: list[str], tries: int) -> list[list[float] |
 
 
 def embed(text: Column, make: Callable[[], Embedder], batch_size: int | None = None, tries: int | None = None) -> Column:
-    """Vectors of a text column; each task builds one embedder and sends it ``batch_size`` texts at a time (by default as the settings say).
+    """Vectors of a text column; each task builds one embedder and sends it ``batch_size`` texts at a time (by default as many as the model or the settings say).
 
     A text that fails fails the task, unless ``tries`` is given: then its vector is null after so many failures.
     """
-    step = batch_size or settings().embedding.batch_size
+    default = settings().embedding.batch_size
 
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = make()
+        step = batch_size or model.batch_size or default
         for column in batches:
             texts = column.fillna("").tolist()
             parts = (texts[i : i + step] for i in range(0, len(texts), step))

@@ -409,7 +409,7 @@ RAW_SQL = "(select *, ['pr', 'issue'][doc_id % 2 + 1] as kind from documents)"
 def normalize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, among items that have no number or none that is one."""
     docs = pages.normalize(pages.set_aside(_mixed_raw(spark, sf_dir))[0])
-    return docs.select("id", "external_id", "title", "body", "url", F.col("labels")[0].alias("label"), F.col("metadata")["state"].alias("state"))
+    return docs.select("id", "external_id", "title", "body", "url", F.col("labels")[0].alias("label"), F.try_variant_get("metadata", "$.state", "string").alias("state"))
 
 
 def _mixed_raw(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ RELATIONSHIPS = "array<struct<type:string,target:string,description:string>>"
 SEMANTIC = f"struct<summary:string,entities:{ENTITIES},topics:array<string>,relationships:{RELATIONSHIPS}>"
 DOCUMENT = (
     "id string, source_type string, external_id string, kind string, repo string, title string, body string, url string, author string, "
-    f"created_at timestamp, updated_at timestamp, labels array<string>, metadata map<string,string>, semantic {SEMANTIC}"
+    f"created_at timestamp, updated_at timestamp, labels array<string>, metadata variant, semantic {SEMANTIC}"
 )
 CHUNK_TYPES = {
     "chunk_id": "string", "document_id": "string", "chunk_index": "int", "text": "string", "vector": "array<float>", "source_type": "string", "kind": "string", "repo": "string", "title": "string",

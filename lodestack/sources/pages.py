@@ -280,8 +280,7 @@ def normalize(raw: DataFrame, since: datetime | None = None) -> DataFrame:
     external = F.when(readme, F.lit("readme")).otherwise(F.coalesce(F.col("x.number").cast("string"), F.raise_error(F.concat(F.lit("an item without a number: "), F.substring("item", 1, 200)))))
     content = decode_base64(F.coalesce("x.content", F.lit("")))
     text = lambda c: F.coalesce(c, F.lit(""))
-    extra = F.when(F.col("kind") == "issue", F.create_map(F.lit("state"), F.col("x.state"), F.lit("comments"), F.col("x.comments").cast("string")))
-    extra = extra.when(F.col("kind") == "pr", F.create_map(F.lit("state"), F.col("x.state"), F.lit("draft"), F.col("x.draft").cast("string")))
+    extra = F.when(F.col("kind") == "issue", F.to_variant_object(F.struct("x.state", "x.comments"))).when(F.col("kind") == "pr", F.to_variant_object(F.struct("x.state", "x.draft")))
     out = rows.select(
         document_id(F.lit("github"), F.col("repo"), F.col("kind"), external).alias("id"), F.lit("github").alias("source_type"),
         F.when(readme, F.concat("repo", F.lit("#readme"))).otherwise(F.concat("repo", F.lit("#"), external)).alias("external_id"), "kind", "repo",

@@ -51,7 +51,7 @@ def normalize(rows: DataFrame, since: datetime | None = None) -> DataFrame:
     return page.select(
         document_id(F.lit("web"), F.col("host"), F.lit("page"), number).alias("id"), F.lit("web").alias("source_type"), F.concat("host", F.lit("#"), number).alias("external_id"), F.lit("page").alias("kind"),
         F.col("host").alias("repo"), plain(F.regexp_extract(html, TITLE, 1)).alias("title"), plain(html).alias("body"), F.coalesce("x.url", F.lit("")).alias("url"), none.cast("string").alias("author"),
-        none.cast("timestamp").alias("created_at"), none.cast("timestamp").alias("updated_at"), F.array().cast("array<string>").alias("labels"), none.cast("map<string,string>").alias("metadata"),
+        none.cast("timestamp").alias("created_at"), none.cast("timestamp").alias("updated_at"), F.array().cast("array<string>").alias("labels"), none.cast("variant").alias("metadata"),
     )
 
 

@@ -160,7 +160,7 @@ def test_no_vectors(spark, groups):
 
 
 def test_the_lake_walks_until_the_next_write(spark):
-    doc = lambda i: (f"github:o/r:issue:{i}", "github", f"o/r#{i}", "issue", "o/r" if i % 2 else "p/q", f"title {i}", f"word{i} word{i % 5} auth login", "u", "ann", None, None, [], {}, None)
+    doc = lambda i: (f"github:o/r:issue:{i}", "github", f"o/r#{i}", "issue", "o/r" if i % 2 else "p/q", f"title {i}", f"word{i} word{i % 5} auth login", "u", "ann", None, None, [], None, None)
     lake = ContextLake(spark, tempfile.mkdtemp() + "/lake", buckets=2)
     plan = IngestionPlan(lake, Interceptors(), lambda: models.HashingEmbedder(16), 50, 5)
     plan.process(spark.createDataFrame([doc(i) for i in range(40)], DOCUMENT))

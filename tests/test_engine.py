@@ -1,10 +1,12 @@
 """The retrieval engine on hand-made rows."""
 
+import asyncio
 import json
 import os
 import random
 import shutil
 import tempfile
+import time
 
 import pytest
 from pyspark.sql import Row
@@ -58,7 +60,7 @@ def test_words_and_tokens(spark):
 
 
 def doc(i, body, title="T", labels=("x",), semantic=None, repo="o/r"):
-    return (f"github:{repo}:issue:{i}", "github", f"{repo}#{i}", "issue", repo, title, body, "u", "ann", None, None, list(labels), {}, semantic)
+    return (f"github:{repo}:issue:{i}", "github", f"{repo}#{i}", "issue", repo, title, body, "u", "ann", None, None, list(labels), None, semantic)
 
 
 SEM = ("s", [("service", "auth")], ["t"], [("references", "X", ""), ("depends_on", "Y", "")])
@@ -172,6 +174,72 @@ def test_model_replies(spark):
     assert [r["m"] is not None for r in found] == [True, False, False, False, False, False]
 
 
+def test_replies_without_python(spark):
+    """Variants and their schemas say what the walk over Python values says."""
+    entity, edge = {"type": "a", "name": "b"}, {"type": "t", "target": "x"}
+    values = [
+        {}, {"summary": "s"}, {"summary": 1}, {"summary": None}, {"summary": ["s"]}, {"topics": ["a", "b"]}, {"topics": ["a", 1]}, {"topics": [None]}, {"topics": "a"}, {"topics": None}, {"topics": []},
+        {"entities": [entity, entity | {"more": [1]}]}, {"entities": [entity, 3]}, {"entities": [entity | {"name": None}]}, {"entities": [entity | {"type": 1}]}, {"entities": {}}, {"entities": [None]}, {"entities": [[entity]]},
+        {"relationships": [edge, edge | {"description": "d"}]}, {"relationships": [edge | {"description": None}]}, {"relationships": [{"type": "t"}]}, {"relationships": [edge | {"target": True}]}, {"other": {"deep": [1, 2.5, None]}}, {"summary": "é\n\"{}", "topics": ["}"]},
+        [], [{}], "text", 5, None, True,
+    ]
+    replies = [json.dumps(v) for v in values] + [f"Here:\n```json\n{json.dumps(v, indent=1)}\n```\ndone" for v in values] + ["\u3000 {} \x1c", "{} x", "{}{}", "{}] {}", "{}}, {}", "{\"a\":1}, {\"b\":2}", "x {\"summary\": \"s\"} y", "x { y", "", "}{", "{'summary': 's'}", "{\"topics\": [\"a\",]}", "long " * 50_000 + "{}"]
+
+    def walk(text):
+        try:
+            return metadata.validate(metadata.extract_json(text))
+        except (ValueError, TypeError, KeyError):
+            return None
+
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(replies)], "i int, r string").select("i", metadata.parse_metadata(F.col("r")).alias("m"))
+    assert "Python" not in df._jdf.queryExecution().toString() and "Arrow" not in df._jdf.queryExecution().toString()
+    found = {r["i"]: r["m"].asDict(True) if r["m"] else None for r in df.collect()}
+    assert [found[i] for i in range(len(replies))] == [walk(r) for r in replies]
+
+
+class Remote:
+    """A service that answers after a random time; it fails on some texts, on others only at first."""
+
+    def __init__(self, slow=0.0):
+        self.slow, self.now, self.most, self.calls = slow, 0, 0, []
+
+    async def __call__(self, text):
+        self.now += 1
+        self.most = max(self.most, self.now)
+        self.calls.append(text)
+        try:
+            await asyncio.sleep(self.slow or random.random() / 50)
+            if text == "bad" or (text.startswith("later") and self.calls.count(text) < 3):
+                raise RuntimeError(text)
+            return [len(text), 1]
+        finally:
+            self.now -= 1
+
+
+def test_calls_in_flight():
+    texts = [f"{'x' * (i % 7)}{i}" for i in range(60)] + ["later 1", "later 2"]
+    service = Remote()
+    model = models.RemoteEmbedder(service, 2, in_flight=8, tries=3, wait=0.001)
+    assert model.embed_documents(texts) == [[float(len(t)), 1.0] for t in texts] and service.most == 8 and service.calls.count("later 1") == 3
+    assert model.embed_each(["a", "bad", "cc"]) == [[1.0, 1.0], None, [2.0, 1.0]] and service.calls.count("bad") == 3
+    with pytest.raises(RuntimeError):
+        model.embed_documents(["a", "bad"])
+    started = time.perf_counter()
+    models.RemoteEmbedder(Remote(0.2), 2, in_flight=10).embed_documents(["t"] * 10)
+    assert time.perf_counter() - started < 0.6
+    assert model.embed_documents([]) == [] and model.embed_query("abc") == [3.0, 1.0]
+    with pytest.raises(ValueError):
+        models.RemoteEmbedder(service, 2, in_flight=0)
+
+
+def test_remote_calls_in_tasks(spark):
+    texts = ["one", "bad", "later", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts * 5)], "i int, t string").repartition(2)
+    make = lambda: models.RemoteEmbedder(Remote(), 2, in_flight=4, tries=3, wait=0.001)
+    found = {r["i"]: r["v"] for r in rows.select("i", models.embed(F.col("t"), make, tries=1).alias("v")).collect()}
+    assert all(found[i] == (None if t == "bad" else [float(len(t or "")), 1.0]) for i, t in enumerate(texts * 5))
+
+
 class Failing(models.Inferencer):
     def infer_json(self, system, user, schema=None):
         raise RuntimeError("no model")

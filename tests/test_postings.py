@@ -115,7 +115,7 @@ def test_postings_of_a_chunk(spark):
 
 
 def test_the_lake_uses_its_index_until_the_next_write(spark):
-    doc = lambda i, labels: (f"github:o/r:issue:{i}", "github", f"o/r#{i}", "issue", "o/r", "T", "body", "u", "ann", None, None, labels, {}, ("s", [("service", f"e{i}")], [], [("uses", "X", "")]))
+    doc = lambda i, labels: (f"github:o/r:issue:{i}", "github", f"o/r#{i}", "issue", "o/r", "T", "body", "u", "ann", None, None, labels, None, ("s", [("service", f"e{i}")], [], [("uses", "X", "")]))
     lake = ContextLake(spark, tempfile.mkdtemp() + "/lake", buckets=4)
     plan = IngestionPlan(lake, Interceptors(), lambda: models.HashingEmbedder(8), 50, 5)
     plan.process(spark.createDataFrame([doc(i, ["x" if i % 2 else "y"]) for i in range(8)], DOCUMENT))

@@ -70,7 +70,7 @@ def test_normal_form(spark, root):
     raw = connectors.read(spark, "github", OPTIONS | {"path": root})
     docs = {r["external_id"]: r for r in pages.normalize(raw).collect()}
     assert sorted(docs) == ["o/r#1", "o/r#3", "o/r#4", "o/r#5", "o/r#readme"]
-    assert docs["o/r#readme"]["body"] == "héllo\nworld" and docs["o/r#1"]["labels"] == ["bug"] and docs["o/r#1"]["metadata"] == {"state": "open", "comments": "2"}
+    assert docs["o/r#readme"]["body"] == "héllo\nworld" and docs["o/r#1"]["labels"] == ["bug"] and docs["o/r#1"]["metadata"].toPython() == {"state": "open", "comments": 2} and docs["o/r#4"]["metadata"].toPython() == {"state": "open", "draft": True}
     assert docs["o/r#5"]["id"] == "github:o/r:pr:5" and docs["o/r#4"]["author"] == "ann"
     fresh = pages.normalize(raw.where("kind = 'pr'"), datetime(2024, 3, 1)).collect()
     assert [r["external_id"] for r in fresh] == ["o/r#5"]
