@@ -11,8 +11,8 @@ Keys travel as in :mod:`exchange`; texts are dealt out once, by document id.
 
 Defined results: a null text has no words; documents shorter than a window
 keep all words; rows with one doc_id are one document and never repeat each
-other; a null doc_id counts as larger than all others; an empty table gives
-an empty result; extra columns play no part.
+other; a null doc_id counts as larger than all others; a very long text is held
+whole by the task that has its document; an empty table gives an empty result; extra columns play no part.
 """
 
 from __future__ import annotations

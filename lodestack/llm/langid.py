@@ -9,7 +9,10 @@ any switch is labelled without the recursion: no run of words gains the penalty.
 Defined results: null text or a text without a letter is ``und`` with score 0;
 null languages teach nothing; a null doc_id is never held out and never taught
 from; repeated rows are scored alike; with nothing learned all texts are
-``und``; extra columns play no part.
+``und``; languages of equal score go by name, the first one wins; very long texts are read
+whole, one at a time; an empty table has no rows; extra columns play no part. The
+learned counts are brought to the driver, ``BUCKETS`` numbers a language, so more than
+``MAX_LANGUAGES`` different names are refused: such a column is no list of languages.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from pyspark.sql import functions as F
 from .workspace import few_rows
 
 BUCKETS = 1 << 16
+MAX_LANGUAGES = 1_000
 # fixed values: first code points of script ranges and the script that begins there
 SCRIPTS = [(0, 0), (0x370, 1), (0x400, 2), (0x530, 3), (0x590, 4), (0x600, 5), (0x700, 3), (0x900, 6), (0x980, 3), (0xE00, 7), (0xE80, 3), (0x1E00, 0), (0x1F00, 1), (0x2000, 3), (0x3040, 8), (0x3100, 3), (0x3400, 9), (0xA000, 3), (0xAC00, 10), (0xD7B0, 3), (0xF900, 9), (0xFB00, 3), (0x20000, 9)]
 N_SCRIPTS = 11
@@ -157,7 +161,10 @@ def fit(docs: DataFrame, penalty: float = 12.0) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at.astype(np.int32)), pa.array(row[at])], names=["lang", "at", "n"])
 
     parts = own.mapInArrow(run, "lang string, at int, n long")
-    rows = parts.groupBy("lang", "at").agg(F.sum("n").alias("n")).toPandas()
+    names = own.select("lang").distinct().limit(MAX_LANGUAGES + 1).count()
+    if names > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages to learn")
+    rows = parts.groupBy("lang", "at").agg(F.sum("n").alias("n")).toPandas()  # ``BUCKETS`` rows a language at most
     languages = sorted(rows["lang"].unique().tolist())
     sums = np.zeros((BUCKETS + N_SCRIPTS, len(languages)))
     sums[rows["at"], rows["lang"].map({x: i for i, x in enumerate(languages)}).astype(int)] = rows["n"]

@@ -13,8 +13,9 @@ sums over 4096 ranges of that order, so no task holds a leaf.
 Defined results: rows without tokens (null, empty or blank text) or without
 doc_id take no part; null domain, language or source is the empty name; names
 without a weight weigh ``default_weight``, and nothing where that is 0; repeated
-rows each count and each are selected; ties in the order go by doc_id; extra
-columns play no part. Everything here is DataFrame operations.
+rows each count and each are selected; ties in the order go by doc_id; rows that repeat one doc_id stand at one
+place of the order and so in one of its ranges (many copies of an id are one group there, sorted on disk); an empty table
+selects nothing; extra columns play no part. Everything here is DataFrame operations.
 """
 
 from __future__ import annotations

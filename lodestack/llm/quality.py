@@ -9,7 +9,9 @@ ridge did not see.
 Defined results: a null text is an empty text and is scored; a null doc_id is
 never held out and never labelled; repeated rows are scored alike, and a label
 given twice counts twice; null labels are ignored; without any label every
-score is 0.5. Extra columns play no part.
+score is 0.5; equal raw scores get equal calibrated ones, and a score that equals the
+threshold is predicted 1; very long texts are read whole, one at a time; an empty table has no
+rows. Extra columns play no part.
 """
 
 from __future__ import annotations

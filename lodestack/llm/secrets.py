@@ -9,8 +9,14 @@ Decoding is exact Viterbi. A token whose score for outside leads by more than
 any two transitions can change is outside on every best path, so the recursion
 runs only over the tokens between such tokens.
 
+A token's shape is the order of kinds of characters in its first 64 characters, of which six runs count: a
+feature, not a limit of the scan, which reads every token whole.
+
 Defined results: a null text is an empty text with no spans; null doc_ids and
-repeated rows are scanned like any other; extra columns play no part in
+repeated rows are scanned like any other; spans of the field that overlap a pattern's
+are dropped, patterns of different kinds may overlap each other and are redacted as one stretch; paths
+of equal score go to the tag listed first; very long texts are scanned whole; an empty table
+has no rows, and a field that had no window to learn from adds nothing to what the patterns find. Extra columns play no part in
 :func:`scan` and pass unchanged through :func:`redact`.
 """
 
@@ -235,7 +241,7 @@ class Field:
 
     def spans(self, text: str) -> list[tuple[int, int, str]]:
         tokens = TOKEN.findall(text)
-        if not tokens:
+        if not tokens or not self.moves.any():  # a field that has learnt nothing
             return []
         tags = self.tags(self.scores(tokens, file_features(text)))
         if (tags == O).all():

@@ -11,7 +11,8 @@ its output grows with the fingerprints and not with the pairs.
 
 Defined results: a null or blank text has the fingerprint zero and is linked
 like any other; null doc_ids keep their row and take no part in the minimum;
-repeated rows fall into one component; an empty table gives an empty result.
+repeated rows fall into one component; very long texts are hashed whole, one at a time;
+columns beside doc_id and text play no part, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations

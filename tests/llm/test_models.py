@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodestack.llm import langid, mixing, quality, queries, simhash
+from lodestack.llm import langid, mixing, quality, queries, secrets, simhash
 from lodestack.llm.workspace import Workspace
 
 DIR = "/root/testdata/sf0.01"
@@ -155,3 +155,18 @@ def test_pipeline_stages(spark, docs):
     assert now.where(F.col("text").rlike('token = "[0-9a-f]{40}"')).count() == 0
     packed = corpus_pipeline.packed(spark, now, DIR)
     assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).agg(F.max("n")).first()[0] <= 1024
+
+
+def test_a_field_that_learnt_nothing_adds_nothing(spark):
+    docs = spark.createDataFrame([(None, "plain words 12345 and token=abcdefgh12345678 here", 1)], "doc_id long, text string, n_chars long")
+    field = secrets.fit(docs)
+    assert secrets.scan(docs, field).first()["spans"] == "assign:22:44"
+    assert secrets.redact(docs, field).first()["text"] == "plain words 12345 and [secret] here"
+
+
+def test_too_many_languages_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 3)
+    docs = spark.range(40).selectExpr("id as doc_id", "concat('l', id % 4) as lang", "'some words' as text")
+    with pytest.raises(ValueError, match="more than 3 languages"):
+        langid.fit(docs)
+    assert len(langid.fit(docs.where("lang <> 'l0'")).languages) == 3
