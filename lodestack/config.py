@@ -1,4 +1,8 @@
-"""Settings: frozen groups with defaults, read from the environment once."""
+"""Settings: frozen groups with defaults, from the environment and, over it, from the session.
+
+``LODESTACK_STORE__BUCKETS`` in the environment and ``spark.lodestack.store.buckets`` in the
+session's configuration name the same setting. Only the driver has a session: what tasks need is handed to them.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +10,9 @@ import os
 from dataclasses import dataclass, field, fields, replace
 from functools import lru_cache
 
-PREFIX = "LODESTACK_"
+from pyspark.sql import SparkSession
+
+PREFIX, SESSION = "LODESTACK_", "spark.lodestack."
 
 
 @dataclass(frozen=True)
@@ -19,7 +25,6 @@ class EmbeddingSettings:
 class StoreSettings:
     path: str = "lake/chunks"
     buckets: int = 64
-    default_k: int = 10
 
 
 @dataclass(frozen=True)
@@ -83,6 +88,13 @@ def from_environment(env: dict[str, str]) -> Settings:
     return out
 
 
-@lru_cache(maxsize=1)
+@lru_cache(maxsize=16)
+def _made(given: tuple[tuple[str, str], ...]) -> Settings:
+    return from_environment(dict(os.environ) | {PREFIX + name.replace(".", "__").upper(): value for name, value in given})
+
+
 def settings() -> Settings:
-    return from_environment(dict(os.environ))
+    """The settings of this process and of its active session, if there is one."""
+    spark = SparkSession.getActiveSession()
+    held = spark.conf.getAll if spark else {}
+    return _made(tuple(sorted((k.removeprefix(SESSION), v) for k, v in held.items() if k.startswith(SESSION))))

@@ -22,10 +22,11 @@ def effective_k(k: int | None, default: int = DEFAULT_K) -> int:
     return k or default
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine in double precision; null where a length is zero or a vector is null."""
+def cosine(rows: Column, asked: Sequence[float]) -> Column:
+    """Cosine of a vector column and a constant in double precision; null where a length is zero or a vector is null. The constant's length is taken once."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
+    constant = F.array(*[F.lit(float(x)) for x in asked])
+    return dot(rows, constant) / F.nullif(F.sqrt(dot(rows, rows)) * F.lit(sum(float(x) * float(x) for x in asked) ** 0.5), F.lit(0.0))
 
 
 def finite(vector: Column) -> Column:
@@ -60,8 +61,7 @@ def knn(chunks: DataFrame, vector: Sequence[float], k: int | None = None, filter
     """The ``k`` chunks of largest cosine among those that pass the filter; ties by chunk_id."""
     where = predicate(filters)
     rows = chunks if where is None else chunks.where(where)
-    asked = F.array(*[F.lit(float(x)) for x in vector])
-    rows = rows.where((F.size("vector") == len(vector)) & finite(F.col("vector"))).withColumn("_score", cosine(F.col("vector"), asked))
+    rows = rows.where((F.size("vector") == len(vector)) & finite(F.col("vector"))).withColumn("_score", cosine(F.col("vector"), vector))
     ranked = results(rows, F.col("_score")).orderBy(F.desc("score"), "chunk_id")
     return _limited(ranked, effective_k(k))
 

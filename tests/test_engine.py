@@ -304,6 +304,18 @@ def test_settings():
     assert made.store.buckets == 8 and made.connector.repos == ("a/b", "c/d") and not made.semantic.enabled and made.embedding.dimensions == 1024
 
 
+def test_settings_of_the_session(spark):
+    before = config.settings()
+    spark.conf.set("spark.lodestack.store.buckets", "5")
+    spark.conf.set("spark.lodestack.connector.repos", "a/b,c/d")
+    try:
+        assert config.settings().store.buckets == 5 and config.settings().connector.repos == ("a/b", "c/d") and config.settings().server == before.server
+    finally:
+        spark.conf.unset("spark.lodestack.store.buckets")
+        spark.conf.unset("spark.lodestack.connector.repos")
+    assert config.settings() == before and config.settings() is config.settings()
+
+
 def test_one_row_for_a_document_and_for_a_chunk(spark, lake):
     plan(lake).process(spark.createDataFrame([doc(1, "first"), doc(1, "second")], DOCUMENT).coalesce(1))
     assert [r["text"] for r in lake.chunks().collect()] == ["T second"]
