@@ -7,7 +7,7 @@ a query's terms bounds what any document below a node can reach. A search opens
 the node of the highest sum first and stops when the best closed node can no longer
 change the ten best; a node whose bound equals the tenth score is opened if it
 may hold a smaller id. Across shards the same bound is taken in two steps: the shard of each
-query's highest bound gives a score to beat, then every other shard that reaches it is searched.
+query's highest bound gives a score and an id to beat, then every other shard that can is searched.
 
 The index holds the terms of the queries. Queries are dealt into batches of at most
 ``BATCH_TERMS`` distinct terms (one query alone may hold more), so what tasks and the driver
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -125,6 +126,7 @@ class Tree:
     def __init__(self, rows: pa.Table):
         rows = rows.sort_by("term")
         self.ids = rows.column("docs")[0].as_py()
+        self.known = len(self.ids) - self.ids.count(None)
         rows = rows.slice(1)
         self.terms = rows.column("term").to_numpy()
         ords, adds = (rows.column(c).combine_chunks() for c in ("ords", "parts"))
@@ -149,8 +151,12 @@ class Tree:
         np.add.at(sums, (keys[at] & 0xFFFFFFFF) - (node << FAN_BITS), values[at])
         return sums
 
-    def best(self, asked: np.ndarray, least: int, top: int) -> tuple[list[tuple[int, int]], int]:
-        """The ``top`` best (score, place) of at least ``least``, equal scores by place, and the number of nodes opened."""
+    def before(self, doc_id: int | None) -> int:
+        """How many documents come before an id in the order of ids, null ids last."""
+        return bisect_left(self.ids, doc_id, 0, self.known) if doc_id is not None else self.known
+
+    def best(self, asked: np.ndarray, least: int, top: int, cut: int = 1 << 62) -> tuple[list[tuple[int, int]], int]:
+        """The ``top`` best (score, place) above ``least``, or of ``least`` and before ``cut``, equal scores by place; and the number of nodes opened."""
         places = np.searchsorted(self.terms, asked)
         places = places[(places < len(self.terms)) & (self.terms[np.minimum(places, len(self.terms) - 1)] == asked)] if len(self.terms) else places[:0]
         found: list[tuple[int, int]] = []
@@ -161,7 +167,7 @@ class Tree:
         waiting, opened = [(-(1 << 62), 0, root, 0)], 0
         while waiting:
             bound, start, level, node = heapq.heappop(waiting)
-            if -bound < least or (len(found) == top and (-bound, -start) < found[0]):
+            if -bound < least or (-bound == least and start >= cut) or (len(found) == top and (-bound, -start) < found[0]):
                 break
             opened += 1
             sums = self.children(places, level, node) if level else None
@@ -170,6 +176,8 @@ class Tree:
             worst = found[0][0] if len(found) == top else 1
             for child in np.flatnonzero(sums >= max(least, worst, 1)).tolist():
                 value, place = int(sums[child]), (node << FAN_BITS) + child
+                if value == least and place << FAN_BITS * (level - 1) >= cut:
+                    continue
                 if level > 1:
                     heapq.heappush(waiting, (-value, place << FAN_BITS * (level - 1), level - 1, place))
                 elif len(found) < top:
@@ -180,12 +188,12 @@ class Tree:
 
 
 def _search(index: DataFrame, wanted: DataFrame, asks: list[np.ndarray], top: int) -> DataFrame:
-    """(ask, doc_id, score) of the best of each wanted (shard, ask, least)."""
+    """(ask, doc_id, score) of the best of each wanted (shard, ask, least, tenth, full): above ``least``, or equal to it with an id before ``tenth`` if ``full``."""
 
     def find(rows: pa.Table, asked: pa.Table) -> pa.Table:
         tree, out = Tree(rows), ([], [], [])
-        for ask, least in zip(asked.column("ask").to_pylist(), asked.column("least").to_pylist(), strict=True):
-            for score, place in tree.best(asks[ask], least, top)[0]:
+        for ask, least, tenth, full in zip(*(asked.column(c).to_pylist() for c in ("ask", "least", "tenth", "full")), strict=True):
+            for score, place in tree.best(asks[ask], least, top, tree.before(tenth) if full else len(tree.ids))[0]:
                 for column, value in zip(out, (ask, tree.ids[place], score), strict=True):
                     column.append(value)
         kinds = (pa.int32(), pa.int64(), pa.int64())
@@ -240,12 +248,14 @@ def _search_batch(docs: DataFrame, asks: list[tuple[int | None, np.ndarray]], nu
     index = work.save(_index(counted, weights, n_docs, n_terms, max(1, -(-postings // shard_postings)), shard_docs, shard_postings))
     words = spark.createDataFrame([(a, ts.tolist()) for a, (_, ts) in enumerate(asks)], "ask int, terms array<int>").select("ask", F.explode("terms").alias("term"))
     bounds = work.save(index.select("shard", "term", "top").join(words, "term").groupBy("shard", "ask").agg(F.sum("top").alias("bound")))
-    first = bounds.groupBy("ask").agg(F.max_by("shard", F.struct("bound", -F.col("shard"))).alias("shard")).withColumn("least", F.lit(1).cast("long"))
+    nothing = [F.lit(1).cast("long").alias("least"), F.lit(None).cast("long").alias("tenth"), F.lit(False).alias("full")]
+    first = bounds.groupBy("ask").agg(F.max_by("shard", F.struct("bound", -F.col("shard"))).alias("shard")).select("shard", "ask", *nothing)
     lists = [ts for _, ts in asks]
-    one = work.save(_search(index, first.select("shard", "ask", "least"), lists, top))
-    beaten = one.groupBy("ask").agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") >= top).select("ask", "least")
-    rest = bounds.join(first.select("shard", "ask"), ["shard", "ask"], "left_anti").join(beaten, "ask", "left").withColumn("least", F.coalesce("least", F.lit(1).cast("long")))
-    two = _search(index, rest.where("bound >= least").select("shard", "ask", "least"), lists, top)
+    one = work.save(_search(index, first, lists, top))
+    worst = F.max(F.struct(-F.col("score"), F.col("doc_id").isNull(), "doc_id")).alias("w")  # the last of the ten in the order of the result
+    beaten = one.groupBy("ask").agg(F.count("*").alias("n"), worst).where(F.col("n") >= top).select("ask", (-F.col("w.col1")).alias("least"), F.col("w.doc_id").alias("tenth"), F.lit(True).alias("full"))
+    rest = bounds.join(first.select("shard", "ask"), ["shard", "ask"], "left_anti").join(beaten, "ask", "left").withColumns({"least": F.coalesce("least", F.lit(1).cast("long")), "full": F.coalesce("full", F.lit(False))})
+    two = _search(index, rest.where("bound >= least").select("shard", "ask", "least", "tenth", "full"), lists, top)
     rank = F.row_number().over(Window.partitionBy("ask").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last()))
     best = one.unionByName(two).withColumn("rank", rank).where(F.col("rank") <= top)
     names = spark.createDataFrame([(a, i) for a, (i, _) in enumerate(asks)], "ask int, item_id long")

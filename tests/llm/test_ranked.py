@@ -94,6 +94,10 @@ def test_tree_opens_few_nodes_and_all_that_tie():
     found, opened = flat.best(np.zeros(1, dtype=np.int32), 1, 10)
     assert sorted(found) == [(5, d) for d in range(10)] and opened <= 4
     assert flat.best(np.array([3], dtype=np.int32), 1, 10) == ([], 0)
+    found, opened = flat.best(np.zeros(1, dtype=np.int32), 5, 10, 4)
+    assert sorted(found) == [(5, d) for d in range(4)] and flat.best(np.zeros(1, dtype=np.int32), 5, 10, 0) == ([], 1)
+    odd = tree_of({0: {0: 5}}, [3, 3, 7, None, None])
+    assert [odd.before(x) for x in (2, 3, 4, 8, None)] == [0, 0, 2, 3, 3]
 
 
 def test_query_and_sql(spark):
