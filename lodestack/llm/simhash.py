@@ -31,6 +31,8 @@ from .components import components
 from .workspace import Workspace, few_rows
 
 BLOCK = 2048
+#: Pairs of a block that are tested at once.
+PAIRS = 1 << 16
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -230,7 +232,7 @@ def _across(fp: np.ndarray, w1: np.ndarray, w2: np.ndarray, group: np.ndarray, r
     """Index pairs of different groups, close by both tests, with the differing bits of w1 and w2."""
     if (group == group[0]).all():
         return
-    for i, j in close_parts(fp.view(np.uint64), radius):
+    for i, j in close_parts(fp.view(np.uint64), radius, 128):
         apart = np.flatnonzero(group[i] != group[j])
         i, j = i[apart], j[apart]
         differ = sum(np.bitwise_count((w[i] ^ w[j]).view(np.uint64)).astype(np.int64) for w in (w1, w2))
@@ -437,15 +439,20 @@ def _close_in_units(units: DataFrame, sets: DataFrame, radius: int, wide_radius:
             node, group, fp, w1, w2 = (table.column(c).to_numpy() for c in range(1, 6))
             held = [x.values.to_numpy().view(np.uint64) for x in table.column(6)]
             size, shared = np.array([len(x) for x in held]), shared_counts(held)
-            left, right = [], []
+            top, own = np.arange(len(node)), np.arange(len(node))
             for i, j, _ in _across(fp, w1, w2, group, radius, wide_radius):
-                both = shared(i, j)
-                close = both >= similarity * (size[i] + size[j] - both)
-                left.append(i[close])
-                right.append(j[close])
-            if left:
-                top = roots(len(node), np.concatenate(left), np.concatenate(right))
-                member = np.flatnonzero(top != np.arange(len(node)))
+                for at in range(0, len(i), PAIRS):
+                    # What is linked already needs no test, and the links are kept as stars.
+                    one, two = i[at : at + PAIRS], j[at : at + PAIRS]
+                    apart = top[one] != top[two]
+                    one, two = one[apart], two[apart]
+                    both = shared(one, two) if len(one) else np.zeros(0, dtype=np.int64)
+                    close = both >= similarity * (size[one] + size[two] - both)
+                    if close.any():
+                        star = np.flatnonzero(top != own)
+                        top = roots(len(node), np.concatenate([top[star], one[close]]), np.concatenate([star, two[close]]))
+            member = np.flatnonzero(top != own)
+            if len(member):
                 yield _batch(node[top[member]], node[member])
 
     held = units.join(sets.withColumnRenamed("node", "a"), "a").select("unit", "a", "b", "fp", "w1", "w2", "shingles")
