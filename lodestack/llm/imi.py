@@ -5,7 +5,9 @@ their product is a grid of cells. Every vector stands in its home cell and
 visits cells in the order of the multi-sequence algorithm, by how far it is
 from each cell's border. The stopping distance comes from the target recall:
 vectors of the sample are turned by exactly the linking angle in random directions,
-and the distance must cover that share of the cells in which they land. Cosines
+and the distance must cover that share of the cells in which they land. With a recall of 1 it is the
+distance that no linked pair exceeds: a border is never farther than what lies behind it, and linked unit vectors are
+within the root of 2 - 2 * cosine of each other; that visits several times as many cells. Cosines
 in double precision then decide. Equal vectors are one vector with a count.
 
 Of two cells the vectors of the lower-numbered one visit the other, so a pair is
@@ -77,14 +79,15 @@ class Grid:
         noise -= (noise * sample).sum(axis=1, keepdims=True) * sample
         noise /= np.maximum(1e-12, np.linalg.norm(noise, axis=1, keepdims=True))
         turned = cosine * sample + np.sqrt(1 - cosine**2) * noise
-        self.limit = float(np.quantile(self.away(sample, self.homes(turned)), recall, method="higher")) * 1.05 + 1e-9
+        exact = 2 - 2 * cosine + 1e-9
+        self.limit = exact if recall >= 1 else float(np.quantile(self.away(sample, self.homes(turned)), recall, method="higher")) * 1.05 + 1e-9
 
     @classmethod
-    def fitting(cls, sample: np.ndarray, count: int, cosine: float) -> Grid:
+    def fitting(cls, sample: np.ndarray, count: int, cosine: float, recall: float = 0.9999) -> Grid:
         """The grid of least estimated cost for ``count`` vectors: a row sent costs as much as a thousand comparisons."""
         best, least = None, float("inf")
         for size in (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256):
-            grid = cls(sample, cosine, size)
+            grid = cls(sample, cosine, size, recall)
             some = sample[:500]
             visits, cell = sum(map(len, grid.visits(some))) / len(some), count / size**2
             cost = visits * (1000 * max(1.0, cell / HOMES) + cell)
@@ -124,8 +127,8 @@ class Grid:
             yield [home, *(c for i, j in cells_in_order(lists[0], lists[1], self.limit) if (c := i * width + j) > home)]
 
 
-def near_duplicates(rows: DataFrame, cosine: float = 0.95) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) of every row of ``rows`` (vec_id, vector)."""
+def near_duplicates(rows: DataFrame, cosine: float = 0.95, recall: float = 0.9999) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) of every row of ``rows`` (vec_id, vector); with ``recall`` 1 no link is missed."""
     spark, work = rows.sparkSession, Workspace(rows.sparkSession)
     rows = rows.withColumn("ok", vectors.usable(F.col("vector")) & F.col("vec_id").isNotNull())
     dims = vectors.common_length(rows.where("ok"))
@@ -137,7 +140,7 @@ def near_duplicates(rows: DataFrame, cosine: float = 0.95) -> DataFrame:
     alone = lambda x: x.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
     if not count:
         return alone(rows)
-    grid = Grid.fitting(vectors.sample(distinct.select(F.col("first_id").alias("vec_id"), "vector"), dims), count, cosine)
+    grid = Grid.fitting(vectors.sample(distinct.select(F.col("first_id").alias("vec_id"), "vector"), dims), count, cosine, recall)
     shared = spark.sparkContext.broadcast(grid)  # two codebooks of 256 centres at most
 
     def place(batches):

@@ -364,3 +364,20 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "vec_id long, vector array<float>")
     assert imi.near_duplicates(none).count() == mih.search(none, F.lit(True)).count() == 0
     assert secrets.scan(empty, secrets.fit(empty)).count() == 0
+
+
+@pytest.mark.parametrize("shape", ["anisotropic", "clusters", "many dimensions"])
+def test_no_link_is_missed_with_the_exact_setting(spark, shape):
+    """Every pair of cosine 0.95 is linked where the grid has many cells and neighbours cross their borders."""
+    rng, n = np.random.default_rng(8), 1500
+    base = {"anisotropic": rng.normal(size=(n, 6)) + 4, "clusters": rng.normal(size=(30, 12))[rng.integers(0, 30, n)] + 0.25 * rng.normal(size=(n, 12)), "many dimensions": rng.normal(size=(40, 96))[rng.integers(0, 40, n)] + 0.22 * rng.normal(size=(n, 96))}[shape]
+    rows = [(i, [float(v) for v in x]) for i, x in enumerate(base.astype(np.float32))]
+    df = spark.createDataFrame(rows, "vec_id long, vector array<float>").repartition(4)
+    x = np.array([v for _, v in rows], dtype=np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    close = x @ x.T >= 0.95
+    np.fill_diagonal(close, False)
+    found = {r["vec_id"]: r["n_links"] for r in imi.near_duplicates(df, recall=1.0).collect()}
+    assert [found[i] for i in range(n)] == close.sum(axis=1).tolist() and close.any()
+    likely = {r["vec_id"]: r["n_links"] for r in imi.near_duplicates(df).collect()}
+    assert sum(likely.values()) >= 0.9999 * close.sum() - 4
