@@ -121,38 +121,56 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int
     return own.mapInArrow(run, PIECES)
 
 
-def exact_fill(have: np.ndarray, gap: int) -> tuple[int, ...] | None:
-    """One, two or three available lengths that sum to ``gap``, the longest parts first."""
-    if gap <= 0:
+class SumIndex:
+    """Which available lengths add up to a sum: one, two or three of them, the longest parts first.
+
+    ``have`` counts the pieces of each length and only ever falls. For each sum that is asked for, the index lists the longer
+    parts of its pairs and the longest parts of its triples; what the counts no longer allow is taken off
+    the list for good, so all look-ups of a sum together pass over each entry once.
+    """
+
+    def __init__(self, have: np.ndarray):
+        self.have, self.lengths = have, np.flatnonzero(have[1:]) + 1
+        self.pairs: dict[int, list[int]] = {}
+        self.triples: dict[int, list[int]] = {}
+
+    def _two(self, one: int, two: int, taken: int = 0) -> bool:
+        """Whether pieces of both lengths are there, besides one of length ``taken``."""
+        need = {one: 1}
+        need[two] = need.get(two, 0) + 1
+        return all(self.have[x] - (x == taken) >= n for x, n in need.items())
+
+    def pair(self, total: int, most: int | None = None) -> tuple[int, int] | None:
+        """Two lengths of the sum; with ``most``, none longer, while a piece of that length is in use."""
+        if total not in self.pairs:
+            longer = self.lengths[(self.lengths < total) & (2 * self.lengths >= total)]
+            self.pairs[total] = longer[self.have[total - longer] > 0].tolist()
+        held = self.pairs[total]
+        while held and not self._two(held[-1], total - held[-1]):
+            held.pop()
+        if most is None:
+            return (held[-1], total - held[-1]) if held else None
+        for one in reversed(held):
+            if one <= most and self._two(one, total - one, most):
+                return one, total - one
+        return None
+
+    def fill(self, gap: int) -> tuple[int, ...] | None:
+        """One, two or three available lengths that sum to ``gap``."""
+        if gap <= 0:
+            return None
+        if self.have[gap]:
+            return (gap,)
+        if found := self.pair(gap):
+            return found
+        if gap not in self.triples:
+            self.triples[gap] = self.lengths[(self.lengths <= gap - 2) & (3 * self.lengths >= gap)].tolist()
+        held = self.triples[gap]
+        while held:
+            if self.have[held[-1]] and (found := self.pair(gap - held[-1], held[-1])):
+                return held[-1], *found
+            held.pop()
         return None
-    if have[gap]:
-        return (gap,)
-    ok = have[: gap + 1] > 0
-    ok[0] = False
-    lengths = np.arange(gap + 1)
-
-    def pair(total: int) -> tuple[int, int] | None:
-        hit = ok[: total + 1] & ok[: total + 1][::-1]
-        if total % 2 == 0 and have[total // 2] < 2:
-            hit[total // 2] = False
-        at = np.flatnonzero(hit)
-        return (int(at[-1]), int(total - at[-1])) if len(at) else None
-
-    if found := pair(gap):
-        return found
-    for longest in lengths[ok][::-1]:
-        longest = int(longest)
-        rest = gap - longest
-        if rest < 2 or rest > 2 * longest:
-            continue
-        have[longest] -= 1
-        ok[longest] = have[longest] > 0
-        found = pair(rest)
-        have[longest] += 1
-        ok[longest] = True
-        if found and found[0] <= longest:
-            return (longest, *found)
-    return None
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -160,7 +178,7 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], i
     have = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in counts.items():
         have[length] = n
-    out = []
+    index, out = SumIndex(have), []
     for longest in range(capacity, 0, -1):
         while have[longest]:
             used, gap = [longest], capacity - longest
@@ -171,7 +189,7 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], i
                     break
                 reach = gap
                 while True:  # the fullest filling: exact for the gap, else for the next smaller total
-                    fill = exact_fill(have, reach)
+                    fill = index.fill(reach)
                     if fill or reach <= top:
                         break
                     reach -= 1
