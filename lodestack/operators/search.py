@@ -108,11 +108,17 @@ def knn_batch(chunks: DataFrame, queries: DataFrame, k: int = DEFAULT_K, query_b
 
 
 def first_matching(chunks: DataFrame, filters: dict[str, Any] | None, n: int, index: PostingIndex | None = None) -> DataFrame:
-    """The first ``n`` chunks that pass the filter, in order of document and chunk; by the index, if there is one, without a scan of the chunks."""
+    """The first ``n`` chunks that pass the filter, in order of document and chunk; by the index, if there is one, without a scan of the chunks.
+
+    Conditions on fields that the index does not hold are tested on the chunks that the others find; if it holds none of them, all chunks are.
+    """
+    rest = predicate(filters)
     if index:
-        return index.fetch(index.matching(filters, n), n).orderBy("document_id", "chunk_index")
-    where = predicate(filters)
-    return _limited((chunks if where is None else chunks.where(where)).orderBy("document_id", "chunk_index"), n)
+        known = {f: v for f, v in (filters or {}).items() if f in index.fields}
+        if len(known) == len(filters or {}) and (known or "document_id" in index.fields):
+            return index.fetch(index.matching(known, n), n).orderBy("document_id", "chunk_index")
+        chunks = index.fetch(index.matching(known)) if known else chunks
+    return _limited((chunks if rest is None else chunks.where(rest)).orderBy("document_id", "chunk_index"), n)
 
 
 def search_by_metadata(chunks: DataFrame, filters: dict[str, Any] | None, k: int | None = None, index: PostingIndex | None = None) -> DataFrame:

@@ -127,3 +127,28 @@ def test_the_lake_uses_its_index_until_the_next_write(spark):
     assert by_scan == [tools.find_related("X"), tools.list_entities(k=3), tools.list_entities("github:o/r:issue:3"), [tuple(r) for r in lake.search_by_metadata({"labels": "x"}).collect()]]
     plan.process(spark.createDataFrame([doc(9, ["x"])], DOCUMENT))
     assert lake.postings() is None and lake.search_by_metadata({"labels": "x"}).count() == 5
+
+
+def test_fields_are_indexed_when_asked_and_the_rest_is_tested(spark, chunks):
+    at = tempfile.mkdtemp() + "/postings"
+    some = PostingIndex.build(chunks, at, fields=("entity_names",))
+    assert os.listdir(at) == ["field=entity_names"]
+    rows = lambda df: [tuple(r) for r in df.collect()]
+    known = chunks.where("document_id is not null")
+    with pytest.raises(ValueError):
+        some.matching({"relationship_types": "owns"})
+    for filters in ({"entity_names": "n3", "relationship_types": ["owns"]}, {"relationship_types": ["owns"]}, {"entity_names": ["n3", "n4"], "labels": []}, None):
+        for k in (2, ALL):
+            assert rows(search.search_by_metadata(known, filters, k, some)) == rows(search.search_by_metadata(known, filters, k))
+    some.extend(("entity_names", "relationship_targets"))
+    assert sorted(os.listdir(at)) == ["field=entity_names", "field=relationship_targets"]
+    assert search.find_related(known, "x1", ["owns"], 3, index=some).collect() == search.find_related(known, "x1", ["owns"], 3).collect()
+
+
+def test_tasks_of_the_build_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr("lodestack.operators.postings.POSTINGS_A_TASK", 1000)
+    many = spark.range(6_000).select(F.format_string("d%06d", "id").alias("document_id"), F.lit(0).alias("chunk_index"), F.array(F.lit("hot"), F.format_string("v%04d", F.col("id") % 300)).alias("labels"))
+    index = PostingIndex.build(many, tempfile.mkdtemp() + "/postings", fields=("labels",))
+    files = [pq.ParquetFile(f"{index.path}/field=labels/{n}").metadata.num_rows for n in os.listdir(f"{index.path}/field=labels") if n.endswith(".parquet")]
+    assert len(files) > 8 and sum(files) == 12_000 and max(files) < 2_500
+    assert index.matching({"labels": "hot"}).count() == 6_000
