@@ -107,18 +107,23 @@ def knn_batch(chunks: DataFrame, queries: DataFrame, k: int = DEFAULT_K, query_b
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "score")
 
 
-def first_matching(chunks: DataFrame, filters: dict[str, Any] | None, n: int, index: PostingIndex | None = None) -> DataFrame:
-    """The first ``n`` chunks that pass the filter, in order of document and chunk; by the index, if there is one, without a scan of the chunks.
+def _passing(chunks: DataFrame, filters: dict[str, Any] | None, index: PostingIndex | None = None) -> DataFrame:
+    """All chunks that pass the filter, in no order.
 
     Conditions on fields that the index does not hold are tested on the chunks that the others find; if it holds none of them, all chunks are.
     """
-    rest = predicate(filters)
-    if index:
-        known = {f: v for f, v in (filters or {}).items() if f in index.fields}
-        if len(known) == len(filters or {}) and (known or "document_id" in index.fields):
-            return index.fetch(index.matching(known, n), n).orderBy("document_id", "chunk_index")
-        chunks = index.fetch(index.matching(known)) if known else chunks
-    return _limited((chunks if rest is None else chunks.where(rest)).orderBy("document_id", "chunk_index"), n)
+    known = {f: v for f, v in (filters or {}).items() if index and f in index.fields}
+    if index and known:
+        chunks = index.fetch(index.matching(known))
+    rest = predicate({f: v for f, v in (filters or {}).items() if f not in known})
+    return chunks if rest is None else chunks.where(rest)
+
+
+def first_matching(chunks: DataFrame, filters: dict[str, Any] | None, n: int, index: PostingIndex | None = None) -> DataFrame:
+    """The first ``n`` chunks that pass the filter, in order of document and chunk; by an index that holds its fields without a scan of the chunks."""
+    if index and set(filters or {"document_id": None}) <= index.fields:
+        return index.fetch(index.matching(filters, n), n).orderBy("document_id", "chunk_index")
+    return _limited(_passing(chunks, filters, index).orderBy("document_id", "chunk_index"), n)
 
 
 def search_by_metadata(chunks: DataFrame, filters: dict[str, Any] | None, k: int | None = None, index: PostingIndex | None = None) -> DataFrame:
@@ -151,7 +156,7 @@ def find_related(chunks: DataFrame, entity: str, relationship_types: list[str] |
     edge = {"relationship_targets": entity} | ({"relationship_types": list(relationship_types)} if relationship_types else {})
     if same_edge and relationship_types:
         one = F.exists("relationships", lambda r: (r["target"] == entity) & r["type"].isin(relationship_types))
-        edges = _limited(first_matching(chunks, {"relationship_targets": entity}, ALL, index).where(one).orderBy("document_id", "chunk_index"), n)
+        edges = _limited(_passing(chunks, {"relationship_targets": entity}, index).where(one).orderBy("document_id", "chunk_index"), n)
     else:
         edges = first_matching(chunks, edge, n, index)
     turns = ((edges, "relationship", 0), (first_matching(chunks, {"entity_names": entity}, n, index), "entity", 1))
@@ -163,7 +168,8 @@ def find_related(chunks: DataFrame, entity: str, relationship_types: list[str] |
 def list_entities(chunks: DataFrame, document_id: str | None = None, entity_type: str | None = None, k: int | None = None, index: PostingIndex | None = None) -> DataFrame:
     """Distinct (type, name) of the first ``k`` chunks in scope, in order of first sight."""
     filters = {f: v for f, v in (("document_id", document_id), ("entity_types", entity_type)) if v}
-    rows = first_matching(chunks, filters, effective_k(k), index)
+    n = effective_k(k)
+    rows = _passing(chunks, filters, index) if n == ALL else first_matching(chunks, filters, n, index)  # all of them need no order
     each = rows.select(F.struct("document_id", "chunk_index").alias("_at"), F.posexplode("entities").alias("_pos", "_e"))
     each = each if not entity_type else each.where(F.col("_e.type") == entity_type)
     seen = each.groupBy("_e.type", "_e.name").agg(F.min(F.struct("_at", "_pos")).alias("_first"))

@@ -152,3 +152,9 @@ def test_tasks_of_the_build_are_bounded(spark, monkeypatch):
     files = [pq.ParquetFile(f"{index.path}/field=labels/{n}").metadata.num_rows for n in os.listdir(f"{index.path}/field=labels") if n.endswith(".parquet")]
     assert len(files) > 8 and sum(files) == 12_000 and max(files) < 2_500
     assert index.matching({"labels": "hot"}).count() == 6_000
+
+
+def test_entities_of_all_chunks_are_not_sorted_by_chunk(spark, chunks):
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(search.list_entities(chunks, None, "a", ALL)).count("Sort ") == 1  # the names, and not the chunks
+    assert plan(search.list_entities(chunks, None, "a", 5)).count("Sort ") == 2
