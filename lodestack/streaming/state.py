@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
@@ -37,14 +37,11 @@ class _Newest(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "at long")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        newest = None
-        for part in rows:
-            top = part.loc[[part[self.order].idxmax()]] if part[self.order].notna().any() else part[:0]
-            if len(top) and (newest is None or top[self.order].iloc[0] >= newest[self.order].iloc[0]):
-                newest = top
-        if newest is not None and (not self.last.exists() or int(newest[self.order].iloc[0]) > self.last.get()[0]):
-            self.last.update((int(newest[self.order].iloc[0]),))
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        newest = max(rows, key=lambda r: r[self.order])
+        last = self.last.get()
+        if last is None or newest[self.order] > last[0]:
+            self.last.update((newest[self.order],))
             yield newest
 
     def close(self) -> None:
@@ -59,7 +56,7 @@ def last_arrivals(stream: DataFrame, key: str, order: str) -> DataFrame:
     """
     use_state(stream.sparkSession)
     known = stream.where(stream[key].isNotNull() & stream[order].isNotNull())
-    return known.groupBy(key).transformWithStateInPandas(statefulProcessor=_Newest(order), outputStructType=known.schema, outputMode="Append", timeMode="None")
+    return known.groupBy(key).transformWithState(statefulProcessor=_Newest(order), outputStructType=known.schema, outputMode="Append", timeMode="None")
 
 
 class _Attempts(StatefulProcessor):

@@ -164,3 +164,16 @@ def test_ingestion_with_attempts(spark):
     assert all([float(x) for x in r["vector"]] == pytest.approx(Choosy(8).embed_query(r["text"]), abs=1e-6) for r in rows)
     dead = {r["id"][:5]: r for r in spark.read.parquet(f"{lake.path}-dead-letters").collect()}
     assert (dead["item:"]["attempts"], dead["githu"]["attempts"]) == (1, 3) and "no number" in dead["item:"]["payload"] and dead["githu"]["id"] == "github:o/r:issue:1"
+
+
+def test_arrivals_are_four_batches_whatever_the_number_of_files(spark, monkeypatch):
+    from lodestack import queries
+
+    base = tempfile.mkdtemp()
+    made = spark.range(400, numPartitions=4).selectExpr("id % 30 as user_id", "id as event_id", "'t' as event_type", "cast(id as double) as value")
+    made.repartition(8).write.parquet(f"{base}/events.parquet")
+    monkeypatch.setattr(queries, "_shared", lambda s: base)
+    found = queries.last_arrival_stream(spark, base)
+    assert sorted((r["id"], r["event_id"]) for r in found.collect()) == sorted((i % 30, i) for i in range(370, 400))
+    batches = glob.glob(f"{base}/arrivals-*/out/*")
+    assert len(glob.glob(f"{base}/arrivals-*/in/*/*.parquet")) > 4 and len(batches) == 4
