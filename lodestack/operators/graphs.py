@@ -32,18 +32,24 @@ from .filters import predicate
 ROWS_A_GRAPH = 16_384
 NEAR, FAR, ENTRIES = 16, 4, 8
 #: Vectors compared for each row of the beam's width, as measured on evenly spread vectors.
-STEPS, BEAM = 30, 96
-QUERIES_A_TASK = 65_536
+STEPS, BEAM = 30, 224
+QUERIES_A_TASK = 16_384
+#: Scores held at once while links are made, and rows (query and graph) handed on at once while queries are dealt.
+SCORES, DEALT = 2_000_000, 16_384
+#: The part of the nearest that the probed cells have to hold; walks lose some more, so this is above what a search is to find.
+PROBED = 0.99
 
 
 def links_of(unit: np.ndarray, near: int = NEAR, far: int = FAR, seed: int = 3) -> list[np.ndarray]:
     """The neighbours of each row: its ``near`` nearest, the rows it is near to (twice as many at most), ``far`` at random."""
     n = len(unit)
     rng, back, out = np.random.default_rng(seed), [[] for _ in range(n)], []
-    for start in range(0, n, 1024):
-        score = unit[start : start + 1024] @ unit.T
+    step = max(1, SCORES // max(1, n))
+    for start in range(0, n, step):
+        score = unit[start : start + step] @ unit.T
         score[np.arange(len(score)), np.arange(start, start + len(score))] = -2.0
-        kept = np.argpartition(-score, min(near, n - 1) - 1, axis=1)[:, :near] if n > 1 else np.zeros((n, 0), dtype=np.int64)
+        # A copy: a view of it would keep the whole block's order, rows squared in all.
+        kept = np.argpartition(-score, min(near, n - 1) - 1, axis=1)[:, :near].copy() if n > 1 else np.zeros((n, 0), dtype=np.int64)
         out.extend(kept)
         for row, found in enumerate(kept.tolist(), start):
             for other in found:
@@ -90,11 +96,11 @@ def _unit(column: pa.ChunkedArray) -> np.ndarray:
 
 
 class GraphIndex(CellIndex):
-    """An index under ``path``; ``build`` as for ``CellIndex``, by default with a cell for every ``ROWS_A_GRAPH`` rows."""
+    """An index under ``path``; ``build`` as for ``CellIndex``, by default with a cell for every ``ROWS_A_GRAPH`` rows and probes for ``PROBED`` of the nearest."""
 
     @classmethod
     def build(cls, chunks: DataFrame, path: str, cells: int | None = None, **more: Any) -> GraphIndex:
-        return super().build(chunks, path, cells or min(4_096, -(-chunks.count() // ROWS_A_GRAPH) or 1), **more)
+        return super().build(chunks, path, cells or min(4_096, -(-chunks.count() // ROWS_A_GRAPH) or 1), **({"recall": PROBED} | more))
 
     @classmethod
     def _write(cls, dealt: DataFrame, path: str) -> None:
@@ -125,8 +131,10 @@ class GraphIndex(CellIndex):
         kinds = dict(queries.dtypes)["query_id"], dict(self._held(StructType.fromJson(self.about["schema"]), None).dtypes)["chunk_id"]
         blocks = max(1, -(-queries.count() // QUERIES_A_TASK))
 
+        step = max(1, DEALT // int(parts.sum()))
+
         def dealt(batches):
-            for batch in batches:
+            for batch in (b.slice(at, step) for b in batches for at in range(0, b.num_rows, step)):
                 cells = cells_for(_unit(pa.chunked_array([batch.column("query_vector")])), centres, passing, probes, k)
                 at = [(i, int(c), p) for i, own in enumerate(cells) for c in own for p in range(parts[c])]
                 rows, cell, part = (np.array(x, dtype=np.int32) for x in zip(*at, strict=True))

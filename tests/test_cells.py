@@ -172,3 +172,34 @@ def test_the_lake_walks_until_the_next_write(spark):
     assert [ids(lake.query(asked, 5)), ids(lake.query(asked, 5, {"repo": "p/q"}))] == exact
     plan.process(spark.createDataFrame([doc(99)], DOCUMENT))
     assert lake.graph() is None and lake.query(asked, 50).count() == 41
+
+
+def test_links_hold_no_square_of_the_rows(monkeypatch):
+    import tracemalloc
+
+    from lodestack.operators import graphs
+
+    monkeypatch.setattr(graphs, "SCORES", 100_000, raising=False)
+    unit = np.random.default_rng(1).normal(size=(3_000, 8))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    tracemalloc.start()
+    links = graphs.links_of(unit)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(links) == 3_000 and peak < 25e6  # the square is 72 MB
+
+
+def test_walks_find_the_nearest_in_a_whole_graph_of_evenly_spread_vectors():
+    from lodestack.operators import graphs
+
+    rng = np.random.default_rng(2)
+    unit = rng.normal(size=(graphs.ROWS_A_GRAPH, 64))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    links = graphs.links_of(unit)
+    starts, flat = np.concatenate([[0], np.cumsum([len(x) for x in links])]), np.concatenate(links)
+    met = 0
+    for asked in unit[::256]:
+        kept, _ = graphs.walk(unit, starts, flat, np.ones(len(unit), dtype=bool), asked, graphs.BEAM)
+        best = sorted(kept, key=lambda r: -float(unit[r] @ asked))[:10]
+        met += len(set(best) & set(np.argsort(-(unit @ asked))[:10].tolist()))
+    assert met / (10 * len(unit[::256])) >= 0.97
