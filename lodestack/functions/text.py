@@ -6,13 +6,15 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from itertools import accumulate
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # fixed value: the white space that separates words
 SPACE = "[\\x09-\\x0D\\x1C-\\x20\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]"
 
+TEXTS_AT_ONCE = 64
+
 
 def estimate_tokens(text: Column) -> Column:
     """A quarter of the code points, rounded up, at least one."""
@@ -55,15 +57,16 @@ def chunk_text(text: str, size: int, overlap: int) -> list[str]:
 
 
 def chunks(text: Column, size: int = 800, overlap: int = 100) -> Column:
-    """Array of chunks of each text; empty for null or blank text."""
+    """Array of chunks of each text; empty for null or blank text. A task holds the chunks of ``TEXTS_AT_ONCE`` texts, not those of a whole batch."""
     if overlap >= size:
         raise ValueError(f"overlap {overlap} must be smaller than the chunk size {size}")
 
-    @F.pandas_udf("array<string>")
-    def run(column: pd.Series) -> pd.Series:
-        return column.map(lambda x: chunk_text(x, size, overlap) if x else [])
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for at in range(0, len(batch), TEXTS_AT_ONCE):
+                yield pa.array([chunk_text(x, size, overlap) if x else [] for x in batch.slice(at, TEXTS_AT_ONCE).to_pylist()], pa.list_(pa.string()))
 
-    return run(text)
+    return F.arrow_udf(run, "array<string>")(text)
 
 
 def decode_base64(content: Column) -> Column:

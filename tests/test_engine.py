@@ -439,3 +439,22 @@ def test_hashing_counts_terms():
     length = sum(x * x for x in expected) ** 0.5
     assert models.HashingEmbedder(16).embed_documents(["A b, a"])[0] == pytest.approx([x / length for x in expected])
     assert models.HashingEmbedder(4).embed_query("") == [0.0] * 4
+
+
+def test_chunks_leave_the_task_in_small_batches(spark):
+    """The chunks of a batch of texts are never held all at once."""
+    from lodestack.functions import text as module
+
+    made, original = {}, module.F.arrow_udf
+    try:
+        module.F.arrow_udf = lambda run, kind: made.setdefault("run", run) and original(run, kind)
+        column = module.chunks(F.col("text"), 3, 1)
+    finally:
+        module.F.arrow_udf = original
+    texts = ["aa bb cc dd ee", None, " ", "x"] * 75
+    held = [b.to_pylist() for b in made["run"](iter([module.pa.array(texts)]))]
+    assert len(held) > 1 and max(map(len, held)) <= 64
+    expected = [module.chunk_text(t, 3, 1) if t else [] for t in texts]
+    assert [x for b in held for x in b] == expected
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string").coalesce(1).select("id", column.alias("c")).orderBy("id").collect()
+    assert [r["c"] for r in rows] == expected
