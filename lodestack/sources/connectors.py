@@ -2,7 +2,7 @@
 
 A connector lists its jobs (``discover``) and gives a job's items page by page
 (``fetch``); everything else is shared. ``spark.read.format(<name>)`` makes one
-task of each job. Filters on ``repo`` and ``kind`` choose jobs, a lower bound of ``seen``
+task of each job, several where the connector can ``split`` it. Filters on ``repo`` and ``kind`` choose jobs, a lower bound of ``seen``
 reaches the connector as the jobs' ``since``, so that pages known to be older are not opened;
 Spark repeats all filters on the rows, so the rows are those of a filter above
 the source. ``spark.readStream.format(<name>)`` follows cursors of its own, one a job:
@@ -28,13 +28,14 @@ Item = tuple[str, datetime]
 
 @dataclass(frozen=True)
 class Job(InputPartition):
-    """One repository and kind of a source, from a page on, of what changed since a time."""
+    """One repository and kind of a source, from a page on or some pages (``numbers``), of what changed since a time."""
 
     source_type: str
     repo: str
     kind: str
     cursor: str | None = None
     since: datetime | None = None
+    numbers: tuple[int, ...] = ()
 
     @property
     def source_id(self) -> str:
@@ -75,6 +76,10 @@ class Connector(ABC):
             for item in items:
                 yield number, item
 
+    def split(self, job: Job) -> tuple[list[tuple[int, ...]], Job | None]:
+        """Groups of a job's pages that tasks may read apart, and the job of what has to be read in order; here all of it."""
+        return [], job
+
     def pages(self, jobs: Sequence[Job]) -> dict[Job, list[Page]]:
         """The pages that are there now, in order, for a stream."""
         raise NotImplementedError(f"{self.source_type} cannot be followed as a stream")
@@ -99,7 +104,7 @@ def _rows(job: Job, found: Iterator[tuple[int, Item]]) -> Iterator[tuple]:
 
 
 class ConnectorReader(DataSourceReader):
-    """A task for each job that the filters leave."""
+    """A task for each job that the filters leave, or several where the connector knows the job's pages."""
 
     def __init__(self, connector: Connector):
         self.connector, self.since = connector, None
@@ -116,9 +121,18 @@ class ConnectorReader(DataSourceReader):
 
     def partitions(self) -> list[Job]:
         wanted = [j for j in self.connector.discover() if all(getattr(j, name) in values for name, values in self.only.items())]
-        return [replace(j, since=max(filter(None, (j.since, self.since)), default=None)) for j in wanted]
+        out: list[Job] = []
+        for job in wanted:
+            job = replace(job, since=max(filter(None, (job.since, self.since)), default=None))
+            groups, rest = self.connector.split(job)
+            out += [replace(job, numbers=numbers) for numbers in groups] + ([rest] if rest else [])
+        return out
 
-    def read(self, partition: Job) -> Iterator[tuple]:
+    def read(self, partition: Job | None) -> Iterator[tuple]:
+        if partition is None:  # what Spark asks for where there are no partitions
+            return iter(())
+        if partition.numbers:
+            return _rows(partition, ((n, item) for n in partition.numbers for item in self.connector.fetch(replace(partition, cursor=str(n)))[0]))
         return _rows(partition, self.connector.read(partition))
 
 

@@ -19,6 +19,7 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Iterator, Mapping, Sequence
+from dataclasses import replace
 from datetime import UTC, datetime, timedelta
 
 from pyarrow import dataset as arrow_dataset
@@ -33,6 +34,7 @@ from .connectors import ALWAYS, RAW, Connector, ConnectorSource, Item, Job, Page
 FETCHED = ("readme", "issue", "pr")
 ITEM = "number long, title string, body string, html_url string, user struct<login:string>, labels array<string>, created_at string, updated_at string, state string, comments long, draft boolean, content string"
 CATALOGUE = "page-catalogue"
+PAGES_A_TASK = 500
 EPOCH = datetime(1970, 1, 1, tzinfo=UTC)
 __all__ = ["RAW", "PagedConnector", "PagedSource", "catalogue", "discover", "golden", "jobs", "land", "normalize", "set_aside"]
 
@@ -154,7 +156,7 @@ class PagedConnector(Connector):
         return self._items(job, values, sound), Job(job.source_type, job.repo, job.kind, after, job.since) if after else None
 
     def read(self, job: Job) -> Iterator[tuple[int, Item]]:
-        landed = self._landed(job)
+        landed = self._landed(job)[int(job.cursor or 1) - 1 :]
         known = self._known([job]).get((job.repo, job.kind), {}) if job.since and job.kind != "readme" else {}
         for number, size, modified in landed:
             entry = known.get(number)
@@ -168,6 +170,22 @@ class PagedConnector(Connector):
             if after is None:
                 return
 
+    def split(self, job: Job) -> tuple[list[tuple[int, ...]], Job | None]:
+        """Pages that the catalogue knows, less those older than ``since``, in groups; from the first other page on, the end of the job is not known."""
+        if job.kind == "readme":
+            return [], job
+        known, wanted, rest = self._known([job]).get((job.repo, job.kind), {}), [], None
+        for number, size, modified in self._landed(job):
+            entry = known.get(number)
+            if not entry or entry[:2] != (modified, size):
+                rest = replace(job, cursor=str(number))
+                break
+            if not job.since or entry[3] >= job.since:
+                wanted.append(number)
+            if entry[2] is not None and entry[2] < self.size:
+                break
+        return [tuple(wanted[i : i + PAGES_A_TASK]) for i in range(0, len(wanted), PAGES_A_TASK)], rest
+
     def pages(self, jobs: Sequence[Job]) -> dict[Job, list[Page]]:
         known, out = self._known(jobs), {}
         for job in jobs:

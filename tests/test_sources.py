@@ -261,3 +261,24 @@ def test_web_pages(spark):
     assert len(web.WebConnector({"path": at}).discover()) >= 3
     with pytest.raises(Exception, match="a page without an id"):
         web.normalize(web.raw(spark.createDataFrame([(None, "u", "h")], "page_id long, url string, html string"))).collect()
+
+
+def test_known_pages_of_a_job_are_read_by_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(pages, "PAGES_A_TASK", 3)
+    root = tempfile.mkdtemp()
+    rows = spark.range(95).selectExpr("'o/r' as repo", "'pr' as kind", "to_json(struct(id as number, date_format(timestamp_seconds(1700000000 + id * 86400), \"yyyy-MM-dd'T'HH:mm:ssXXX\") as updated_at)) as item", "timestamp_seconds(1700000000 + id * 86400) as seen")
+    pages.land(rows, root, 10)
+    pages.catalogue(spark, root)
+    connector = pages.PagedConnector({"path": root, "repos": "o/r", "page_size": "10"})
+    job = connectors.Job("github", "o/r", "pr")
+    assert connector.split(job) == ([(1, 2, 3), (4, 5, 6), (7, 8, 9), (10,)], None)
+    since = datetime.fromtimestamp(1700000000 + 55 * 86400, UTC)
+    options = {"path": root, "repos": "o/r", "page_size": 10}
+    numbers = lambda df: sorted(int(x) for (x,) in df.selectExpr("get_json_object(item, '$.number')").collect())
+    assert numbers(connectors.read(spark, "github", options)) == list(range(95))
+    assert numbers(connectors.read(spark, "github", options, since)) == list(range(55, 95))
+    with open(f"{root}/o__r/pr/8.json", "a") as file:
+        file.write(" ")  # no longer the file that the catalogue knows
+    groups, rest = connector.split(job)
+    assert groups == [(1, 2, 3), (4, 5, 6), (7,)] and rest.cursor == "8"
+    assert numbers(connectors.read(spark, "github", options, since)) == list(range(55, 95))
