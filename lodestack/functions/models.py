@@ -41,15 +41,69 @@ class HashingEmbedder(Embedder):
         self.dimensions = dimensions
 
     def embed_documents(self, texts: Sequence[str]) -> list[list[float]]:
-        return [self._one(t or "") for t in texts]
-
-    def _one(self, text: str) -> list[float]:
-        words = re.findall(r"\w+", text.lower())
-        terms = [*words, *map(" ".join, zip(words, words[1:], strict=False))]
-        codes = np.fromiter((zlib.crc32(t.encode()) for t in terms), dtype=np.int64, count=len(terms))
-        out = np.bincount((codes >> 1) % self.dimensions, weights=np.where(codes & 1, 1.0, -1.0), minlength=self.dimensions)
-        norm = np.linalg.norm(out)
-        return (out / norm if norm else out).tolist()
+        return [v for part in _parts([_plain(t or "") for t in texts]) for v in self._vectors(part)]
+
+    def _vectors(self, texts: list[bytes]) -> list[list[float]]:
+        """All words of some texts at once; a pair's code goes on from its first word's and a space."""
+        data = np.frombuffer(b" ".join([*texts, b""]), dtype=np.uint8)
+        edges = np.flatnonzero(np.diff(WORD[data].view(np.int8), prepend=0))
+        first, length = edges[::2], edges[1::2] - edges[::2]
+        starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        owner = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(first, starts)))
+        order = np.argsort(-length, kind="stable")
+        codes = np.empty(len(first), dtype=np.uint32)
+        codes[order] = _crc32(np.zeros_like(codes), data, first[order], length[order])
+        second = order[(order > 0) & (owner[order] == owner[order - 1])]
+        pairs = _crc32(~_next(~codes[second - 1], np.uint8(32)), data, first[second], length[second])
+        every, owners = np.concatenate([codes, pairs]), np.concatenate([owner, owner[second]])
+        out = np.bincount(owners * self.dimensions + (every >> 1) % self.dimensions, weights=np.where(every & 1, 1.0, -1.0), minlength=len(texts) * self.dimensions)
+        out = out.astype(float).reshape(len(texts), self.dimensions)
+        norm = np.linalg.norm(out, axis=1, keepdims=True)
+        return np.divide(out, norm, out=out, where=norm > 0).tolist()
+
+
+OTHER = re.compile(r"[^\w\x00-\x7f]+")
+#: The bytes of words in a text without ``OTHER`` characters.
+WORD = np.array([c > 127 or re.fullmatch(r"\w", chr(c)) is not None for c in range(256)])
+#: What a byte does to the CRC-32 register.
+REGISTER = np.array([~zlib.crc32(bytes([c]), 0xFFFFFFFF) & 0xFFFFFFFF for c in range(256)], dtype=np.uint32)
+#: Longer words are coded one by one.
+LONG_WORD = 32
+BYTES_AT_ONCE = 1 << 18
+
+
+def _plain(text: str) -> bytes:
+    """The text in lower case with a space for what is neither ASCII nor part of a word."""
+    text = text.lower()
+    return (text if text.isascii() else OTHER.sub(" ", text)).encode()
+
+
+def _parts(texts: list[bytes]) -> Iterator[list[bytes]]:
+    """Runs of texts of ``BYTES_AT_ONCE`` bytes at most, or of one text."""
+    part, held = [], 0
+    for t in texts:
+        if part and held + len(t) > BYTES_AT_ONCE:
+            yield part
+            part, held = [], 0
+        part.append(t)
+        held += len(t)
+    if part:
+        yield part
+
+
+def _next(register: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    return REGISTER[(register ^ byte).astype(np.uint8)] ^ (register >> 8)
+
+
+def _crc32(codes: np.ndarray, data: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """``zlib.crc32`` of words of ``data``, longest first, each from a code on."""
+    register = ~codes
+    for j, n in enumerate(np.searchsorted(-length, -np.arange(min(LONG_WORD, length.max(initial=0))))):
+        register[:n] = _next(register[:n], data[first[:n] + j])
+    out = ~register
+    for i in range(np.searchsorted(-length, -LONG_WORD)):
+        out[i] = zlib.crc32(data[first[i] : first[i] + length[i]], int(codes[i]))
+    return out
 
 
 class RemoteEmbedder(Embedder):

@@ -57,7 +57,10 @@ def chunk_text(text: str, size: int, overlap: int) -> list[str]:
 
 
 def chunks(text: Column, size: int = 800, overlap: int = 100) -> Column:
-    """Array of chunks of each text; empty for null or blank text. A task holds the chunks of ``TEXTS_AT_ONCE`` texts, not those of a whole batch."""
+    """Array of chunks of each text; empty for null or blank text. A task holds the chunks of ``TEXTS_AT_ONCE`` texts, not those of a whole batch.
+
+    Marked as not deterministic, or Spark would cut every text twice: ``explode`` first filters by the size of its array.
+    """
     if overlap >= size:
         raise ValueError(f"overlap {overlap} must be smaller than the chunk size {size}")
 
@@ -66,7 +69,7 @@ def chunks(text: Column, size: int = 800, overlap: int = 100) -> Column:
             for at in range(0, len(batch), TEXTS_AT_ONCE):
                 yield pa.array([chunk_text(x, size, overlap) if x else [] for x in batch.slice(at, TEXTS_AT_ONCE).to_pylist()], pa.list_(pa.string()))
 
-    return F.arrow_udf(run, "array<string>")(text)
+    return F.arrow_udf(run, "array<string>").asNondeterministic()(text)
 
 
 def decode_base64(content: Column) -> Column:

@@ -35,6 +35,8 @@ FETCHED = ("readme", "issue", "pr")
 ITEM = "number long, title string, body string, html_url string, user struct<login:string>, labels array<string>, created_at string, updated_at string, state string, comments long, draft boolean, content string"
 CATALOGUE = "page-catalogue"
 PAGES_A_TASK = 500
+#: Characters of a string that ``get_json_object`` reads.
+LONGEST_STRING = 20_000_000
 EPOCH = datetime(1970, 1, 1, tzinfo=UTC)
 __all__ = ["RAW", "PagedConnector", "PagedSource", "catalogue", "discover", "golden", "jobs", "land", "normalize", "set_aside"]
 
@@ -273,15 +275,19 @@ def land(rows: DataFrame, root: str, page_size: int = 100) -> None:
 
 
 def usable(kind: Column, item: Column) -> Column:
-    """Whether an item can be a document: a JSON object, and a number unless it is a readme."""
-    number = F.from_json(item, "number long")["number"]
-    return F.coalesce(F.get_json_object(item, "$").startswith("{"), F.lit(False)) & ((kind == "readme") | number.isNotNull())
+    """Whether an item can be a document: a JSON object, and a number unless it is a readme.
+
+    Only an object has a number, so one reading decides; items that may hold a string too long for the other reader are read by both.
+    """
+    number, whole = F.from_json(item, "number long", {"allowNonNumericNumbers": "false"})["number"], F.get_json_object(item, "$").startswith("{")
+    numbered = number.isNotNull() & ((F.octet_length(item) <= LONGEST_STRING) | whole)
+    return F.coalesce(F.when(kind == "readme", whole).otherwise(numbered), F.lit(False))
 
 
 def set_aside(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Raw rows that can be documents, and the others."""
     good = usable(F.col("kind"), F.col("item"))
-    return raw.where(good), raw.where(~F.coalesce(good, F.lit(False)))
+    return raw.where(good), raw.where(~good)
 
 
 def normalize(raw: DataFrame, since: datetime | None = None) -> DataFrame:

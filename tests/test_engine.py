@@ -458,3 +458,38 @@ def test_chunks_leave_the_task_in_small_batches(spark):
     assert [x for b in held for x in b] == expected
     rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string").coalesce(1).select("id", column.alias("c")).orderBy("id").collect()
     assert [r["c"] for r in rows] == expected
+
+
+def test_a_text_is_cut_once(spark):
+    """The size that ``explode`` asks of its array does not run the cutting of every text a second time."""
+    made = ingest.chunk_documents(spark.createDataFrame([doc(1, "a b c"), doc(2, " "), doc(3, "d")], DOCUMENT), 2, 1)
+    assert made._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    rows = spark.createDataFrame([(1, "a b c"), (2, " "), (3, None)], "id int, text string").select("id", text.chunks(F.col("text"), 2, 1).alias("c")).select("id", F.posexplode("c").alias("i", "t"))
+    assert rows._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert [tuple(r) for r in rows.orderBy("i").collect()] == [(1, 0, "a b"), (1, 1, "b c")]
+
+
+@pytest.mark.parametrize("dimensions", [1, 16, 64])
+def test_hashing_many_texts_equals_hashing_each_term(dimensions, monkeypatch):
+    """Words of any script and length, pairs inside a text only, texts in parts of any size."""
+    import re
+    import zlib
+
+    import numpy as np
+
+    def one(x):
+        words = re.findall(r"\w+", (x or "").lower())
+        out = np.zeros(dimensions)
+        for term in [*words, *map(" ".join, zip(words, words[1:], strict=False))]:
+            code = zlib.crc32(term.encode())
+            out[(code >> 1) % dimensions] += 1 if code & 1 else -1
+        norm = np.linalg.norm(out)
+        return (out / norm if norm else out).tolist()
+
+    every = [chr(i) for i in range(0x20000) if not 0xD800 <= i < 0xE000]
+    texts = ["", None, " ", "A b, a", "a", "", "—", "日本 語", "naïve ½ ² ٣ _a_ İstanbul ß\x1c\x00á", "x" * 31 + " " + "y" * 32 + " z " + "漢" * 33 + " q", "w" * 5000, *("a".join(every[i : i + 4096]) for i in range(0, len(every), 4096))]
+    expected = [one(x) for x in texts]
+    for size in (1, 64, 1 << 18):
+        monkeypatch.setattr(models, "BYTES_AT_ONCE", size)
+        assert models.HashingEmbedder(dimensions).embed_documents(texts) == expected
+    assert models.HashingEmbedder(dimensions).embed_documents([]) == []
