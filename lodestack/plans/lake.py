@@ -133,12 +133,12 @@ class ContextLake:
         self._finish()
 
     def _finish(self) -> None:
-        """Bring the buckets that are ready into the table."""
+        """Bring the buckets that are ready into the table; their files hold one bucket each and need no shuffle."""
         path, fs = self._files()
         at = path(f"{self.path}-ready")
         for name in sorted(x.getPath().getName() for x in fs.listStatus(at)) if fs.exists(at) else []:
             rows = self.spark.read.schema(f"{CHUNK}, bucket int").parquet(f"{self.path}-ready/{name}")
-            rows.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path)
+            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path)
             fs.delete(path(f"{self.path}-ready/{name}"), True)
 
     @contextmanager

@@ -493,3 +493,22 @@ def test_hashing_many_texts_equals_hashing_each_term(dimensions, monkeypatch):
         monkeypatch.setattr(models, "BYTES_AT_ONCE", size)
         assert models.HashingEmbedder(dimensions).embed_documents(texts) == expected
     assert models.HashingEmbedder(dimensions).embed_documents([]) == []
+
+
+def test_ready_buckets_go_into_the_table_without_a_shuffle(spark, lake, monkeypatch):
+    """The files of a finished write hold one bucket each: they are read and written, and do not become more."""
+    files = lambda at: sorted(f for _, _, names in os.walk(at) for f in names if f.endswith(".parquet"))
+    with monkeypatch.context() as m:
+        m.setattr(lake, "_finish", lambda: None)
+        plan(lake).process(spark.createDataFrame([doc(i, f"w{i}") for i in range(40)], DOCUMENT))
+    ready = files(f"{lake.path}-ready")
+    spark.sparkContext.setJobGroup("ready", "")
+    try:
+        lake._finish()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    track = spark.sparkContext.statusTracker()
+    jobs = track.getJobIdsForGroup("ready")
+    assert jobs and all(len(track.getJobInfo(j).stageIds) == 1 for j in jobs)
+    assert len(ready) >= 2 and len(files(lake.path)) <= len(ready)
+    assert sorted(r["text"] for r in lake.chunks().collect()) == sorted(f"T w{i}" for i in range(40))
